@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orthoscan.llm import exact_dedup
+from orthoscan.llm import chat_format, exact_dedup, line_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_line_dedup": line_dedup.op2_line_dedup,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op9_chat_format": chat_format.op9_chat_format,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_line_dedup": line_dedup.OP2_SQL,
         "op6_exact_dedup": exact_dedup.OP6_SQL,
+        "op9_chat_format": chat_format.OP9_SQL,
     }
