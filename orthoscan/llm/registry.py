@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orthoscan.llm import chat_format, exact_dedup, line_dedup, simhash
+from orthoscan.llm import chat_format, exact_dedup, line_dedup, packing, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_neardup": simhash.op1_simhash_neardup,
         "op2_line_dedup": line_dedup.op2_line_dedup,
+        "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op9_chat_format": chat_format.op9_chat_format,
     }
