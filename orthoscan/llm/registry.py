@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orthoscan.llm import chat_format, exact_dedup, line_dedup, packing, simhash
+from orthoscan.llm import chat_format, exact_dedup, line_dedup, packing, secret_scan, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_line_dedup": line_dedup.op2_line_dedup,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op8_secret_scan": secret_scan.op8_secret_scan,
         "op9_chat_format": chat_format.op9_chat_format,
     }
 
@@ -23,5 +24,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_dedup": line_dedup.OP2_SQL,
         "op6_exact_dedup": exact_dedup.OP6_SQL,
+        "op8_secret_scan": secret_scan.OP8_SQL,
         "op9_chat_format": chat_format.OP9_SQL,
     }
