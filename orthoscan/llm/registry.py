@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orthoscan.llm import chat_format, decontaminate, exact_dedup, line_dedup, packing, secret_scan, simhash
+from orthoscan.llm import chat_format, decontaminate, exact_dedup, line_dedup, packing, secret_scan, simhash, suffix_lm
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_line_dedup": line_dedup.op2_line_dedup,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op7_suffix_lm": suffix_lm.op7_suffix_lm,
         "op8_secret_scan": secret_scan.op8_secret_scan,
         "op9_chat_format": chat_format.op9_chat_format,
         "op10_template_decontamination": decontaminate.op10_template_decontamination,
