@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from orthoscan.llm.common import id_remainder, stored, table
 
-DEPTH = 5
-P_MIN = 5e-6
+DEPTH = 6
+P_MIN = 2e-6
 #: Bits by which a context's next symbols must diverge from those of its suffix.
 MIN_DIVERGENCE = 0.01
 #: Weight of the shorter context's prediction, in symbols.
