@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orthoscan.llm import chat_format, decontaminate, exact_dedup, line_dedup, packing, quality, secret_scan, simhash, suffix_lm
+from orthoscan.llm import chat_format, decontaminate, exact_dedup, language_id, line_dedup, packing, quality, secret_scan, simhash, suffix_lm
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_neardup": simhash.op1_simhash_neardup,
         "op2_line_dedup": line_dedup.op2_line_dedup,
+        "op3_language_id": language_id.op3_language_id,
         "op4_quality_classifier": quality.op4_quality_classifier,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
