@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from orthoscan.llm import chat_format, decontaminate, exact_dedup, language_id, line_dedup, packing, quality, secret_scan, simhash, suffix_lm
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": secret_scan.op8_secret_scan,
         "op9_chat_format": chat_format.op9_chat_format,
         "op10_template_decontamination": decontaminate.op10_template_decontamination,
+        "pipeline": corpus_pipeline.run,
     }
 
 
