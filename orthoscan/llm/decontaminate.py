@@ -209,9 +209,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_share: float = MIN_S
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item; all columns pass through, whatever their names."""
-    gone = stored(contaminated(docs, benchmark, min_share).select(F.col("id").alias("_id"), F.col("text_key").alias("_text_key")).distinct(), "contaminated")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.join(gone, (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("_id")) & (F.xxhash64(text) == F.col("_text_key")), "left_anti")
+    gone = stored(contaminated(docs, benchmark, min_share).select("id", "text_key").distinct(), "contaminated")
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == gone["id"]) & (F.xxhash64(text) == gone["text_key"])
+    return docs.join(gone, same, "left_anti")
 
 
 def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

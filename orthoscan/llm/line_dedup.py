@@ -76,16 +76,16 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """``docs`` with the kept lines as text, plus _n_lines and _n_dropped (long)."""
-    lines = _lines()
-    slices = F.transform("_b.keep_runs", lambda r: F.slice(lines, r["start"] + 1, r["len"]))
-    kept = F.concat(F.flatten(slices), F.slice(lines, F.col("_b.tail_from") + 1, F.size(lines)))
-    keyed = docs.withColumns({"_id": _id(), "_text_key": _text_key()})
-    held = bitmaps.select(F.col("id").alias("_id"), F.col("text_key").alias("_text_key"), F.struct("n_dropped", "keep_runs", "tail_from").alias("_b"))
-    text = F.when(F.col("_b").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return keyed.join(held, ["_id", "_text_key"], "left").select(
-        *[text.alias(c) if c == "text" else F.col(c) for c in docs.columns],
-        F.size(lines).cast("long").alias("_n_lines"), F.coalesce("_b.n_dropped", F.lit(0).cast("long")).alias("_n_dropped"),
-    )
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # out of the way of the names used here
+    keyed = docs.select(row, _id(), _text_key())
+    held = bitmaps.select("id", "text_key", F.struct("n_dropped", "keep_runs", "tail_from").alias("bitmap"))
+    lines = F.split(F.coalesce(F.col("row.text"), F.lit("")), "\n")
+    slices = F.transform("bitmap.keep_runs", lambda r: F.slice(lines, r["start"] + 1, r["len"]))
+    kept = F.concat(F.flatten(slices), F.slice(lines, F.col("bitmap.tail_from") + 1, F.size(lines)))
+    text = F.when(F.col("bitmap").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
+    return keyed.join(held, ["id", "text_key"], "left").select(
+        F.col("row").withField("text", text).alias("row"), F.size(lines).cast("long").alias("_n_lines"), F.coalesce("bitmap.n_dropped", F.lit(0).cast("long")).alias("_n_dropped"),
+    ).select("row.*", "_n_lines", "_n_dropped")
 
 
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:

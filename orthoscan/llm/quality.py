@@ -21,8 +21,8 @@ from orthoscan.llm.common import id_remainder, stored, table
 FEATURES, SEED = 256, 11
 #: Width of the kernel in standardised statistics, and weight of the ridge.
 GAMMA, RIDGE = 0.05, 1e-3
-#: Partitions that sum normal equations, at most.
-SUM_PARTS = 64
+#: Labelled rows that the model is fitted on, about; and partitions that sum their normal equations, at most.
+FIT_ROWS, SUM_PARTS = 2_000_000, 64
 #: Score bins of the calibration, per unit of score.
 BINS = 500
 THRESHOLD = 0.7
@@ -155,8 +155,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, is_training: Column, key:
     """
     measured = stored(document_statistics(docs), "quality-statistics")
     marks = labels.select("doc_id", F.col(key).cast("int").alias("label")).where(F.col("label").isNotNull())
-    labelled = stored(measured.where(is_training).join(marks, "doc_id").select("stats", "label"), "quality-labelled")
-    model = fit(labelled)
+    labelled = stored(measured.where(is_training).join(marks, "doc_id").select("doc_id", "stats", "label"), "quality-labelled")
+    part = min(1.0, FIT_ROWS / max(1, labelled.count()))
+    model = fit(labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(part * (1 << 20))))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,8 +175,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, is_training: Column, threshold
     rows with a null doc_id likewise.
     """
     scores = quality_scores(docs, labels, is_training)
-    bad = stored(scores.groupBy("doc_id").agg(F.max("score").alias("best")).where(F.col("best") < threshold).select(F.col("doc_id").alias("_bad")), "quality-rejected")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    bad = stored(scores.groupBy("doc_id").agg(F.max("score").alias("best")).where(F.col("best") < threshold).select(F.col("doc_id").alias("rejected")), "quality-rejected")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["rejected"]), "left_anti")
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

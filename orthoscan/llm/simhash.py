@@ -202,7 +202,9 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     All columns pass through.  Rows that share the staying doc_id all stay, and
     so do rows without a doc_id in components without any.
     """
-    return docs.join(stored(near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_staying")).distinct(), "simhash-staying"), F.col("doc_id").eqNullSafe(F.col("_staying")), "left_semi")
+    staying = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("staying")).distinct()
+    staying = stored(staying, "simhash-staying")
+    return docs.join(staying, docs["doc_id"].eqNullSafe(staying["staying"]), "left_semi")
 
 
 def op1_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
