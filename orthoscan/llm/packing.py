@@ -31,8 +31,10 @@ CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Distinct words whose ids a worker keeps; beyond, it starts anew.
-CACHED_WORDS = 400_000
-_cache: dict[bytes, bytes] = {}
+CACHED_WORDS = 600_000
+#: Trailing marks that the tokenizer always parts from the letters before them.
+_MARKS = b".,;:!?"
+_JOINED = 500
 
 
 def tokenizer_path() -> str:
@@ -41,23 +43,71 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
-def encode_documents(texts: list[str], tokenizer, cache: dict[bytes, bytes]) -> Iterator[bytes]:
-    """The ids of each text as little-endian unsigned 32-bit integers.
+class WordEncoder:
+    """Ids of words as little-endian unsigned 32-bit integers, kept for the next text.
 
-    The tokenizer's rules never reach across ASCII white space, so words are
-    encoded once and their ids joined.
+    The tokenizer's rules never reach across ASCII white space, it lower-cases,
+    and it parts trailing marks from letters: so lower-cased stems are encoded
+    once.  Stems of letters only are encoded many to a text and told apart by
+    the tokens that end a word; all others are encoded one by one.
     """
-    split = [t.encode("utf-8", "replace").split() for t in texts]
-    new = list({w for words in split for w in words}.difference(cache))
-    if len(cache) + len(new) > CACHED_WORDS:
-        cache.clear()
-        new = list({w for words in split for w in words})
-    for k in range(0, len(new), 10_000):
-        part = new[k : k + 10_000]
-        for w, e in zip(part, tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-            cache[w] = np.array(e.ids, dtype="<u4").tobytes()
-    for words in split:
-        yield b"".join(map(cache.__getitem__, words))
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.words: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_stems(self, stems: list[bytes]) -> None:
+        texts = [s.decode("utf-8", "replace") for s in stems]
+        letters = [i for i, t in enumerate(texts) if t.isalpha()]
+        single = [i for i, t in enumerate(texts) if not t.isalpha()]
+        groups = [letters[k : k + _JOINED] for k in range(0, len(letters), _JOINED)]
+        for group, ids in zip(groups, self._encode([" ".join(texts[i] for i in g) for g in groups]), strict=True):
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(group):
+                single += group
+                continue
+            data, begin = ids.tobytes(), 0
+            for i, end in zip(group, (4 * cuts).tolist(), strict=True):
+                self.stems[stems[i]], begin = data[begin:end], end
+        for i, ids in zip(single, self._encode([texts[i] for i in single]), strict=True):
+            self.stems[stems[i]] = ids.tobytes()
+
+    def _learn(self, words: set[bytes]) -> None:
+        parts = {}
+        for w in words:
+            low = w if b"<|" in w else w.lower()  # special tokens have no capitals
+            stem = low.rstrip(_MARKS)
+            parts[w] = (stem, low[len(stem) :]) if stem[-1:].isalpha() else (low, b"")
+        wanted = {x for two in parts.values() for x in two}
+        if len(self.stems) + len(wanted) > CACHED_WORDS:
+            self.stems.clear()
+        self._learn_stems([x for x in wanted if x not in self.stems])
+        for w, (stem, tail) in parts.items():
+            self.words[w] = self.stems[stem] + self.stems[tail]
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text."""
+        split = [t.encode("utf-8", "replace").split() for t in texts]
+        new = {w for words in split for w in words}.difference(self.words)
+        if len(self.words) + len(new) > CACHED_WORDS:
+            self.words.clear()
+            new = {w for words in split for w in words}
+        if new:
+            self._learn(new)
+        for words in split:
+            yield b"".join(map(self.words.__getitem__, words))
+
+
+_encoders: dict[str, WordEncoder] = {}
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -71,15 +121,14 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        tokenizer, part, seen = Tokenizer.from_file(path), TaskContext.get().partitionId(), {}
+        encoder = _encoders[path] = _encoders.get(path) or WordEncoder(path)
+        part, seen = TaskContext.get().partitionId(), {}
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             for k in range(0, len(batch), 500):
                 some = batch.slice(k, 500)
                 rows = []
-                ids = encode_documents([t or "" for t in some.column(1).to_pylist()], tokenizer, _cache)
+                ids = encoder.encode([t or "" for t in some.column(1).to_pylist()])
                 for doc_id, own in zip(some.column(0).to_pylist(), ids, strict=True):
                     own += end
                     for n, at in enumerate(range(0, len(own), 4 * capacity)):
