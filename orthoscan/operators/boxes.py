@@ -53,12 +53,12 @@ def choose_leaf(points: DataFrame, leaves: DataFrame) -> DataFrame:
     """record_id, node for every point: the leaf (node, lo, hi) that grows least, then the smaller, then the lower.
 
     ``leaves`` is the zone map of an index, a few thousand boxes; it goes to
-    every task as one array.
+    every task as the one value of a scalar subquery.
     """
     boxes = leaves.select(F.collect_list(F.struct("node", "lo", "hi", V.volume(F.col("lo"), F.col("hi")).alias("volume"))).alias("leaves"))
     p = F.col("features")
-    rated = F.transform("leaves", lambda x: F.struct(V.enlargement(x["lo"], x["hi"], p, p).alias("growth"), x["volume"].alias("volume"), x["node"].alias("node")))
-    return points.join(F.broadcast(boxes)).select("record_id", F.array_min(rated)["node"].alias("node"))
+    rated = F.transform(boxes.scalar(), lambda x: F.struct(V.enlargement(x["lo"], x["hi"], p, p).alias("growth"), x["volume"].alias("volume"), x["node"].alias("node")))
+    return points.select("record_id", F.array_min(rated)["node"].alias("node"))
 
 
 def widest_variance_axis(points: DataFrame, group: str, dims: int) -> DataFrame:

@@ -228,7 +228,7 @@ def mbr_enlargement(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mindist_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = T.embeddings(spark, sf_dir, 3).where("record_id % 20 = 0").select("record_id", "features")
     zones = _label_boxes(spark, sf_dir).agg(F.collect_list(F.struct("label", "lo", "hi")).alias("zones"))  # a row a label
-    each = asked.join(F.broadcast(zones)).select("record_id", "features", F.inline("zones"))
+    each = asked.select("record_id", "features", F.inline(zones.scalar()))
     return each.select("record_id", "label", F.round(F.sqrt(V.min_squared_distance(F.col("lo"), F.col("hi"), F.col("features"))), 6).alias("mindist"))
 
 
