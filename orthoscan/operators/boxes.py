@@ -57,8 +57,8 @@ def choose_leaf(points: DataFrame, leaves: DataFrame) -> DataFrame:
     """
     boxes = leaves.select(F.collect_list(F.struct("node", "lo", "hi", V.volume(F.col("lo"), F.col("hi")).alias("volume"))).alias("leaves"))
     p = F.col("features")
-    rated = F.transform(boxes.scalar(), lambda x: F.struct(V.enlargement(x["lo"], x["hi"], p, p).alias("growth"), x["volume"].alias("volume"), x["node"].alias("node")))
-    return points.select("record_id", F.array_min(rated)["node"].alias("node"))
+    rated = F.transform("leaves", lambda x: F.struct(V.enlargement(x["lo"], x["hi"], p, p).alias("growth"), x["volume"].alias("volume"), x["node"].alias("node")))
+    return points.select("record_id", "features", boxes.scalar().alias("leaves")).select("record_id", F.array_min(rated)["node"].alias("node"))
 
 
 def widest_variance_axis(points: DataFrame, group: str, dims: int) -> DataFrame:
