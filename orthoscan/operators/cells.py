@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,17 +32,34 @@ def kd_cells_exact(points: DataFrame, depth: int, dims: int) -> DataFrame:
     return out
 
 
-def kd_cells(points: DataFrame, depth: int, dims: int, accuracy: int = 1000) -> DataFrame:
-    """Add ``cell`` by approximate medians: a sketch per cell and level, and no shuffle of points.
+def _split_values(x: np.ndarray, depth: int) -> list[np.ndarray]:
+    """The medians that split the cells of each level of a sample; 0 where a cell is empty."""
+    cell, out = np.zeros(len(x), dtype=np.int64), []
+    for level in range(depth):
+        key = x[:, level % x.shape[1]]
+        splits = np.zeros(1 << level)
+        for c in np.unique(cell):
+            own = key[cell == c]
+            splits[c] = np.partition(own, (len(own) - 1) // 2)[(len(own) - 1) // 2]
+        out.append(splits)
+        cell = cell * 2 + (key > splits[cell])
+    return out
+
 
-    The split table of a level has 2**level rows and is broadcast.  Cells are
-    only nearly balanced, which pruning doesn't mind.
+def kd_cells(points: DataFrame, depth: int, dims: int, sample: int = 100_000) -> DataFrame:
+    """Add ``cell`` by the medians of about ``sample`` points, without moving a point.
+
+    Every point gets its cell, from 2**depth - 1 literal split values in one
+    projection.  Cells are only nearly balanced, which pruning doesn't mind:
+    it goes by the boxes of all their points.
     """
+    part = min(1.0, sample / max(1, points.count()))
+    drawn = points.where(F.pmod(F.xxhash64("record_id"), F.lit(1 << 20)) < int(part * (1 << 20))).select("features").toArrow()
+    x = drawn.column(0).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(drawn), -1) if len(drawn) else np.zeros((0, dims))
     out = points.withColumn("cell", F.lit(0))
-    for level in range(depth):
-        key = F.col("features")[level % dims]
-        splits = out.groupBy("cell").agg(F.percentile_approx(key, 0.5, accuracy).alias("_split"))
-        out = out.join(F.broadcast(splits), "cell").withColumn("cell", F.col("cell") * 2 + (key > F.col("_split")).cast("int")).drop("_split")
+    for level, splits in enumerate(_split_values(x[:, :dims], depth)):
+        split = F.get(F.array(*[F.lit(float(v)) for v in splits]), F.col("cell"))
+        out = out.withColumn("cell", F.col("cell") * 2 + (F.col("features")[level % dims].cast("double") > split).cast("int"))
     return out
 
 
