@@ -201,10 +201,13 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
     All columns pass through.  Rows that share the staying doc_id all stay, and
     so do rows without a doc_id in components without any.
+
+    The staying ids are about as many as the documents, so the join is a merge
+    at every size; a table bucketed by doc_id saves it the shuffle of the texts.
     """
     staying = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("staying")).distinct()
     staying = stored(staying, "simhash-staying")
-    return docs.join(staying, docs["doc_id"].eqNullSafe(staying["staying"]), "left_semi")
+    return docs.join(staying.hint("merge"), docs["doc_id"].eqNullSafe(staying["staying"]), "left_semi")
 
 
 def op1_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
