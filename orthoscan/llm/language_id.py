@@ -189,8 +189,10 @@ def fit_field(training: DataFrame) -> LanguageField:
     rows = lexicon_words(training.select("lang", "text")).collect()  # LEXICON words a language at most
     for r in sorted(rows, key=lambda r: (r.share, r.lang)):
         lexicon[bytes(r.word)] = (r.share, r.lang)  # the language where it is most frequent comes last
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    drawn = training.join(F.broadcast(training.groupBy("lang").count()), "lang").where(draw * F.col("count") <= 2 * SAMPLE_TEXTS)  # few texts are moved
     turn = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    short = training.where(F.size(F.split("text", r"\s+")) <= SAMPLE_WORDS).withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= SAMPLE_TEXTS)
+    short = drawn.where(F.size(F.split("text", r"\s+")) <= SAMPLE_WORDS).withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= SAMPLE_TEXTS)
     sample = sorted((r.lang, r.turn, r.text) for r in short.select("lang", "turn", "text").collect())  # SAMPLE_TEXTS a language at most
     languages = sorted({r[0] for r in sample} | {lang for _, lang in lexicon.values()})
     number = {lang: k for k, lang in enumerate(languages)}
