@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orthoscan.llm.common import id_remainder, stored, table
+from orthoscan.llm.common import arrow_rows, id_remainder, stored, table, text_slices
 
 DEPTH = 6
 P_MIN = 2e-6
@@ -38,7 +38,7 @@ MIN_DIVERGENCE = 0.01
 PRIOR = 16.0
 HEAVY_WORDS = 200_000
 END = b"\n"  # never part of a word
-_BLOCK = 1 << 21
+_BLOCK, _HELD_GRAMS = 1 << 20, 1_200_000
 _SYMBOLS = 256
 
 
@@ -71,10 +71,24 @@ def gram_counts(texts: DataFrame) -> DataFrame:
     """gram, n over all rows of ``texts`` (one string column)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        held, size = [], 0
+        for batch in (x for b in batches for x in text_slices(b, 0)):
             for gram, _ in _blocks(*_streams([b" ".join(words_of(t)) for t in batch.column(0).to_pylist()])):
-                keys, n = np.unique(gram, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
+                held.append(np.unique(gram, return_counts=True))
+                size += len(held[-1][0])
+                if size > _HELD_GRAMS:
+                    yield as_batch(held)
+                    held, size = [], 0
+        if held:
+            yield as_batch(held)
+
+    def as_batch(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        keys = np.concatenate([k for k, _ in held])
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else order
+        n = np.add.reduceat(np.concatenate([n for _, n in held])[order], first) if len(keys) else keys
+        return pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
 
     return texts.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -83,15 +97,15 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """word, n over all rows of ``texts`` (one string column), the end of each text included."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen: Counter[bytes] = Counter()
+        seen: Counter[bytes] = Counter()
+        for batch in (x for b in batches for x in text_slices(b, 0)):
             for t in batch.column(0).to_pylist():
                 seen.update(words_of(t))
-                if len(seen) > 300_000:
-                    yield as_batch(seen)
-                    seen = Counter()
             seen[END] += len(batch)
-            yield as_batch(seen)
+            if len(seen) > 200_000:
+                yield as_batch(seen)
+                seen = Counter()
+        yield as_batch(seen)
 
     def as_batch(seen: Counter[bytes]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
@@ -154,7 +168,8 @@ class SuffixTree:
 
 def fit_tree(texts: DataFrame, depth: int = DEPTH, p_min: float = P_MIN) -> SuffixTree:
     """The tree of all rows of ``texts`` (one string column)."""
-    grams = stored(gram_counts(texts), "lm-grams")
+    with arrow_rows(texts.sparkSession):
+        grams = stored(gram_counts(texts), "lm-grams")
     symbols = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     levels = []
     for k in range(depth + 1):
@@ -181,16 +196,17 @@ def score_texts(docs: DataFrame, is_training, depth: int = DEPTH) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     training = rows.where(is_training).select("text")
-    counts = stored(word_counts(training), "lm-words")
+    with arrow_rows(spark):
+        counts = stored(word_counts(training), "lm-words")
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     heavy = {r[0]: r[1] for r in counts.where(F.col("n") >= max(1, tokens / HEAVY_WORDS)).collect()}  # HEAVY_WORDS at most
-    heavy = {bytes(k): (n, float(np.log10(n + 1))) for k, n in heavy.items()}
+    heavy = {bytes(k): float(np.log10(n + 1)) for k, n in heavy.items()}
     shared = spark.sparkContext.broadcast((heavy, fit_tree(training, depth)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, tree = shared.value
         part, row = TaskContext.get().partitionId() << 36, 0
-        for batch in batches:
+        for batch in (x for b in batches for x in text_slices(b, 1)):
             texts = [words_of(t) for t in batch.column(1).to_pylist()]
             data, begins = _streams([b" ".join(w) for w in texts])
             total = np.zeros(len(texts))
@@ -198,12 +214,12 @@ def score_texts(docs: DataFrame, is_training, depth: int = DEPTH) -> DataFrame:
                 keys, back = np.unique(gram, return_inverse=True)
                 total += np.bincount(text, weights=tree.score(keys)[back], minlength=len(texts))
             logs, hits, offsets, rare, times = [], [], [0], [], []
-            end = known.get(END, (0, 0.0))
+            end = known.get(END)
             for words in texts:
-                log, hit = end[1], int(end[0] > 0)
+                log, hit = end or 0.0, int(end is not None)
                 for w, n in Counter(words).items():
-                    if found := known.get(w):
-                        log += n * found[1]
+                    if found := known.get(w):  # never 0: heavy words have been counted
+                        log += n * found
                         hit += n
                     else:
                         rare.append(w)
@@ -219,7 +235,8 @@ def score_texts(docs: DataFrame, is_training, depth: int = DEPTH) -> DataFrame:
                 ["uid", "doc_id", "n_tokens", "hits", "logs", "score", "rare", "times"],
             )
 
-    own = stored(rows.mapInArrow(score, "uid long, doc_id long, n_tokens long, hits long, logs double, score double, rare array<binary>, times array<long>"), "lm-scored")
+    with arrow_rows(spark):
+        own = stored(rows.mapInArrow(score, "uid long, doc_id long, n_tokens long, hits long, logs double, score double, rare array<binary>, times array<long>"), "lm-scored")
     rare = own.select("uid", F.inline(F.arrays_zip(F.col("rare").alias("word"), F.col("times").alias("times"))))
     met = rare.join(counts, "word", "left").groupBy("uid").agg(
         F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more_hits"),
