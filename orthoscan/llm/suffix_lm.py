@@ -35,7 +35,7 @@ P_MIN = 2e-6
 #: Bits by which a context's next symbols must diverge from those of its suffix.
 MIN_DIVERGENCE = 0.01
 #: Weight of the shorter context's prediction, in symbols.
-PRIOR = 16.0
+PRIOR = 40.0
 HEAVY_WORDS = 200_000
 END = b"\n"  # never part of a word
 _BLOCK, _HELD_GRAMS = 1 << 20, 1_200_000
