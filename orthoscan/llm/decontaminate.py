@@ -198,8 +198,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_share: float = MIN_S
     met = stored(met.withColumn("shift", F.col("pos") - F.col("item_pos")).distinct(), "template-met")
     line = ["id", "text_key", "item_id", "item_key", "sort", "shift"]
     slots = met.select(*line, F.explode(F.arrays_zip(F.col("slots").alias("own"), F.col("item_slots").alias("asked"))).alias("s")).where("s.asked <> 0").select(*line, "s.own", "s.asked").distinct()
-    torn = lambda by: slots.groupBy(*line, by).agg(F.count("*").alias("n")).where("n > 1").select(*line)
-    odd = torn("asked").unionByName(torn("own")).distinct()
+    odd = slots.groupBy(*line, "asked").agg(F.count("*").alias("n")).where("n > 1").select(*line).distinct()  # new values may coincide: own isn't asked for
     in_line = met.join(odd, line, "left_anti").groupBy(*line).agg(F.countDistinct("item_pos").alias("n_windows"))
     of_item = asked.groupBy("item_id", "item_key", "sort").agg(F.countDistinct("item_pos").alias("of"))
     shares = in_line.join(of_item, ["item_id", "item_key", "sort"]).withColumn("share", F.col("n_windows") / F.col("of")).where(F.col("share") >= min_share)

@@ -448,6 +448,15 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs(spark, []), bench).count() == 0 and decontaminate.contaminated(df, bench.where("false")).count() == 0
 
 
+def test_decontamination_new_values_may_coincide(spark):
+    item = "a farmer has {} red apples and {} green pears in the barn and sells {} plums to every guest at the gate"
+    bench = spark.createDataFrame([(1, item.format(3, 5, 9))], "item_id long, text string")
+    df = docs(spark, [(1, item.format(4, 4, 7)), (2, item.format(6, 6, 6)), (3, item.format(1, 2, 8)), (4, " ".join(texts(3)))])
+    assert sorted(r.id for r in decontaminate.contaminated(df, bench).collect()) == [1, 2, 3]
+    twice = spark.createDataFrame([(1, item.format(3, 3, 9))], "item_id long, text string")
+    assert sorted(r.id for r in decontaminate.contaminated(df, twice).collect()) == [1, 2]  # 3 fills one slot in two ways
+
+
 def test_decontamination_shuffled_agrees(spark, sf, monkeypatch):
     query = queries()["op10_template_decontamination"]
     want = sorted(tuple(r) for r in query(spark, sf).collect())
