@@ -10,7 +10,8 @@ names are caught as well as verbatim copies.
 
 Two sequences are made of every text: one with numbers and units replaced,
 which doesn't depend on capitals, and one with names (capitalised tokens)
-replaced too.
+replaced too.  Items that have no window with enough words in either are
+compared whole, as they are, token by token.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orthoscan.llm.common import stored, table
@@ -30,6 +31,8 @@ WINDOW = 8
 MIN_LITERAL = 5
 #: The share of an item's windows that must be found in line.
 MIN_SHARE = 0.2
+#: Or so many of its tokens in a row, whatever their share.
+MIN_RUN = 50
 #: Windows of the benchmark that are broadcast (8 bytes each); beyond, both sides are shuffled.
 BROADCAST_WINDOWS = 4_000_000
 #: Words after a number that count as its unit (fixed values).
@@ -40,7 +43,7 @@ UNITS = (
     "l ml liter liters litre litres gallon gallons dollar dollars euro euros cent cents percent degree degrees mph kmh hz khz mhz w kw v"
 ).split()
 NUMBER, UNIT, NAME = 1, 2, 3
-LITERAL, TEMPLATE = 0, 1
+LITERAL, TEMPLATE, EXACT = 0, 1, 2
 _CHUNK = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
@@ -89,9 +92,9 @@ def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, kind, text
 
 
-def _sequence(codes: np.ndarray, kind: np.ndarray, text: np.ndarray, names: bool) -> tuple[np.ndarray, ...]:
-    """Canonical codes, values of placeholders (0 for words) and text numbers, runs of a type being one."""
-    kind = kind if names else np.where(kind == NAME, 0, kind)
+def _sequence(codes: np.ndarray, kind: np.ndarray, text: np.ndarray, sort: int) -> tuple[np.ndarray, ...]:
+    """Canonical codes, values of placeholders (0 for words) and text numbers, runs of a type being one; EXACT replaces nothing."""
+    kind = np.where((kind == NAME) & (sort == LITERAL) | (sort == EXACT), 0, kind)
     keep = np.ones(len(kind), dtype=bool)
     keep[1:] = (kind[1:] == 0) | (kind[1:] != kind[:-1]) | (text[1:] != text[:-1])
     at = np.flatnonzero(keep)
@@ -107,7 +110,7 @@ def _windows(codes: np.ndarray, values: np.ndarray, text: np.ndarray, size: int,
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     words = np.concatenate([[0], np.cumsum(values == 0)])
     at = np.flatnonzero((text[:n] == text[size - 1 :]) & (words[size:] - words[:n] >= MIN_LITERAL))
-    hashes = np.full(n, np.uint64(size * 2 + sort), dtype=np.uint64)
+    hashes = np.full(n, np.uint64(size * 3 + sort), dtype=np.uint64)
     for j in range(size):
         hashes = (hashes ^ codes[j : j + n]) * _STEP
         hashes ^= hashes >> np.uint64(29)
@@ -119,11 +122,12 @@ SCHEMA = "id long, text_key long, sort int, size int, pos int, tokens int, hash
 _ARROW = pa.schema([("id", pa.int64()), ("text_key", pa.int64()), ("sort", pa.int32()), ("size", pa.int32()), ("pos", pa.int32()), ("tokens", pa.int32()), ("hash", pa.int64()), ("slots", pa.list_(pa.int64()))])
 
 
-def template_windows(rows: DataFrame, sizes: list[int], only: np.ndarray | None = None, whole_short: bool = False) -> DataFrame:
+def template_windows(rows: DataFrame, wanted_sizes: list[tuple[int, int]], only: np.ndarray | None = None, whole_short: bool = False) -> DataFrame:
     """The windows of ``rows`` (id, text_key, text), as SCHEMA; ``only`` keeps those with a hash among these (sorted).
 
     With ``whole_short`` a text of fewer than WINDOW tokens gives one window of
-    all of them, else every text gives the windows of all ``sizes``.
+    all of them, else every text gives the windows of all ``wanted_sizes``
+    (sort, size).
     """
     wanted = rows.sparkSession.sparkContext.broadcast(only) if only is not None else None
 
@@ -142,10 +146,10 @@ def template_windows(rows: DataFrame, sizes: list[int], only: np.ndarray | None
                     room -= len(texts[hi])
                     hi += 1
                 tokens = _tokens(texts[lo:hi])
-                for sort in (LITERAL, TEMPLATE):
-                    codes, values, text = _sequence(*tokens, names=sort == TEMPLATE)
+                for sort in sorted({sort for sort, _ in wanted_sizes}):
+                    codes, values, text = _sequence(*tokens, sort)
                     length = np.bincount(text, minlength=hi - lo)
-                    for size in sizes:
+                    for size in sorted(size for of, size in wanted_sizes if of == sort):
                         at, hashes, pos = _windows(codes, values, text, size, sort)
                         if whole_short:
                             ok = np.full(len(at), True) if size == WINDOW else length[text[at]] == size
@@ -175,23 +179,41 @@ def _rows(df: DataFrame, key: str) -> DataFrame:
 NO_ID = -(1 << 63)
 
 
+def _longest_run(places: Column, size: Column) -> Column:
+    """Tokens of the longest stretch that windows of ``size`` tokens at ``places`` cover."""
+    none = F.struct(F.lit(-1).alias("begin"), F.lit(-1).alias("end"), F.lit(0).alias("best"))
+
+    def step(acc: Column, at: Column) -> Column:
+        begin = F.when(at <= acc["end"], acc["begin"]).otherwise(at)
+        return F.struct(begin.alias("begin"), (at + size).alias("end"), F.greatest(acc["best"], at + size - begin).alias("best"))
+
+    return F.aggregate(F.sort_array(places), none, step)["best"]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
     """id, text_key, item_id, sort, n_windows, share of each benchmark item that a document holds.
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text; both are read
-    whole.  ``share`` is the part of the item's windows found in line.  Null
-    and empty texts hold nothing, and so do empty tables; items of fewer than
-    MIN_LITERAL words can't be told from chance and are never held.  Repeated
+    whole.  ``share`` is the part of the item's windows found in line; it must
+    reach ``min_share``, or MIN_RUN tokens (a placeholder is one) must follow
+    each other, for which windows with the item's own values always count.  An
+    item without any window of enough words is held if all its tokens, as they
+    are, follow each other in the document.  Null and empty texts hold nothing,
+    and so do empty tables; items of fewer than MIN_LITERAL tokens can't be
+    told from chance and are never held.  Repeated
     items count each; repeated documents give the same row once.  ``id`` is
     NO_ID for a null doc_id.
     """
-    sizes = list(range(MIN_LITERAL, WINDOW + 1))
-    asked = stored(template_windows(_rows(benchmark, "item_id"), sizes, whole_short=True).withColumnsRenamed({"id": "item_id", "text_key": "item_key", "pos": "item_pos", "slots": "item_slots"}), "benchmark-windows")
-    used = sorted(r[0] for r in asked.select("size").distinct().collect())  # four at most
+    sizes = [(sort, size) for sort in (LITERAL, TEMPLATE, EXACT) for size in range(MIN_LITERAL, WINDOW + 1)]
+    every = stored(template_windows(_rows(benchmark, "item_id"), sizes, whole_short=True).withColumnsRenamed({"id": "item_id", "text_key": "item_key", "pos": "item_pos", "slots": "item_slots"}), "benchmark-all-windows")
+    usual = every.where(F.col("sort") != EXACT)
+    others = every.where(F.col("sort") == EXACT).join(usual.select("item_key").distinct(), "item_key", "left_anti")
+    asked = stored(usual.unionByName(others), "benchmark-windows")
+    used = sorted(tuple(r) for r in asked.select("sort", "size").distinct().collect())  # twelve at most
     distinct = asked.select("hash").distinct()
     few = distinct.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     only = np.sort(np.array([r[0] for r in distinct.collect()], dtype=np.int64).view(np.uint64)) if few else None
-    held = template_windows(_rows(docs, "doc_id"), used or [WINDOW], only)
+    held = template_windows(_rows(docs, "doc_id"), used or [(LITERAL, WINDOW)], only)
     if few:
         held = stored(held, "template-hits")
     met = held.drop("tokens").join(asked.drop("tokens"), ["hash", "sort", "size"])
@@ -199,10 +221,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_share: float = MIN_S
     line = ["id", "text_key", "item_id", "item_key", "sort", "shift"]
     slots = met.select(*line, F.explode(F.arrays_zip(F.col("slots").alias("own"), F.col("item_slots").alias("asked"))).alias("s")).where("s.asked <> 0").select(*line, "s.own", "s.asked").distinct()
     odd = slots.groupBy(*line, "asked").agg(F.count("*").alias("n")).where("n > 1").select(*line).distinct()  # new values may coincide: own isn't asked for
-    in_line = met.join(odd, line, "left_anti").groupBy(*line).agg(F.countDistinct("item_pos").alias("n_windows"))
+    marked = met.join(odd.withColumn("odd", F.lit(True)), line, "left")
+    fits, same = F.col("odd").isNull(), F.col("slots") == F.col("item_slots")
+    in_line = marked.groupBy(*line, "size").agg(F.countDistinct(F.when(fits, F.col("item_pos"))).alias("n_windows"), F.collect_set(F.when(fits | same, F.col("item_pos"))).alias("places"))  # an item's places at most
     of_item = asked.groupBy("item_id", "item_key", "sort").agg(F.countDistinct("item_pos").alias("of"))
-    shares = in_line.join(of_item, ["item_id", "item_key", "sort"]).withColumn("share", F.col("n_windows") / F.col("of")).where(F.col("share") >= min_share)
-    best = shares.groupBy("id", "text_key", "item_id").agg(F.max(F.struct("share", "n_windows", (1 - F.col("sort")).alias("literal"))).alias("b"))
+    held_share = (F.col("n_windows") > 0) & (F.col("share") >= F.when(F.col("sort") == EXACT, 1.0).otherwise(min_share))
+    run = _longest_run(F.col("places"), F.col("size"))
+    shares = in_line.join(of_item, ["item_id", "item_key", "sort"]).withColumn("n_windows", F.when(run >= MIN_RUN, F.greatest("n_windows", F.size("places"))).otherwise(F.col("n_windows")).cast("long"))
+    shares = shares.withColumn("share", F.col("n_windows") / F.col("of")).where(held_share | (F.col("sort") != EXACT) & (run >= MIN_RUN))
+    best = shares.groupBy("id", "text_key", "item_id").agg(F.max(F.struct("share", "n_windows", (F.col("sort") != TEMPLATE).cast("int").alias("literal"))).alias("b"))
     return best.select("id", "text_key", "item_id", F.when(F.col("b.literal") == 1, "literal").otherwise("template").alias("sort"), F.col("b.n_windows").alias("n_windows"), F.col("b.share").alias("share"))
 
 

@@ -457,6 +457,20 @@ def test_decontamination_new_values_may_coincide(spark):
     assert sorted(r.id for r in decontaminate.contaminated(df, twice).collect()) == [1, 2]  # 3 fills one slot in two ways
 
 
+def test_decontamination_of_items_without_windows_and_of_long_quotes(spark):
+    sums, long = "What is 12 + 7 x 3?", " ".join(f"red {n} or {n * 7}" for n in range(10, 22))
+    rng = np.random.Generator(np.random.PCG64(2))
+    passage = [f"w{chr(97 + a)}{chr(97 + b)}{chr(97 + c)}" for a, b, c in rng.integers(0, 26, (500, 3))]
+    bench = spark.createDataFrame([(1, sums), (2, long), (3, " ".join(passage)), (4, "a 1 b 2")], "item_id long, text string")
+    filler = " ".join(texts(3))
+    quote = lambda n: f"{filler} {' '.join(passage[200 : 200 + n])} {filler}"
+    rows = [(1, f"{filler} what is 12 + 7 x 3 {filler}"), (2, f"{filler} {long}"), (3, quote(80)), (4, quote(50)), (5, quote(49)), (6, "What is 12 + 8 x 3?"), (7, long.replace("105", "106")), (8, f"{filler} a 1 b 2"), (9, filler)]
+    got = {(r.id, r.item_id): r for r in decontaminate.contaminated(docs(spark, rows), bench).collect()}
+    assert set(got) == {(1, 1), (2, 2), (3, 3), (4, 3)}
+    assert got[1, 1].share == got[2, 2].share == 1 and got[3, 3].n_windows == 73 and got[3, 3].share < decontaminate.MIN_SHARE
+    assert sorted(r.doc_id for r in decontaminate.decontaminate(docs(spark, rows), bench).collect()) == [5, 6, 7, 8, 9]
+
+
 def test_decontamination_shuffled_agrees(spark, sf, monkeypatch):
     query = queries()["op10_template_decontamination"]
     want = sorted(tuple(r) for r in query(spark, sf).collect())
