@@ -143,7 +143,7 @@ def fit(labelled: DataFrame) -> KernelRidge | None:
     return model
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, is_training: Column, key: str = "quality") -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, is_training: Column, key: str = "quality", unfitted: float = 0.5) -> DataFrame:
     """doc_id, score (0 to 1) of every row of ``docs``.
 
     Learned from the rows of ``docs`` that satisfy ``is_training`` (a condition
@@ -151,7 +151,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, is_training: Column, key:
     Only the text goes into a score; null and empty texts are scored by their
     statistics, which are those of an empty text.  Repeated rows are scored
     each; repeated labels count each.  Without any labelled row every score is
-    0.5.  Extra columns are ignored.
+    ``unfitted``.  Extra columns are ignored.
     """
     measured = stored(document_statistics(docs), "quality-statistics")
     marks = labels.select("doc_id", F.col(key).cast("int").alias("label")).where(F.col("label").isNotNull())
@@ -162,7 +162,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, is_training: Column, key:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = shared.value.score(_arrays(batch, "stats")) if shared.value else np.full(len(batch), 0.5)
+            scores = shared.value.score(_arrays(batch, "stats")) if shared.value else np.full(len(batch), unfitted)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores)], ["doc_id", "score"])
 
     return measured.mapInArrow(score, "doc_id long, score double")
@@ -172,9 +172,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, is_training: Column, threshold
     """``docs`` without the documents that score below ``threshold``; all columns pass through.
 
     Rows that share a doc_id are kept or lost together, by their best score;
-    rows with a null doc_id likewise.
+    rows with a null doc_id likewise.  Without any labelled row no model can be
+    fitted, and every document is kept.
     """
-    scores = quality_scores(docs, labels, is_training)
+    scores = quality_scores(docs, labels, is_training, unfitted=1.0)
     bad = stored(scores.groupBy("doc_id").agg(F.max("score").alias("best")).where(F.col("best") < threshold).select(F.col("doc_id").alias("rejected")), "quality-rejected")
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["rejected"]), "left_anti")
 

@@ -262,6 +262,14 @@ def test_quality_edges(spark):
     assert quality.quality_scores(docs(spark, []), labels, F.lit(True)).count() == 0
 
 
+def test_quality_keeps_all_without_labels(spark):
+    df = docs(spark, BLANKS + [(10, "A clean text of some words."), (11, "!!!! |||| ####")])
+    empty = spark.createDataFrame([], "doc_id long, quality int")
+    other = spark.createDataFrame([(777, 1), (778, 0)], "doc_id long, quality int")
+    for labels in (empty, other):
+        assert quality.keep_good(df, labels, F.lit(True)).count() == df.count()
+
+
 def test_isotonic():
     fit = quality.isotonic(np.arange(5), np.array([0.1, 0.5, 0.3, 0.9, 0.8]), np.array([1.0, 1, 3, 1, 1]))
     assert np.allclose(fit, [0.1, 0.35, 0.35, 0.85, 0.85])
