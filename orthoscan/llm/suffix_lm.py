@@ -200,6 +200,7 @@ def score_texts(docs: DataFrame, is_training, depth: int = DEPTH) -> DataFrame:
         counts = stored(word_counts(training), "lm-words")
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     heavy = {r[0]: r[1] for r in counts.where(F.col("n") >= max(1, tokens / HEAVY_WORDS)).collect()}  # HEAVY_WORDS at most
+    heavy |= {END: r[0] for r in counts.where(F.col("word") == F.lit(END)).select("n").collect() if r[0]}  # one row; however rare
     heavy = {bytes(k): float(np.log10(n + 1)) for k, n in heavy.items()}
     shared = spark.sparkContext.broadcast((heavy, fit_tree(training, depth)))
 

@@ -347,6 +347,13 @@ def test_suffix_lm_base_and_counts(spark):
     assert all(r.base_score == 0 for r in suffix_lm.score_texts(docs(spark, rows), F.lit(False)).collect())
 
 
+def test_suffix_lm_knows_a_rare_end(spark, monkeypatch):
+    monkeypatch.setattr(suffix_lm, "HEAVY_WORDS", 2)
+    r = suffix_lm.score_texts(docs(spark, [(1, "a " * 10)]), F.lit(True)).first()
+    assert (r.n_tokens, r.n_known) == (11, 11)
+    assert np.isclose(r.base_score, 10 * np.log10(11) + np.log10(2) - 11 * np.log10(14))
+
+
 def test_suffix_tree_by_brute_force():
     depth, prior, bits = 3, 5.0, 0.05
     stream = "\n".join(texts(20, 5)).replace("é", "e").replace("ñ", "n").encode()
