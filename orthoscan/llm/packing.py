@@ -3,10 +3,10 @@
 Documents become pieces of at most ``CAPACITY`` tokens.  Only how many pieces
 there are of each length matters to a packing, and there are at most
 ``CAPACITY`` lengths, whatever the corpus: the plan is made from that
-histogram.  For the longest length left, an index of the available lengths,
-of their pair sums and of their triple sums is asked for what fills the gap
-exactly; as many sequences of that combination are taken as the counts allow.
-Gaps that nothing fills take the longest length that fits, and so on.
+histogram.  For the longest length left, an index of the single, pair and
+triple sums of the available lengths is asked for what fills the gap exactly;
+as many sequences of that combination are taken as the counts allow.  Gaps
+that nothing fills take the longest length that fits, and so on.
 
 The plan is a short list of (lengths, how many sequences).  Pieces find their
 place in it by their rank within their length, which is a count over the
@@ -16,25 +16,32 @@ of all pieces have needs no common task.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orthoscan.llm.common import stored, table
+from orthoscan.llm.common import stored, table, text_slices
 
 CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Distinct words whose ids a worker keeps; beyond, it starts anew.
-CACHED_WORDS = 600_000
-#: Trailing marks that the tokenizer always parts from the letters before them.
-_MARKS = b".,;:!?"
-_JOINED = 500
+#: Distinct stems whose ids a worker keeps; beyond, it starts anew.
+CACHED_STEMS = 1_000_000
+#: Lower-case letters of ASCII and Latin-1: no normalisation changes them.
+_LETTERS = "abcdefghijklmnopqrstuvwxyzß" + "".join(map(chr, [*range(0xE0, 0xF7), *range(0xF8, 0x100)]))
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Words of such letters, in either case, with or without marks after them.
+_PLAIN = f"^[{_LETTERS.replace('ß', '').replace('ÿ', '')}{_LETTERS.replace('ß', '').replace('ÿ', '').upper()}ßÿ]+[{re.escape(_MARKS)}]*$"
+_SLICE = 4 << 20
 
 
 def tokenizer_path() -> str:
@@ -44,67 +51,83 @@ def tokenizer_path() -> str:
 
 
 class WordEncoder:
-    """Ids of words as little-endian unsigned 32-bit integers, kept for the next text.
+    """Ids of words; what was encoded once is kept for the next text.
 
     The tokenizer's rules never reach across ASCII white space, it lower-cases,
-    and it parts trailing marks from letters: so lower-cased stems are encoded
-    once.  Stems of letters only are encoded many to a text and told apart by
-    the tokens that end a word; all others are encoded one by one.
+    and it parts marks from the letters before them.  So texts are cut into
+    words, and words of plain letters into a stem and its marks; each distinct
+    stem is merged once by the tokenizer's own model.  All other words are
+    encoded by the whole tokenizer, as they are.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        self.words: dict[bytes, bytes] = {}
-        self.stems: dict[bytes, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn_stems(self, stems: list[bytes]) -> None:
-        texts = [s.decode("utf-8", "replace") for s in stems]
-        letters = [i for i, t in enumerate(texts) if t.isalpha()]
-        single = [i for i, t in enumerate(texts) if not t.isalpha()]
-        groups = [letters[k : k + _JOINED] for k in range(0, len(letters), _JOINED)]
-        for group, ids in zip(groups, self._encode([" ".join(texts[i] for i in g) for g in groups]), strict=True):
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(group):
-                single += group
-                continue
-            data, begin = ids.tobytes(), 0
-            for i, end in zip(group, (4 * cuts).tolist(), strict=True):
-                self.stems[stems[i]], begin = data[begin:end], end
-        for i, ids in zip(single, self._encode([texts[i] for i in single]), strict=True):
-            self.stems[stems[i]] = ids.tobytes()
-
-    def _learn(self, words: set[bytes]) -> None:
-        parts = {}
-        for w in words:
-            low = w if b"<|" in w else w.lower()  # special tokens have no capitals
-            stem = low.rstrip(_MARKS)
-            parts[w] = (stem, low[len(stem) :]) if stem[-1:].isalpha() else (low, b"")
-        wanted = {x for two in parts.values() for x in two}
-        if len(self.stems) + len(wanted) > CACHED_WORDS:
-            self.stems.clear()
-        self._learn_stems([x for x in wanted if x not in self.stems])
-        for w, (stem, tail) in parts.items():
-            self.words[w] = self.stems[stem] + self.stems[tail]
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text."""
-        split = [t.encode("utf-8", "replace").split() for t in texts]
-        new = {w for words in split for w in words}.difference(self.words)
-        if len(self.words) + len(new) > CACHED_WORDS:
-            self.words.clear()
-            new = {w for words in split for w in words}
-        if new:
-            self._learn(new)
-        for words in split:
-            yield b"".join(map(self.words.__getitem__, words))
+        self.merge = self.tokenizer.model.tokenize
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.alphabet = {ord(c): as_bytes.pre_tokenize_str(c)[0][0] for c in _LETTERS}
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {"": 0}
+        self.ids, self.size = np.zeros(1 << 16, dtype="<u4"), 0
+        self.ends = np.zeros(1 << 16, dtype=np.int64)  # of each unit in ids; unit 0 is empty
+
+    def _add(self, units: list[str], ids: array, lengths: array) -> None:
+        known = len(self.number)
+        self.number.update(zip(units, range(known, known + len(units)), strict=True))
+        while self.size + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while known + len(units) > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.ids[self.size : self.size + len(ids)] = ids
+        self.ends[known : known + len(units)] = self.size + np.cumsum(lengths)
+        self.size += len(ids)
+
+    def _numbers(self, units: pa.Array, plain: bool) -> np.ndarray:
+        """The number of each unit, a stem of plain letters or any other string."""
+        coded = units.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        found = [*map(self.number.get, distinct)]
+        if None in found:
+            new = [u for u, n in zip(distinct, found, strict=True) if n is None]
+            ids, lengths = array("I"), array("q")
+            if plain:
+                for own in map(self.merge, [u if u.isascii() else u.translate(self.alphabet) for u in new]):
+                    ids.extend([t.id for t in own])
+                    lengths.append(len(own))
+            else:
+                for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False):
+                    ids.extend(e.ids)
+                    lengths.append(len(e.ids))
+            self._add(new, ids, lengths)
+            found = [*map(self.number.__getitem__, distinct)]
+        return np.array(found, dtype=np.int64)[coded.indices.to_numpy()]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (strings, nulls empty), END_ID after each, and how many each has."""
+        if len(self.number) > CACHED_STEMS:
+            self.clear()
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        of_text = np.diff(lists.offsets.to_numpy())
+        words = lists.flatten().dictionary_encode()
+        distinct = words.dictionary
+        plain = pc.match_substring_regex(distinct, _PLAIN)
+        at, others = np.flatnonzero(plain.to_numpy(zero_copy_only=False)), np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+        low = pc.utf8_lower(distinct.take(pa.array(at)))
+        stems = pc.ascii_rtrim(low, characters=_MARKS)
+        tails = pc.utf8_ltrim(low, characters=_LETTERS)
+        stem, tail = np.zeros(len(distinct), dtype=np.int64), np.zeros(len(distinct), dtype=np.int64)
+        stem[at], tail[at] = self._numbers(stems, True), self._numbers(tails, False)
+        stem[others] = self._numbers(distinct.take(pa.array(others)), False)
+        units = np.stack([stem, tail], axis=1)[words.indices.to_numpy()].reshape(-1)
+        starts = self.ends[units - 1] * (units > 0)
+        lengths = self.ends[units] - starts
+        first = np.concatenate([[0], np.cumsum(lengths)])
+        flat = self.ids[np.repeat(starts - first[:-1], lengths) + np.arange(first[-1])]
+        ends = first[2 * np.cumsum(of_text)]
+        return np.insert(flat, ends, END_ID), np.diff(ends, prepend=0) + 1
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -118,84 +141,86 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
     path = path or tokenizer_path()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         encoder = _encoders[path] = _encoders.get(path) or WordEncoder(path)
         part, seen = TaskContext.get().partitionId(), {}
-        end = np.array([END_ID], dtype="<u4").tobytes()
-        for batch in batches:
-            for k in range(0, len(batch), 500):
-                some = batch.slice(k, 500)
-                rows = []
-                ids = encoder.encode([t or "" for t in some.column(1).to_pylist()])
-                for doc_id, own in zip(some.column(0).to_pylist(), ids, strict=True):
-                    own += end
-                    for n, at in enumerate(range(0, len(own), 4 * capacity)):
-                        piece = own[at : at + 4 * capacity]
-                        length = len(piece) // 4
-                        nth = seen[length] = seen.get(length, -1) + 1
-                        rows.append((doc_id, n, at // 4, length, zlib.crc32(piece), part, nth))
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
+        for batch in (x for b in batches for x in text_slices(b, 1, _SLICE)):
+            rows, begin = [], 0
+            ids, lengths = encoder.encode(batch.column(1))
+            data = memoryview(np.ascontiguousarray(ids, dtype="<u4")).cast("B")
+            for doc_id, own in zip(batch.column(0).to_pylist(), lengths.tolist(), strict=True):
+                for n, at in enumerate(range(0, own, capacity)):
+                    length = min(capacity, own - at)
+                    nth = seen[length] = seen.get(length, -1) + 1
+                    rows.append((doc_id, n, at, length, zlib.crc32(data[4 * (begin + at) : 4 * (begin + at + length)]), part, nth))
+                begin += own
+            cols = list(zip(*rows, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long")
 
 
 class Complements:
-    """Which available lengths, pairs and triples of them, sum to a gap."""
+    """Which available lengths, pairs and triples of them, sum to a gap.
+
+    The index holds a bit for each sum of one, two and three lengths.  A sum is
+    in it if lengths that are there give it; whether there are enough of a
+    length used twice or thrice is checked when a combination is drawn.
+    """
 
     def __init__(self, counts: np.ndarray):
         self.counts, self.capacity = counts, len(counts) - 1
-        self.there = counts > 0
-        self.bits = sum(1 << int(i) for i in np.nonzero(self.there)[0])
-        self.pairs = self.stale = 0
-        self._pair_sums()
+        self.bits = sum(1 << int(i) for i in np.nonzero(counts > 0)[0])
+        self._sums()
 
-    def _pair_sums(self) -> None:
-        """Bit s is set if two available lengths, or one twice, sum to s; exact up to counts taken since."""
+    def _sums(self) -> None:
+        """Index the pair and triple sums of the lengths that are there now."""
         full = (1 << (self.capacity + 1)) - 1
-        self.pairs = 0
-        for a in np.nonzero(self.there)[0].tolist():
+        self.pairs = self.triples = self.gone = 0
+        there = np.nonzero(self.counts > 0)[0].tolist()
+        for a in there:
             self.pairs |= (self.bits << a) & full
-        self.stale = 0
+        for a in there:
+            self.triples |= (self.pairs << a) & full
 
     def take(self, lengths: list[int], n: int) -> None:
         for x in lengths:
             self.counts[x] -= n
-            if not self.counts[x] and self.there[x]:
-                self.there[x] = False
+            if not self.counts[x] and self.bits >> x & 1:
                 self.bits &= ~(1 << x)
-                self.stale += 1
-        if self.stale >= 32:
-            self._pair_sums()
+                self.gone += 1
+        if self.gone >= 32:  # sums of lengths that are gone cost time, nothing else
+            self._sums()
 
     def pair(self, gap: int) -> list[int] | None:
         """The pair that sums to the gap with the longest member."""
         if gap < 2 or not self.pairs >> gap & 1:
             return None
         half = gap // 2
-        low = np.arange(1, half + 1)
-        ok = self.there[low] & self.there[gap - low]
+        ok = (self.counts[1 : half + 1] > 0) & (self.counts[gap - 1 : gap - half - 1 : -1] > 0)
         if gap % 2 == 0:
             ok[-1] = self.counts[half] >= 2
-        return [gap - int(low[i]), int(low[i])] if ok[i := int(ok.argmax())] else None
+        return [gap - 1 - i, 1 + i] if ok[i := int(ok.argmax())] else None
 
-    def exact(self, gap: int) -> list[int] | None:
-        """One, two or three lengths that fill the gap exactly."""
-        if self.there[gap]:
-            return [gap]
-        if found := self.pair(gap):
-            return found
-        for c in np.nonzero(self.there[: gap - 1])[0][::-1].tolist():
+    def triple(self, gap: int) -> list[int] | None:
+        """The triple that sums to the gap with the longest member."""
+        if gap < 3 or not self.triples >> gap & 1:
+            return None
+        for c in np.nonzero(self.counts[: gap - 1] > 0)[0][::-1].tolist():
             if 3 * c < gap:
                 return None
-            if self.pairs >> (gap - c) & 1 and (two := self.pair(gap - c)):
-                three = [c, *two]
-                if all(self.counts[x] >= three.count(x) for x in three):
-                    return three
+            if self.pairs >> (gap - c) & 1:
+                self.counts[c] -= 1
+                two = self.pair(gap - c)
+                self.counts[c] += 1
+                if two:
+                    return [c, *two]
         return None
 
+    def exact(self, gap: int) -> list[int] | None:
+        """One, two or three available lengths that fill the gap exactly."""
+        return [gap] if self.counts[gap] > 0 else self.pair(gap) or self.triple(gap)
+
     def longest(self, gap: int) -> int:
         """The longest available length of at most ``gap``, or 0."""
         return (self.bits & ((1 << (gap + 1)) - 1)).bit_length() - 1 if self.bits & ((1 << (gap + 1)) - 1) else 0
@@ -244,7 +269,8 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         first += n
     plan = spark.createDataFrame(slots, "length long, low long, high long, shift long, offset long") if slots else spark.createDataFrame([], "length long, low long, high long, shift long, offset long")
     runs = stored(plan.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("low", "high", "shift", "offset"))).alias("runs")), "packing-plan")  # as many slots as steps of the plan
-    ranked = cut.join(stored(before, "packing-before"), ["length", "part"]).withColumn("rank", F.col("before") + F.col("nth"))
+    # lengths times partitions grow with the corpus: never broadcast
+    ranked = cut.join(stored(before, "packing-before").hint("merge"), ["length", "part"]).withColumn("rank", F.col("before") + F.col("nth"))
     slot = F.filter("runs", lambda r: (r["low"] <= F.col("rank")) & (F.col("rank") < r["high"]))[0]
     return ranked.join(F.broadcast(runs), "length").withColumn("slot", slot).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("slot.shift")).alias("sequence_id"), F.col("slot.offset").alias("offset"))
 

@@ -320,10 +320,11 @@ def test_plan_places_every_piece(seed):
     assert used == histogram and n <= len(room)
 
 
-def test_complements_are_exact():
-    rng = np.random.Generator(np.random.PCG64(3))
+@pytest.mark.parametrize("seed", range(100))
+def test_complements_are_exact(seed):
+    rng = np.random.Generator(np.random.PCG64(seed))
     counts = np.zeros(61, dtype=np.int64)
-    for x in rng.integers(4, 40, 12):
+    for x in rng.integers(1 + 3 * (seed % 2), 40, rng.integers(3, 14)):
         counts[x] += 1
     index = packing.Complements(counts)
     have = [x for x in range(61) for _ in range(counts[x])]
@@ -333,6 +334,25 @@ def test_complements_are_exact():
         assert (found is not None) == there and (found is None or (sum(found) == gap and not Counter(found) - Counter(have)))
 
 
+def test_complements_try_every_pair():
+    counts = np.zeros(51, dtype=np.int64)
+    counts[[4, 5, 6, 13, 15, 22, 26, 34]] = 1
+    assert sorted(packing.Complements(counts).exact(50)) == [13, 15, 22]
+
+
+def test_word_ids_are_the_tokenizers_own():
+    import pyarrow as pa
+
+    encoder = packing.WordEncoder(packing.tokenizer_path())
+    rng = np.random.Generator(np.random.PCG64(9))
+    signs = list("abcxyzABÉéßÿŸñ'İΣσçÇ×÷µªº½²①…—.,!?<|>&%$ \n\t\x1c0123ÅKſﬁ\u0301\u200b\xa0\u3000世") + ["<|endoftext|>", "'s", "'LL", " the "]
+    odd = ["".join(rng.choice(signs, rng.integers(0, 40))) for _ in range(2000)] + [None, "", " ", "a<|endoftext|>.", "word " * 30_000]
+    for _ in range(2):  # the second time from what was kept
+        ids, lengths = encoder.encode(pa.array(odd))
+        want = [[*encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, packing.END_ID] for t in odd]
+        assert lengths.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
 # Language model
 
 
