@@ -3,252 +3,260 @@
 A text is read as the bytes of its words, A-Z lower-cased, with a space between
 words and an end symbol; the tree predicts each symbol from the symbols before
 it.  All training texts are counted, as grams of DEPTH + 1 symbols.  A context
-is a candidate if at least P_MIN of all symbols follow it, and it is retained
-if the symbols that follow it diverge from those its longest retained suffix
+is a candidate if at least MIN_COUNT symbols follow it, and it is retained if
+the symbols that follow it diverge from those its longest retained suffix
 predicts.  A symbol is scored in the longest retained suffix of what precedes
 it; the counts there are smoothed with the prediction of the next shorter one.
 
-P_MIN bounds the tree: at most 1 / P_MIN contexts of each length, whatever the
-corpus.  That bounded tree is what goes to the driver and to every task.
+MIN_COUNT is a number of symbols, not a share, so the tree grows with the
+corpus.  It is never in one place: the levels are tables, rolled up from the
+longest grams, and level k takes its shorter predictions from level k - 1 by a
+join.  The grams of all texts, training texts or not, are in these tables, so
+the last level holds the log10 probability of every gram that will be scored.
 
-Beside it each text gets the word-unigram base score.  At most HEAVY_WORDS
-words make up 1 / HEAVY_WORDS of the training tokens each; their counts go to
-every task, and only rarer words are joined with the table of counts, one row
-per text and distinct word.
+Texts meet those probabilities in two ways.  At most HEAVY_GRAMS grams are each
+at least 1 / HEAVY_GRAMS of all symbols; they go to every task.  The others are
+joined, one row per text and distinct gram.  Words meet their counts, for the
+word-unigram base score, in the same way.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orthoscan.llm.common import arrow_rows, id_remainder, stored, table, text_slices
+from orthoscan.llm.common import id_remainder, stored, table, text_slices
 
 DEPTH = 6
-P_MIN = 2e-6
+#: Symbols that must follow a context in the training texts.
+MIN_COUNT = 50
 #: Bits by which a context's next symbols must diverge from those of its suffix.
 MIN_DIVERGENCE = 0.01
 #: Weight of the shorter context's prediction, in symbols.
 PRIOR = 40.0
-HEAVY_WORDS = 200_000
+#: What goes to every task at most: 12 bytes a gram; a word and its log count.
+HEAVY_GRAMS, HEAVY_WORDS = 10_000_000, 200_000
 END = b"\n"  # never part of a word
-_BLOCK, _HELD_GRAMS = 1 << 20, 1_200_000
-_SYMBOLS = 256
+_BLOCK, _HELD_GRAMS, _HELD_WORDS = 1 << 22, 3_000_000, 1_000_000
+_SYMBOLS, _TAGS = 256, 256
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "replace").lower().split()  # ASCII only, both of them
+def _words(texts: pa.Array) -> pa.Array:
+    """The lower-cased words of each text; none for nulls and blanks."""
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))))
+    blank = pc.equal(pc.binary_join(lists, pa.scalar("", pa.large_string())), "").to_numpy(zero_copy_only=False)
+    sizes = np.where(blank, 0, pc.list_value_length(lists).to_numpy())
+    flat = lists.flatten()
+    flat = flat.filter(pc.not_equal(flat, "")) if blank.any() else flat
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), flat)
 
 
-def _streams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All symbols, each text after DEPTH end symbols, and where the predicted symbols of each text begin."""
+def _tallies(words: pa.Array, tags: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sorted distinct (gram << 8 | tag of its text), and how often each occurs, block by block."""
+    texts = [t.as_buffer() for t in pc.binary_join(words, pa.scalar(" ", pa.large_string()))]
     pad = END * DEPTH
     data = np.frombuffer(b"".join(x for t in texts for x in (pad, t, END)), dtype=np.uint8)
-    sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
-    return data, np.cumsum(sizes + DEPTH) - sizes
-
-
-def _blocks(data: np.ndarray, begins: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(gram, text number) of the predicted symbols, block by block; the low byte is the symbol."""
-    ends = np.append(begins[1:] - DEPTH, len(data))
+    sizes = np.array([t.size + 1 for t in texts], dtype=np.int64)
+    runs = np.stack([np.full(len(sizes), DEPTH), sizes], axis=1).reshape(-1)
+    inside = np.repeat(np.tile([False, True], len(sizes)), runs)
+    tag = np.repeat(tags.astype(np.uint8), sizes + DEPTH)
     for lo in range(DEPTH, len(data), _BLOCK):
-        at = np.arange(lo, min(lo + _BLOCK, len(data)))
-        text = np.searchsorted(begins, at, side="right") - 1
-        ok = (text >= 0) & (at < ends[text])
-        gram = np.zeros(len(at), dtype=np.uint64)
-        for j in range(DEPTH + 1):
-            gram = (gram << np.uint64(8)) | data[at[0] - DEPTH + j : at[-1] + 1 - DEPTH + j]
-        yield gram[ok], text[ok]
+        hi = min(lo + _BLOCK, len(data))
+        key = np.zeros(hi - lo, dtype=np.uint64)
+        for j in range(DEPTH, -1, -1):
+            key = (key << np.uint64(8)) | data[lo - j : hi - j]
+        yield _counted(((key << np.uint64(8)) | tag[lo:hi])[inside[lo:hi]])
+
+
+def _counted(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the sum of ``n`` (1 each if None)."""
+    if n is None:
+        keys = np.sort(keys)
+    else:
+        order = np.argsort(keys)
+        keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.diff(np.append(first, len(keys))) if n is None else np.add.reduceat(n, first) if len(keys) else n
 
 
 def gram_counts(texts: DataFrame) -> DataFrame:
-    """gram, n over all rows of ``texts`` (one string column)."""
+    """gram, n, everywhere: occurrences in training texts and in all texts (text, training boolean)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in (x for b in batches for x in text_slices(b, 0)):
-            for gram, _ in _blocks(*_streams([b" ".join(words_of(t)) for t in batch.column(0).to_pylist()])):
-                held.append(np.unique(gram, return_counts=True))
-                size += len(held[-1][0])
-                if size > _HELD_GRAMS:
-                    yield as_batch(held)
+            for found in _tallies(_words(batch.column(0)), np.array(batch.column(1))):
+                held.append(found)
+                size += len(found[0])
+            if size > _HELD_GRAMS:
+                held = [_counted(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))]
+                size = len(held[0][0])
+                if size > _HELD_GRAMS // 2:
+                    yield as_batch(*held[0])
                     held, size = [], 0
         if held:
-            yield as_batch(held)
+            yield as_batch(*_counted(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held])))
 
-    def as_batch(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        keys = np.concatenate([k for k, _ in held])
-        order = np.argsort(keys)
-        keys = keys[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else order
-        n = np.add.reduceat(np.concatenate([n for _, n in held])[order], first) if len(keys) else keys
-        return pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
+    def as_batch(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        gram, training = keys >> np.uint64(8), (keys & np.uint64(1)) == 1
+        first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, np.int64)
+        sums = [np.add.reduceat(x, first) if len(first) else n for x in (n * training, n)]
+        return pa.RecordBatch.from_arrays([pa.array(gram[first].view(np.int64)), *(pa.array(x.astype(np.int64)) for x in sums)], ["gram", "n", "everywhere"])
 
-    return texts.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(count, "gram long, n long, everywhere long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("everywhere").alias("everywhere"))
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """word, n over all rows of ``texts`` (one string column), the end of each text included."""
+    """word, n, everywhere: as for grams, the end of each text included."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
+        held, size = [], 0
         for batch in (x for b in batches for x in text_slices(b, 0)):
-            for t in batch.column(0).to_pylist():
-                seen.update(words_of(t))
-            seen[END] += len(batch)
-            if len(seen) > 200_000:
-                yield as_batch(seen)
-                seen = Counter()
-        yield as_batch(seen)
+            lists, training = _words(batch.column(0)), np.array(batch.column(1)).astype(np.int64)
+            words = lists.flatten().cast(pa.large_binary()).dictionary_encode()
+            codes, own = words.indices.to_numpy(), np.repeat(training, pc.list_value_length(lists).to_numpy())
+            n, everywhere = (np.bincount(codes, weights=w, minlength=len(words.dictionary)).astype(np.int64) for w in (own, None))
+            held.append(pa.table({"word": words.dictionary, "n": n, "everywhere": everywhere}))
+            held.append(pa.table({"word": pa.array([END], pa.large_binary()), "n": [int(training.sum())], "everywhere": [len(training)]}))
+            size += len(words.dictionary)
+            if size > _HELD_WORDS:
+                held = [merged(held)]
+                size = len(held[0])
+                if size > _HELD_WORDS // 2:
+                    yield from as_batches(held[0])
+                    held, size = [], 0
+        if held:
+            yield from as_batches(merged(held))
 
-    def as_batch(seen: Counter[bytes]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+    def merged(held: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(held).group_by("word").aggregate([("n", "sum"), ("everywhere", "sum")]).rename_columns({"n_sum": "n", "everywhere_sum": "everywhere"})
 
-    return texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    def as_batches(counted: pa.Table) -> list[pa.RecordBatch]:
+        return counted.select(["word", "n", "everywhere"]).cast(pa.schema([("word", pa.binary()), ("n", pa.int64()), ("everywhere", pa.int64())])).to_batches(max_chunksize=100_000)
 
+    return texts.mapInArrow(count, "word binary, n long, everywhere long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("everywhere").alias("everywhere"))
 
-class SuffixTree:
-    """Retained contexts by length, with log10 probabilities.
 
-    ``grams[k]``, ``logs[k]``: context of k symbols and next symbol, sorted, and
-    its smoothed log10 probability; ``contexts[k]``, ``backs[k]``: retained
-    contexts, sorted, and log10 of the weight of the shorter context where the
-    next symbol was never seen.
-    """
+def _last(symbols: int) -> Column:
+    """The last ``symbols`` symbols of a gram."""
+    return F.col("gram").bitwiseAND(F.lit((1 << 8 * symbols) - 1).cast("long"))
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], prior: float = PRIOR, min_divergence: float = MIN_DIVERGENCE):
-        """``levels[k]``: sorted grams of the candidate contexts of k symbols and their counts."""
-        every = np.arange(_SYMBOLS, dtype=np.uint64)
-        keys, n = levels[0]
-        counts = np.zeros(_SYMBOLS)
-        counts[keys.astype(np.int64)] = n
-        self.grams, self.logs = [every], [np.log10((counts + 1) / (counts.sum() + _SYMBOLS))]
-        self.contexts, self.backs = [np.zeros(1, dtype=np.uint64)], [np.zeros(1)]
-        for k, (keys, n) in enumerate(levels[1:], start=1):
-            owner, first = np.unique(keys >> np.uint64(8), return_index=True)
-            if not len(owner):
-                for x in (self.grams, self.contexts):
-                    x.append(np.zeros(0, dtype=np.uint64))
-                for x in (self.logs, self.backs):
-                    x.append(np.zeros(0))
-                continue
-            total = np.add.reduceat(n, first).astype(float)
-            of = np.repeat(np.arange(len(owner)), np.diff(np.append(first, len(keys))))
-            shorter = 10.0 ** self.score(keys, k - 1)
-            share = n / total[of]
-            divergence = np.bincount(of, weights=share * np.log2(share / shorter), minlength=len(owner))
-            kept = divergence >= min_divergence
-            self.contexts.append(owner[kept])
-            self.backs.append(np.log10(prior / (total[kept] + prior)))
-            own = kept[of]
-            self.grams.append(keys[own])
-            self.logs.append(np.log10((n[own] + prior * shorter[own]) / (total[of][own] + prior)))
-
-    def score(self, grams: np.ndarray, depth: int | None = None) -> np.ndarray:
-        """log10 probability of each gram's last symbol in its longest retained suffix of at most ``depth``."""
-        out, rest = np.zeros(len(grams)), np.arange(len(grams))
-        for k in range(len(self.contexts) - 1 if depth is None else depth, -1, -1):
-            key = grams[rest] & np.uint64((1 << 8 * (k + 1)) - 1)
-            at = np.searchsorted(self.grams[k], key)
-            hit = self.grams[k][np.minimum(at, len(self.grams[k]) - 1)] == key if len(self.grams[k]) else np.zeros(len(key), dtype=bool)
-            out[rest[hit]] += self.logs[k][at[hit]]
-            rest, key = rest[~hit], key[~hit] >> np.uint64(8)
-            if len(self.contexts[k]):
-                at = np.minimum(np.searchsorted(self.contexts[k], key), len(self.contexts[k]) - 1)
-                inside = self.contexts[k][at] == key
-                out[rest[inside]] += self.backs[k][at[inside]]
-        return out
-
-
-def fit_tree(texts: DataFrame, depth: int = DEPTH, p_min: float = P_MIN) -> SuffixTree:
-    """The tree of all rows of ``texts`` (one string column)."""
-    with arrow_rows(texts.sparkSession):
-        grams = stored(gram_counts(texts), "lm-grams")
-    symbols = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    levels = []
-    for k in range(depth + 1):
-        level = grams.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1).cast("long")).alias("gram")).agg(F.sum("n").alias("n"))
-        if k:
-            frequent = level.groupBy(F.shiftrightunsigned("gram", 8).alias("context")).agg(F.sum("n").alias("total")).where(F.col("total") >= p_min * symbols)
-            level = level.join(frequent.select("context"), F.shiftrightunsigned("gram", 8) == F.col("context"), "left_semi")
-        found = level.toArrow()  # at most 1 / p_min contexts
-        keys, n = found.column("gram").to_numpy().view(np.uint64), found.column("n").to_numpy()
-        order = np.argsort(keys)
-        levels.append((keys[order], n[order]))
-    return SuffixTree(levels)
 
+def fit_tree(grams: DataFrame, depth: int = DEPTH, min_count: int = MIN_COUNT, min_divergence: float = MIN_DIVERGENCE, prior: float = PRIOR) -> list[DataFrame]:
+    """The levels of the tree, from ``grams`` (gram of depth + 1 symbols, n).
 
-def score_texts(docs: DataFrame, is_training, depth: int = DEPTH) -> DataFrame:
+    Level k holds gram, n, p and retained for every gram of k + 1 symbols: p is
+    the probability of its last symbol in the longest retained suffix, of k
+    symbols at most, of those before it; ``retained`` tells whether those are a
+    retained context themselves.
+    """
+    counts = [grams.select("gram", "n")]
+    for k in range(depth, 0, -1):
+        counts.insert(0, stored(counts[0].groupBy(_last(k).alias("gram")).agg(F.sum("n").alias("n")), f"lm-grams-{k - 1}"))
+    symbols = counts[0].agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    levels = [counts[0].select("gram", "n", ((F.col("n") + 1) / F.lit(float(symbols + _SYMBOLS))).alias("p"), F.lit(True).alias("retained"))]
+    context = Window.partitionBy(F.shiftrightunsigned("gram", 8))
+    for k in range(1, depth + 1):
+        shorter = levels[-1].select(F.col("gram").alias("suffix"), F.col("p").alias("shorter"))
+        met = counts[k].withColumn("suffix", _last(k)).join(shorter, "suffix").withColumn("total", F.sum("n").over(context))
+        share = F.col("n") / F.col("total")
+        bits = F.when(F.col("n") > 0, share * F.log2(share / F.col("shorter"))).otherwise(0.0)
+        kept = (F.col("total") >= min_count) & (F.sum(F.when(F.col("total") > 0, bits).otherwise(0.0)).over(context) >= min_divergence)
+        p = F.when(F.col("retained"), (F.col("n") + F.lit(prior) * F.col("shorter")) / (F.col("total") + F.lit(prior))).otherwise(F.col("shorter"))
+        levels.append(stored(met.withColumn("retained", kept).select("gram", "n", p.alias("p"), "retained"), f"lm-level-{k}"))
+    return levels
+
+
+def score_texts(docs: DataFrame, is_training: Column, depth: int = DEPTH, **fit) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``.
 
-    ``is_training`` is a condition on doc_id; the texts of those rows are
-    learned from.  Null and empty texts have one token, their end.  Texts are
-    read whole.  Repeated rows count, and are scored, each for itself.  Without
-    any training row every symbol is as likely as any other and the base is 0.
-    Extra columns are ignored.
+    ``is_training`` is a condition on doc_id (null counts as false); the texts
+    of those rows are learned from.  Null and empty texts have one token, their
+    end.  Texts are read whole.  Repeated rows count, and are scored, each for
+    itself.  Without any training row every symbol is as likely as any other
+    and the base is 0.  Extra columns are ignored; an empty table gives no row.
+    ``fit`` goes to ``fit_tree``.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    training = rows.where(is_training).select("text")
-    with arrow_rows(spark):
-        counts = stored(word_counts(training), "lm-words")
-    tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    heavy = {r[0]: r[1] for r in counts.where(F.col("n") >= max(1, tokens / HEAVY_WORDS)).collect()}  # HEAVY_WORDS at most
-    heavy |= {END: r[0] for r in counts.where(F.col("word") == F.lit(END)).select("n").collect() if r[0]}  # one row; however rare
-    heavy = {bytes(k): float(np.log10(n + 1)) for k, n in heavy.items()}
-    shared = spark.sparkContext.broadcast((heavy, fit_tree(training, depth)))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(is_training, F.lit(False)).alias("training"))
+    texts = rows.select("text", "training")
+    words = stored(word_counts(texts), "lm-words")
+    tokens, distinct, tokens_everywhere = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0), F.coalesce(F.sum("everywhere"), F.lit(0))).first()
+    heavy = words.where((F.col("everywhere") >= tokens_everywhere / HEAVY_WORDS) | (F.col("word") == F.lit(END))).select("word", "n").collect()  # HEAVY_WORDS at most, and the end
+    known = {bytes(w): float(np.log10(n + 1)) for w, n in heavy}
+    counted = stored(gram_counts(texts), "lm-grams")
+    symbols = counted.agg(F.coalesce(F.sum("everywhere"), F.lit(0))).first()[0]
+    probable = fit_tree(counted, depth, **fit)[-1].select("gram", F.log10("p").alias("log"))
+    frequent = counted.where(F.col("everywhere") >= symbols / HEAVY_GRAMS).select("gram").join(probable, "gram").toArrow()  # HEAVY_GRAMS at most
+    keys = frequent.column("gram").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    shared = spark.sparkContext.broadcast((known, keys[order], frequent.column("log").to_numpy()[order].astype(np.float32)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, tree = shared.value
         part, row = TaskContext.get().partitionId() << 36, 0
         for batch in (x for b in batches for x in text_slices(b, 1)):
-            texts = [words_of(t) for t in batch.column(1).to_pylist()]
-            data, begins = _streams([b" ".join(w) for w in texts])
-            total = np.zeros(len(texts))
-            for gram, text in _blocks(data, begins):
-                keys, back = np.unique(gram, return_inverse=True)
-                total += np.bincount(text, weights=tree.score(keys)[back], minlength=len(texts))
-            logs, hits, offsets, rare, times = [], [], [0], [], []
-            end = known.get(END)
-            for words in texts:
-                log, hit = end or 0.0, int(end is not None)
-                for w, n in Counter(words).items():
-                    if found := known.get(w):  # never 0: heavy words have been counted
-                        log += n * found
-                        hit += n
-                    else:
-                        rare.append(w)
-                        times.append(n)
-                logs.append(log)
-                hits.append(hit)
-                offsets.append(len(rare))
-            lists = lambda values, kind: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
-            uid = pa.array(np.arange(row, row + len(texts)) + part)
-            row += len(texts)
-            yield pa.RecordBatch.from_arrays(
-                [uid, batch.column(0), pa.array([len(w) + 1 for w in texts], pa.int64()), pa.array(hits, pa.int64()), pa.array(logs, pa.float64()), pa.array(total), lists(rare, pa.binary()), lists(times, pa.int64())],
-                ["uid", "doc_id", "n_tokens", "hits", "logs", "score", "rare", "times"],
-            )
-
-    with arrow_rows(spark):
-        own = stored(rows.mapInArrow(score, "uid long, doc_id long, n_tokens long, hits long, logs double, score double, rare array<binary>, times array<long>"), "lm-scored")
-    rare = own.select("uid", F.inline(F.arrays_zip(F.col("rare").alias("word"), F.col("times").alias("times"))))
-    met = rare.join(counts, "word", "left").groupBy("uid").agg(
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more_hits"),
-        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("more_logs"),
+            for k in range(0, len(batch), _TAGS):
+                some = batch.slice(k, _TAGS)
+                yield _scored(some, part + row, *shared.value)
+                row += len(some)
+
+    own = stored(rows.select("doc_id", "text").mapInArrow(score, _SCORED), "lm-scored")
+    each = lambda what, key: own.select("uid", F.inline(F.arrays_zip(F.col(what).alias(key), F.col(f"{what}_times").alias("times"))))
+    from_words = each("words", "word").join(words.select("word", "n"), "word").groupBy("uid").agg(
+        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_hits"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_base"),
     )
-    return own.drop("rare", "times").join(met, "uid", "left").select(
+    from_grams = each("grams", "gram").join(probable, "gram").groupBy("uid").agg(F.sum(F.col("times") * F.col("log")).alias("more_score"))
+    base = F.col("base") + F.coalesce("more_base", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(tokens + distinct + 1))
+    return own.select("uid", "doc_id", "n_tokens", "hits", "base", "score").join(from_words, "uid", "left").join(from_grams, "uid", "left").select(
         "doc_id", "n_tokens", (F.col("hits") + F.coalesce("more_hits", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(tokens + distinct + 1))).alias("base_score"), "score",
+        base.alias("base_score"), (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )
 
 
+_SCORED = "uid long, doc_id long, n_tokens long, hits long, base double, score double, words array<binary>, words_times array<long>, grams array<long>, grams_times array<long>"
+
+
+def _scored(batch: pa.RecordBatch, uid: int, known: dict[bytes, float], heavy: np.ndarray, logs: np.ndarray) -> pa.RecordBatch:
+    """What the frequent words and grams give each text (doc_id, text), and its other words and grams with their numbers."""
+    size = len(batch)
+    lists = _words(batch.column(1))
+    lengths = pc.list_value_length(lists).to_numpy()
+    coded = lists.flatten().cast(pa.large_binary()).dictionary_encode()
+    pairs, times = _counted(np.repeat(np.arange(size), lengths) * max(1, len(coded.dictionary)) + coded.indices.to_numpy())
+    text, code = np.divmod(pairs, max(1, len(coded.dictionary)))
+    log = np.array([known.get(w, np.nan) for w in coded.dictionary.to_pylist()], dtype=float)
+    of = log[code]
+    there, end = ~np.isnan(of), known.get(END, 0.0)
+    base = np.bincount(text[there], weights=(times * of)[there], minlength=size) + end
+    hits = np.bincount(text[there], weights=times[there] * (of[there] > 0), minlength=size) + (end > 0)
+    others = _listed(text[~there], coded.dictionary.take(pa.array(code[~there])).cast(pa.binary()), times[~there], size)
+
+    score, rare = np.zeros(size), []
+    for key, n in _tallies(lists, np.arange(size)):
+        gram, text = key >> np.uint64(8), (key & np.uint64(_TAGS - 1)).astype(np.int64)
+        at = np.minimum(np.searchsorted(heavy, gram), max(0, len(heavy) - 1))
+        there = heavy[at] == gram if len(heavy) else np.zeros(len(gram), dtype=bool)
+        score += np.bincount(text[there], weights=n[there] * logs[at[there]], minlength=size)
+        rare.append((text[~there], gram[~there], n[~there]))
+    text, gram, n = (np.concatenate(x) for x in zip(*rare, strict=True))
+    order = np.argsort(text, kind="stable")
+    grams = _listed(text[order], pa.array(gram[order].view(np.int64)), n[order], size)
+    columns = [pa.array(np.arange(uid, uid + size)), batch.column(0), pa.array(lengths + 1, pa.int64()), pa.array(hits.astype(np.int64)), pa.array(base), pa.array(score), *others, *grams]
+    return pa.RecordBatch.from_arrays(columns, ["uid", "doc_id", "n_tokens", "hits", "base", "score", "words", "words_times", "grams", "grams_times"])
+
+
+def _listed(text: np.ndarray, values: pa.Array, times: np.ndarray, size: int) -> tuple[pa.Array, pa.Array]:
+    """Values and times as a list each of the ``size`` texts; ``text`` is sorted."""
+    offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(text, minlength=size))]), pa.int32())
+    return pa.ListArray.from_arrays(offsets, values), pa.ListArray.from_arrays(offsets, pa.array(times, pa.int64()))
+
+
 def op7_suffix_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = id_remainder(F.col("doc_id"), 7) == 2
     scored = score_texts(table(spark, sf_dir, "documents"), ~held_out)

@@ -374,36 +374,48 @@ def test_suffix_lm_knows_a_rare_end(spark, monkeypatch):
     assert np.isclose(r.base_score, 10 * np.log10(11) + np.log10(2) - 11 * np.log10(14))
 
 
-def test_suffix_tree_by_brute_force():
-    depth, prior, bits = 3, 5.0, 0.05
-    stream = "\n".join(texts(20, 5)).replace("é", "e").replace("ñ", "n").encode()
-    levels, counts = [], []
-    for k in range(depth + 1):
-        c = Counter(stream[i - k : i + 1] for i in range(depth, len(stream)))
-        keys = np.array(sorted(int.from_bytes(g, "big") for g in c), dtype=np.uint64)
-        levels.append((keys, np.array([c[int(x).to_bytes(k + 1, "big")] for x in keys])))
-        counts.append(c)
-    tree = suffix_lm.SuffixTree(levels, prior, bits)
-    total = Counter()
+@pytest.mark.parametrize("heavy", [10_000_000, 40, 1])
+def test_suffix_tree_by_brute_force(spark, monkeypatch, heavy):
+    monkeypatch.setattr(suffix_lm, "HEAVY_GRAMS", heavy)
+    depth, prior, bits, least = suffix_lm.DEPTH, 5.0, 0.05, 4
+    rows = BLANKS + [(10 + i, t) for i, t in enumerate(texts(60, 5))] + [(90, "unseen Zs ½ " * 50), (None, "no id")]
+    stream = lambda t: b"\n" * depth + " ".join(words(t)).encode() + b"\n"
+    counts = [Counter() for _ in range(depth + 1)]
+    for i, t in rows:
+        if i is not None and i % 3:
+            s = stream(t)
+            for k in range(depth + 1):
+                counts[k].update(s[at - k : at + 1] for at in range(depth, len(s)))
+    total = [Counter() for _ in range(depth + 1)]
     for k in range(1, depth + 1):
         for g, n in counts[k].items():
-            total[g[:-1]] += n
+            total[k][g[:-1]] += n
     retained = {}
     def prob(context, symbol):
         while context and not retained.get(context):
             context = context[1:]
         if not context:
             return (counts[0][symbol] + 1) / (sum(counts[0].values()) + 256)
-        return (counts[len(context)][context + symbol] + prior * prob(context[1:], symbol)) / (total[context] + prior)
+        return (counts[len(context)][context + symbol] + prior * prob(context[1:], symbol)) / (total[len(context)][context] + prior)
     for k in range(1, depth + 1):
-        for context in [c for c in total if len(c) == k]:
-            kl = sum(n / total[context] * np.log2(n / total[context] / prob(context[1:], g[-1:])) for g, n in counts[k].items() if g[:-1] == context)
-            retained[context] = kl >= bits
-    grams = [bytes(g) for g in np.random.Generator(np.random.PCG64(1)).choice(list(set(stream)), (300, depth + 1)).astype(np.uint8)] + [stream[i : i + depth + 1] for i in range(200)]
-    got = tree.score(np.array([int.from_bytes(g, "big") for g in grams], dtype=np.uint64))
-    assert np.allclose(got, [np.log10(prob(g[:-1], g[-1:])) for g in grams])
-    whole = sum(10 ** tree.score(np.array([int.from_bytes(stream[50:53] + bytes([s]), "big")], dtype=np.uint64))[0] for s in range(256))
-    assert abs(whole - 1) < 1e-9
+        following = defaultdict(list)
+        for g, n in counts[k].items():
+            following[g[:-1]].append((g[-1:], n))
+        for context, after in following.items():
+            m = total[k][context]
+            retained[context] = m >= least and sum(n / m * np.log2(n / m / prob(context[1:], x)) for x, n in after) >= bits
+    assert sum(retained.values()) > 100
+    for context in [b"", *[c for c, r in retained.items() if r][::50]]:
+        assert abs(sum(prob(context, bytes([x])) for x in range(256)) - 1) < 1e-9
+    want = sorted((i or -1, round(sum(np.log10(prob(s[at - depth : at], s[at : at + 1])) for at in range(depth, len(s))), 3)) for i, t in rows for s in [stream(t)])
+    got = suffix_lm.score_texts(docs(spark, rows), F.col("doc_id") % 3 != 0, min_count=least, min_divergence=bits, prior=prior).collect()
+    assert np.allclose(sorted((r.doc_id or -1, r.score) for r in got), want, rtol=1e-5, atol=2e-3)
+
+
+def test_suffix_lm_of_a_very_long_text(spark):
+    row = (1, "one two three four five " * 40_000)
+    got = suffix_lm.score_texts(docs(spark, [row, (2, "one two")]), F.lit(True)).collect()
+    assert sorted((r.doc_id, r.n_tokens, r.n_known) for r in got) == [(1, 200_001, 200_001), (2, 3, 3)]
 
 
 # Secrets
