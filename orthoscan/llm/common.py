@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from orthoscan.sources.scratch import scratch_root, stored
 
-__all__ = ["LOWER", "SPACES", "UPPER", "arrow_rows", "ascii_lower", "id_remainder", "scratch_root", "stored", "table", "text_slices"]
+__all__ = ["LOWER", "SPACES", "UPPER", "arrow_rows", "ascii_lower", "id_remainder", "scratch_root", "stored", "table", "text_slices", "texts_of"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -54,6 +54,11 @@ def text_slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iter
         lo = hi
 
 
+def texts_of(column: pa.Array) -> pa.Array:
+    """A column of strings, nulls empty, in buffers of its own: Arrow's string functions misread some slices."""
+    return pc.fill_null(column.take(pa.array(np.arange(len(column)))).cast(pa.large_string()), "")
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, most: int = 1000) -> Iterator[None]:
     """Jobs begun inside send at most ``most`` rows at a time to Python; the session's setting is put back."""

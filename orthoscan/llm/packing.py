@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orthoscan.llm.common import stored, table, text_slices
+from orthoscan.llm.common import stored, table, text_slices, texts_of
 
 CAPACITY = 4096
 END_ID = 1
@@ -109,7 +109,7 @@ class WordEncoder:
         """The ids of all texts (strings, nulls empty), END_ID after each, and how many each has."""
         if len(self.number) > CACHED_STEMS:
             self.clear()
-        lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        lists = pc.ascii_split_whitespace(texts_of(texts))
         of_text = np.diff(lists.offsets.to_numpy())
         words = lists.flatten().dictionary_encode()
         distinct = words.dictionary

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orthoscan.llm.common import id_remainder, stored, table, text_slices
+from orthoscan.llm.common import id_remainder, stored, table, text_slices, texts_of
 
 DEPTH = 6
 #: Symbols that must follow a context in the training texts.
@@ -49,7 +49,7 @@ _SYMBOLS, _TAGS = 256, 256
 
 def _words(texts: pa.Array) -> pa.Array:
     """The lower-cased words of each text; none for nulls and blanks."""
-    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))))
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts_of(texts))))
     blank = pc.equal(pc.binary_join(lists, pa.scalar("", pa.large_string())), "").to_numpy(zero_copy_only=False)
     sizes = np.where(blank, 0, pc.list_value_length(lists).to_numpy())
     flat = lists.flatten()
@@ -59,10 +59,10 @@ def _words(texts: pa.Array) -> pa.Array:
 
 def _tallies(words: pa.Array, tags: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Sorted distinct (gram << 8 | tag of its text), and how often each occurs, block by block."""
-    texts = [t.as_buffer() for t in pc.binary_join(words, pa.scalar(" ", pa.large_string()))]
+    texts = pc.binary_join(words, pa.scalar(" ", pa.large_string())).cast(pa.large_binary()).to_pylist()
     pad = END * DEPTH
     data = np.frombuffer(b"".join(x for t in texts for x in (pad, t, END)), dtype=np.uint8)
-    sizes = np.array([t.size + 1 for t in texts], dtype=np.int64)
+    sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
     runs = np.stack([np.full(len(sizes), DEPTH), sizes], axis=1).reshape(-1)
     inside = np.repeat(np.tile([False, True], len(sizes)), runs)
     tag = np.repeat(tags.astype(np.uint8), sizes + DEPTH)

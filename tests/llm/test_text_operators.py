@@ -356,6 +356,21 @@ def test_word_ids_are_the_tokenizers_own():
 # Language model
 
 
+def test_words_of_slices():
+    import pyarrow as pa
+    from orthoscan.llm.common import text_slices
+
+    batch = pa.RecordBatch.from_arrays([pa.array([None, "", " ", *texts(400), "A\tb\x1cÉ \n"])], ["text"])
+    for part in text_slices(batch, 0, 900):
+        rows = part.column(0).to_pylist()
+        assert suffix_lm._words(part.column(0)).to_pylist() == [words(t) for t in rows]
+        tallies = Counter()
+        for keys, n in suffix_lm._tallies(suffix_lm._words(part.column(0)), np.ones(len(rows))):
+            tallies.update(dict(zip((int(k >> 8).to_bytes(7, "big") for k in keys.tolist()), n.tolist(), strict=True)))
+        streams = [b"\n" * 6 + " ".join(words(t)).encode() + b"\n" for t in rows]
+        assert tallies == Counter(s[i - 6 : i + 1] for s in streams for i in range(6, len(s)))
+
+
 def test_suffix_lm_base_and_counts(spark):
     rows = BLANKS + [(10 + i, t) for i, t in enumerate(texts(120, 3))]
     got = suffix_lm.score_texts(docs(spark, rows), F.col("doc_id") % 3 != 0).collect()
