@@ -9,10 +9,10 @@ predicts.  A symbol is scored in the longest retained suffix of what precedes
 it; the counts there are smoothed with the prediction of the next shorter one.
 
 MIN_COUNT is a number of symbols, not a share, so the tree grows with the
-corpus.  It is never in one place: the levels are tables, rolled up from the
-longest grams, and level k takes its shorter predictions from level k - 1 by a
-join.  The grams of all texts, training texts or not, are in these tables, so
-the last level holds the log10 probability of every gram that will be scored.
+corpus.  It is never in one place: the grams of all texts, training texts or
+not, are a table, parted by the two symbols before the predicted one.  All
+longer contexts are whole within a part, which computes its levels upwards, and
+so holds the log10 probability of every gram that will be scored.
 
 Texts meet those probabilities in two ways.  At most HEAVY_GRAMS grams are each
 at least 1 / HEAVY_GRAMS of all symbols; they go to every task.  The others are
@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orthoscan.llm.common import id_remainder, stored, table, text_slices, texts_of
@@ -41,9 +41,11 @@ MIN_DIVERGENCE = 0.01
 #: Weight of the shorter context's prediction, in symbols.
 PRIOR = 40.0
 #: What goes to every task at most: 12 bytes a gram; a word and its log count.
-HEAVY_GRAMS, HEAVY_WORDS = 10_000_000, 200_000
+HEAVY_GRAMS, HEAVY_WORDS = 30_000_000, 200_000
+#: Symbols of all texts a part of the gram table.
+PART_SYMBOLS = 16 << 20
 END = b"\n"  # never part of a word
-_BLOCK, _HELD_GRAMS, _HELD_WORDS = 1 << 22, 3_000_000, 1_000_000
+_BLOCK, _HELD_GRAMS, _HELD_WORDS = 1 << 22, 1_500_000, 400_000
 _SYMBOLS, _TAGS = 256, 256
 
 
@@ -85,31 +87,80 @@ def _counted(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray,
     return keys[first], np.diff(np.append(first, len(keys))) if n is None else np.add.reduceat(n, first) if len(keys) else n
 
 
-def gram_counts(texts: DataFrame) -> DataFrame:
-    """gram, n, everywhere: occurrences in training texts and in all texts (text, training boolean)."""
+_BLOBS = "part int, grams binary, n binary, everywhere binary"
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in (x for b in batches for x in text_slices(b, 0)):
-            for found in _tallies(_words(batch.column(0)), np.array(batch.column(1))):
-                held.append(found)
-                size += len(found[0])
-            if size > _HELD_GRAMS:
-                held = [_counted(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))]
-                size = len(held[0][0])
-                if size > _HELD_GRAMS // 2:
-                    yield as_batch(*held[0])
-                    held, size = [], 0
-        if held:
-            yield as_batch(*_counted(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held])))
 
-    def as_batch(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        gram, training = keys >> np.uint64(8), (keys & np.uint64(1)) == 1
-        first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, np.int64)
-        sums = [np.add.reduceat(x, first) if len(first) else n for x in (n * training, n)]
-        return pa.RecordBatch.from_arrays([pa.array(gram[first].view(np.int64)), *(pa.array(x.astype(np.int64)) for x in sums)], ["gram", "n", "everywhere"])
+def _parted(part: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row a part: its number and its share of each column (int64), as bytes."""
+    order = np.argsort(part, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], np.diff(part[order]) != 0])) if len(order) else order
+    ends = np.append(first[1:], len(order))
+    held = [np.ascontiguousarray(c[order]).view(np.int64) for c in columns]
+    if len(first):
+        yield pa.RecordBatch.from_arrays([pa.array(part[order][first], pa.int32()), *(pa.array([c[i:j].tobytes() for i, j in zip(first.tolist(), ends.tolist(), strict=True)], pa.binary()) for c in held)], ["part", "grams", "n", "everywhere"])
+
+
+def _column(batch: pa.RecordBatch, name: str, kind: type = np.int64) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column(name).to_pylist()), dtype=kind)
+
+
+class _Sums:
+    """Sorted distinct grams with two sums each, merged whenever many are held."""
+
+    def __init__(self):
+        self.held, self.size = [], 0
+
+    def add(self, *columns: np.ndarray) -> None:
+        self.held.append(columns)
+        self.size += len(columns[0])
+        if self.size > 2 * _HELD_GRAMS:
+            self.merge()
 
-    return texts.mapInArrow(count, "gram long, n long, everywhere long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("everywhere").alias("everywhere"))
+    def merge(self) -> tuple[np.ndarray, ...]:
+        gram, n, everywhere = (np.concatenate(c) for c in zip(*self.held, (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)), strict=True))
+        order = np.argsort(gram)
+        gram = gram[order]
+        first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else order
+        merged = (gram[first], *(np.add.reduceat(x[order], first) if len(first) else x for x in (n, everywhere)))
+        self.held, self.size = [merged], len(first)
+        return merged
+
+
+def _mixed(x: np.ndarray, parts: int) -> np.ndarray:
+    return ((x * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(parts)).astype(np.int32)
+
+
+def gram_counts(texts: DataFrame, parts: int) -> DataFrame:
+    """Every gram with its occurrences in training texts and in all texts (text, training boolean), as _BLOBS.
+
+    Each gram is in one row, and grams whose two symbols before the last are
+    the same have the same ``part`` (0 to ``parts`` - 1).  Tasks send sorted
+    distinct grams as bytes, so that sums cost no row each.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _Sums()
+        for batch in (x for b in batches for x in text_slices(b, 0)):
+            for keys, n in _tallies(_words(batch.column(0)), np.array(batch.column(1))):
+                sums.add(keys >> np.uint64(8), n * (keys & np.uint64(1)).astype(np.int64), n)
+            if sums.size > _HELD_GRAMS:
+                gram, *columns = sums.merge()
+                if sums.size > _HELD_GRAMS // 2:
+                    yield from _parted(_mixed(gram, parts), gram, *columns)
+                    sums = _Sums()
+        gram, *columns = sums.merge()
+        yield from _parted(_mixed(gram, parts), gram, *columns)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _Sums()
+        for batch in batches:
+            for k in range(0, len(batch), 64):
+                some = batch.slice(k, 64)
+                sums.add(_column(some, "grams", np.uint64), _column(some, "n"), _column(some, "everywhere"))
+        gram, *columns = sums.merge()
+        yield from _parted(_mixed(gram >> np.uint64(8) & np.uint64(0xFFFF), parts), gram, *columns)
+
+    return texts.mapInArrow(count, _BLOBS).repartition(parts, "part").mapInArrow(merge, _BLOBS)
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -143,34 +194,56 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "word binary, n long, everywhere long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("everywhere").alias("everywhere"))
 
 
-def _last(symbols: int) -> Column:
-    """The last ``symbols`` symbols of a gram."""
-    return F.col("gram").bitwiseAND(F.lit((1 << 8 * symbols) - 1).cast("long"))
+def _smoothed(keys: np.ndarray, n: np.ndarray, shorter: np.ndarray, min_count: float, min_divergence: float, prior: float) -> np.ndarray:
+    """Probability of the last symbol of each of the sorted ``keys`` (whole contexts), given that of the next shorter context."""
+    context = keys >> np.uint64(8)
+    first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+    of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
+    total = np.add.reduceat(n, first).astype(float)
+    share = n / np.maximum(total, 1)[of]
+    bits = np.add.reduceat(share * np.log2(np.where(n > 0, share / shorter, 1.0)), first)
+    kept = ((total >= min_count) & (bits >= min_divergence))[of]
+    return np.where(kept, (n + prior * shorter) / (total[of] + prior), shorter)
 
 
-def fit_tree(grams: DataFrame, depth: int = DEPTH, min_count: int = MIN_COUNT, min_divergence: float = MIN_DIVERGENCE, prior: float = PRIOR) -> list[DataFrame]:
-    """The levels of the tree, from ``grams`` (gram of depth + 1 symbols, n).
+def fit_tree(counted: DataFrame, parts: int, depth: int = DEPTH, min_count: int = MIN_COUNT, min_divergence: float = MIN_DIVERGENCE, prior: float = PRIOR) -> DataFrame:
+    """gram, everywhere, log: the log10 probability of the last symbol of every gram of ``counted``.
 
-    Level k holds gram, n, p and retained for every gram of k + 1 symbols: p is
-    the probability of its last symbol in the longest retained suffix, of k
-    symbols at most, of those before it; ``retained`` tells whether those are a
-    retained context themselves.
+    It is the probability in the longest retained suffix of the symbols before.
+    Counts of one and two symbols are summed for all (256 and 65,536 rows at
+    most); longer contexts are whole within a part, level by level.
     """
-    counts = [grams.select("gram", "n")]
-    for k in range(depth, 0, -1):
-        counts.insert(0, stored(counts[0].groupBy(_last(k).alias("gram")).agg(F.sum("n").alias("n")), f"lm-grams-{k - 1}"))
-    symbols = counts[0].agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    levels = [counts[0].select("gram", "n", ((F.col("n") + 1) / F.lit(float(symbols + _SYMBOLS))).alias("p"), F.lit(True).alias("retained"))]
-    context = Window.partitionBy(F.shiftrightunsigned("gram", 8))
-    for k in range(1, depth + 1):
-        shorter = levels[-1].select(F.col("gram").alias("suffix"), F.col("p").alias("shorter"))
-        met = counts[k].withColumn("suffix", _last(k)).join(shorter, "suffix").withColumn("total", F.sum("n").over(context))
-        share = F.col("n") / F.col("total")
-        bits = F.when(F.col("n") > 0, share * F.log2(share / F.col("shorter"))).otherwise(0.0)
-        kept = (F.col("total") >= min_count) & (F.sum(F.when(F.col("total") > 0, bits).otherwise(0.0)).over(context) >= min_divergence)
-        p = F.when(F.col("retained"), (F.col("n") + F.lit(prior) * F.col("shorter")) / (F.col("total") + F.lit(prior))).otherwise(F.col("shorter"))
-        levels.append(stored(met.withColumn("retained", kept).select("gram", "n", p.alias("p"), "retained"), f"lm-level-{k}"))
-    return levels
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(1 << 16, dtype=np.int64)
+        for batch in batches:
+            np.add.at(sums, _column(batch, "grams") & 0xFFFF, _column(batch, "n"))
+        there = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(sums[there])], ["pair", "n"])
+
+    found = counted.mapInArrow(pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros(1 << 16, dtype=np.int64)
+    n[found.column("pair").to_numpy()] = found.column("n").to_numpy()
+    one = n.reshape(_SYMBOLS, _SYMBOLS).sum(axis=0)
+    two = _smoothed(np.arange(1 << 16, dtype=np.uint64), n, np.tile((one + 1) / (one.sum() + _SYMBOLS), _SYMBOLS), min_count, min_divergence, prior)
+    shared = counted.sparkSession.sparkContext.broadcast(two)
+
+    def levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _Sums()
+        for batch in batches:
+            sums.add(_column(batch, "grams", np.uint64), _column(batch, "n"), _column(batch, "everywhere"))
+        gram, n, everywhere = sums.merge()
+        if not len(gram):
+            return
+        p, below = shared.value, np.arange(1 << 16, dtype=np.uint64)
+        for k in range(2, depth + 1):
+            keys, back = np.unique(gram & np.uint64((1 << 8 * (k + 1)) - 1), return_inverse=True)
+            shorter = p[np.searchsorted(below, keys & np.uint64((1 << 8 * k) - 1))]
+            p, below = _smoothed(keys, np.bincount(back, weights=n, minlength=len(keys)), shorter, min_count, min_divergence, prior), keys
+        out = pa.table({"gram": gram.view(np.int64), "everywhere": everywhere, "log": np.log10(p[back])})
+        yield from out.to_batches(max_chunksize=100_000)
+
+    return counted.repartition(parts, "part").mapInArrow(levels, "gram long, everywhere long, log double")
 
 
 def score_texts(docs: DataFrame, is_training: Column, depth: int = DEPTH, **fit) -> DataFrame:
@@ -190,10 +263,11 @@ def score_texts(docs: DataFrame, is_training: Column, depth: int = DEPTH, **fit)
     tokens, distinct, tokens_everywhere = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0), F.coalesce(F.sum("everywhere"), F.lit(0))).first()
     heavy = words.where((F.col("everywhere") >= tokens_everywhere / HEAVY_WORDS) | (F.col("word") == F.lit(END))).select("word", "n").collect()  # HEAVY_WORDS at most, and the end
     known = {bytes(w): float(np.log10(n + 1)) for w, n in heavy}
-    counted = stored(gram_counts(texts), "lm-grams")
-    symbols = counted.agg(F.coalesce(F.sum("everywhere"), F.lit(0))).first()[0]
-    probable = fit_tree(counted, depth, **fit)[-1].select("gram", F.log10("p").alias("log"))
-    frequent = counted.where(F.col("everywhere") >= symbols / HEAVY_GRAMS).select("gram").join(probable, "gram").toArrow()  # HEAVY_GRAMS at most
+    symbols = words.agg(F.coalesce(F.sum(F.col("everywhere") * (F.octet_length("word") + 1)), F.lit(0))).first()[0]
+    parts = 1 + symbols // PART_SYMBOLS
+    probable = stored(fit_tree(stored(gram_counts(texts, parts), "lm-grams"), parts, depth, **fit), "lm-probabilities")
+    is_frequent = F.col("everywhere") >= symbols / HEAVY_GRAMS
+    frequent = probable.where(is_frequent).select("gram", "log").toArrow()  # HEAVY_GRAMS at most
     keys = frequent.column("gram").to_numpy().view(np.uint64)
     order = np.argsort(keys)
     shared = spark.sparkContext.broadcast((known, keys[order], frequent.column("log").to_numpy()[order].astype(np.float32)))
@@ -211,7 +285,7 @@ def score_texts(docs: DataFrame, is_training: Column, depth: int = DEPTH, **fit)
     from_words = each("words", "word").join(words.select("word", "n"), "word").groupBy("uid").agg(
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_hits"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_base"),
     )
-    from_grams = each("grams", "gram").join(probable, "gram").groupBy("uid").agg(F.sum(F.col("times") * F.col("log")).alias("more_score"))
+    from_grams = each("grams", "gram").join(probable.where(~is_frequent).select("gram", "log"), "gram").groupBy("uid").agg(F.sum(F.col("times") * F.col("log")).alias("more_score"))
     base = F.col("base") + F.coalesce("more_base", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(tokens + distinct + 1))
     return own.select("uid", "doc_id", "n_tokens", "hits", "base", "score").join(from_words, "uid", "left").join(from_grams, "uid", "left").select(
         "doc_id", "n_tokens", (F.col("hits") + F.coalesce("more_hits", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),

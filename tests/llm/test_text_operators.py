@@ -389,9 +389,10 @@ def test_suffix_lm_knows_a_rare_end(spark, monkeypatch):
     assert np.isclose(r.base_score, 10 * np.log10(11) + np.log10(2) - 11 * np.log10(14))
 
 
-@pytest.mark.parametrize("heavy", [10_000_000, 40, 1])
-def test_suffix_tree_by_brute_force(spark, monkeypatch, heavy):
+@pytest.mark.parametrize(("heavy", "part"), [(10_000_000, 1 << 24), (40, 500), (1, 10_000)])
+def test_suffix_tree_by_brute_force(spark, monkeypatch, heavy, part):
     monkeypatch.setattr(suffix_lm, "HEAVY_GRAMS", heavy)
+    monkeypatch.setattr(suffix_lm, "PART_SYMBOLS", part)
     depth, prior, bits, least = suffix_lm.DEPTH, 5.0, 0.05, 4
     rows = BLANKS + [(10 + i, t) for i, t in enumerate(texts(60, 5))] + [(90, "unseen Zs ½ " * 50), (None, "no id")]
     stream = lambda t: b"\n" * depth + " ".join(words(t)).encode() + b"\n"
