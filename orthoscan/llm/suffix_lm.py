@@ -45,7 +45,7 @@ HEAVY_GRAMS, HEAVY_WORDS = 30_000_000, 200_000
 #: Symbols of all texts a part of the gram table.
 PART_SYMBOLS = 16 << 20
 END = b"\n"  # never part of a word
-_BLOCK, _HELD_GRAMS, _HELD_WORDS = 1 << 22, 1_500_000, 400_000
+_SLICE, _BLOCK, _HELD_GRAMS, _HELD_WORDS = 1 << 20, 1 << 20, 500_000, 400_000
 _SYMBOLS, _TAGS = 256, 256
 
 
@@ -140,7 +140,7 @@ def gram_counts(texts: DataFrame, parts: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = _Sums()
-        for batch in (x for b in batches for x in text_slices(b, 0)):
+        for batch in (x for b in batches for x in text_slices(b, 0, _SLICE)):
             for keys, n in _tallies(_words(batch.column(0)), np.array(batch.column(1))):
                 sums.add(keys >> np.uint64(8), n * (keys & np.uint64(1)).astype(np.int64), n)
             if sums.size > _HELD_GRAMS:
@@ -168,7 +168,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in (x for b in batches for x in text_slices(b, 0)):
+        for batch in (x for b in batches for x in text_slices(b, 0, _SLICE)):
             lists, training = _words(batch.column(0)), np.array(batch.column(1)).astype(np.int64)
             words = lists.flatten().cast(pa.large_binary()).dictionary_encode()
             codes, own = words.indices.to_numpy(), np.repeat(training, pc.list_value_length(lists).to_numpy())
@@ -274,7 +274,7 @@ def score_texts(docs: DataFrame, is_training: Column, depth: int = DEPTH, **fit)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row = TaskContext.get().partitionId() << 36, 0
-        for batch in (x for b in batches for x in text_slices(b, 1)):
+        for batch in (x for b in batches for x in text_slices(b, 1, _SLICE)):
             for k in range(0, len(batch), _TAGS):
                 some = batch.slice(k, _TAGS)
                 yield _scored(some, part + row, *shared.value)
