@@ -45,7 +45,7 @@ HEAVY_GRAMS, HEAVY_WORDS = 30_000_000, 200_000
 #: Symbols of all texts a part of the gram table.
 PART_SYMBOLS = 16 << 20
 END = b"\n"  # never part of a word
-_SLICE, _BLOCK, _HELD_GRAMS, _HELD_WORDS = 1 << 20, 1 << 20, 500_000, 400_000
+_SLICE, _BLOCK, _HELD_GRAMS, _HELD_WORDS = 1 << 20, 1 << 20, 800_000, 400_000
 _SYMBOLS, _TAGS = 256, 256
 
 
@@ -87,21 +87,32 @@ def _counted(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray,
     return keys[first], np.diff(np.append(first, len(keys))) if n is None else np.add.reduceat(n, first) if len(keys) else n
 
 
-_BLOBS = "part int, grams binary, n binary, everywhere binary"
+_BLOBS = "part int, size int, grams binary, n binary, everywhere binary"
 
 
-def _parted(part: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A row a part: its number and its share of each column (int64), as bytes."""
-    order = np.argsort(part, kind="stable")
-    first = np.flatnonzero(np.concatenate([[True], np.diff(part[order]) != 0])) if len(order) else order
-    ends = np.append(first[1:], len(order))
-    held = [np.ascontiguousarray(c[order]).view(np.int64) for c in columns]
-    if len(first):
-        yield pa.RecordBatch.from_arrays([pa.array(part[order][first], pa.int32()), *(pa.array([c[i:j].tobytes() for i, j in zip(first.tolist(), ends.tolist(), strict=True)], pa.binary()) for c in held)], ["part", "grams", "n", "everywhere"])
+def _packed(x: np.ndarray) -> bytes:
+    """Small or slowly growing numbers in few bytes: their differences, byte by byte, compressed."""
+    steps = np.diff(x.view(np.int64), prepend=np.int64(0))
+    return pa.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes, size: int) -> np.ndarray:
+    steps = np.frombuffer(pa.decompress(packed, 8 * size, codec="zstd"), dtype=np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(steps.T).view(np.int64).reshape(-1))
+
+
+def _parted(part: np.ndarray, gram: np.ndarray, n: np.ndarray, everywhere: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row a part: its number, how many grams it has, and its share of each column."""
+    if len(part):
+        order = np.argsort(part, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], np.diff(part[order]) != 0]))
+        runs = [order[i:j] for i, j in zip(first.tolist(), np.append(first[1:], len(order)).tolist(), strict=True)]
+        packed = [pa.array([_packed(c[run]) for run in runs], pa.binary()) for c in (gram, n, everywhere)]
+        yield pa.RecordBatch.from_arrays([pa.array(part[order][first], pa.int32()), pa.array([len(r) for r in runs], pa.int32()), *packed], ["part", "size", "grams", "n", "everywhere"])
 
 
 def _column(batch: pa.RecordBatch, name: str, kind: type = np.int64) -> np.ndarray:
-    return np.frombuffer(b"".join(batch.column(name).to_pylist()), dtype=kind)
+    return np.concatenate([np.zeros(0, np.int64), *map(_unpacked, batch.column(name).to_pylist(), batch.column("size").to_pylist())]).view(kind)
 
 
 class _Sums:
