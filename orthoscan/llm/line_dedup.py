@@ -1,27 +1,26 @@
 """Line dedup: lines that many documents repeat stay in the last one only.
 
-Lines become 128-bit hashes.  The hashes are range-partitioned, sorted within
-each partition by hash, document (last first) and position, and streamed: the
-first document of a run keeps its line, the rows after it lose theirs if the
-run holds enough documents.  What comes out is a compressed keep bitmap per
-document, as runs of kept lines; text is only cut when a bitmap is applied.
-
-A hash so frequent that its run would swell one partition is taken out before:
-there are few such hashes by arithmetic (rows / ``limit``), so they and their
-last documents are broadcast and decided where the rows are.
+Lines become 128-bit hashes.  They are range-partitioned by hash and document
+and sorted by hash, document (last first) and position within a partition, so
+a hash that a third of all lines have is a run over many partitions and no
+task's burden.  Each partition streams its runs into one row a run: documents
+and last document.  The rows of a hash are combined, and what comes back to
+the runs, per hash and partition, is the document whose line stays: the first
+occurrence in that order.  There is one path, whatever the size of a run.
+
+What comes out is a compressed keep bitmap per document, as runs of kept
+lines; text is only cut when a bitmap is applied.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orthoscan.llm.common import SPACES, ascii_lower, stored, table
 
 #: A line counts from this many code points on, and is dropped if so many documents hold it.
 MIN_CHARS, MIN_DOCS = 40, 5
-#: A run is broadcast instead of streamed from rows / HEAVY_KEYS rows on, or from HEAVY_ROWS rows.
-HEAVY_KEYS, HEAVY_ROWS = 2000, 1_000_000
 #: Stands for a null doc_id, which sorts before all others.
 NO_ID = -(1 << 63)
 
@@ -46,6 +45,16 @@ def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return lines.where(F.char_length("line") >= min_chars).select("id", "text_key", "pos", F.unhex(F.md5(ascii_lower(F.col("line")))).alias("hash"))
 
 
+def sorted_lines(hashes: DataFrame) -> DataFrame:
+    """``hashes`` by ranges of hash and document, sorted, with ``part``: the range's number.
+
+    A document's lines of one hash are in one range, so the documents of a
+    hash are counted range by range.
+    """
+    ranged = hashes.repartitionByRange("hash", F.desc("id")).sortWithinPartitions("hash", F.desc("id"), "pos")
+    return stored(ranged.withColumn("part", F.spark_partition_id()), "line-sorted")
+
+
 def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """Bitmaps of the documents that lose lines: id, text_key, n_dropped, keep_runs, tail_from.
 
@@ -53,29 +62,18 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     (start, len) from 0; all lines from ``tail_from`` on are kept.  Documents
     without a row keep every line.
     """
-    rows = stored(line_hashes(docs, min_chars), "line-hashes")
-    total = rows.count()
-    limit = max(min_docs, min(total // HEAVY_KEYS, HEAVY_ROWS))
-    heavy = stored(rows.groupBy("hash").count().where(F.col("count") >= limit).select("hash"), "line-heavy")  # at most total / limit rows
-    last = rows.join(F.broadcast(heavy), "hash").groupBy("hash").agg(F.countDistinct("id").alias("docs"), F.max("id").alias("last_id")).where(F.col("docs") >= min_docs)
-    from_heavy = rows.join(F.broadcast(stored(last, "line-last")), "hash").where(F.col("id") < F.col("last_id"))
-
-    by_hash = Window.partitionBy("hash")
-    streamed = (
-        rows.join(F.broadcast(heavy), "hash", "left_anti").repartitionByRange("hash")
-        .withColumn("nth_doc", F.dense_rank().over(by_hash.orderBy(F.desc("id"))))
-        .withColumn("docs", F.max("nth_doc").over(by_hash))
-        .where((F.col("docs") >= min_docs) & (F.col("nth_doc") > 1))
-    )
-    cols = ["id", "text_key", "pos"]
-    gone = from_heavy.select(cols).unionByName(streamed.select(cols)).groupBy("id", "text_key").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
+    rows = sorted_lines(stored(line_hashes(docs, min_chars), "line-hashes"))
+    runs = stored(rows.groupBy("hash", "part").agg(F.count_distinct("id").alias("docs"), F.max("id").alias("last_id")), "line-runs")
+    repeated = runs.groupBy("hash").agg(F.sum("docs").alias("docs"), F.max("last_id").alias("last_id")).where(F.col("docs") >= min_docs).select("hash", "last_id")
+    decided = stored(runs.select("hash", "part").join(stored(repeated, "line-repeated"), "hash"), "line-decided")  # as many rows of a hash as partitions hold it
+    gone = rows.join(decided, ["hash", "part"]).where(F.col("id") < F.col("last_id")).groupBy("id", "text_key").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
     before = lambda p, i: F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("gone"), i - 1) + 1)
     runs = F.transform("gone", lambda p, i: F.struct(before(p, i).alias("start"), (p - before(p, i)).alias("len")))
     return gone.select("id", "text_key", F.size("gone").cast("long").alias("n_dropped"), F.filter(runs, lambda r: r["len"] > 0).alias("keep_runs"), (F.element_at("gone", -1) + 1).alias("tail_from"))
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with the kept lines as text, plus _n_lines and _n_dropped (long)."""
+    """row (a struct of all columns of ``docs``, with the kept lines as text), n_lines and n_dropped (long)."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # out of the way of the names used here
     keyed = docs.select(row, _id(), _text_key())
     held = bitmaps.select("id", "text_key", F.struct("n_dropped", "keep_runs", "tail_from").alias("bitmap"))
@@ -84,8 +82,13 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     kept = F.concat(F.flatten(slices), F.slice(lines, F.col("bitmap.tail_from") + 1, F.size(lines)))
     text = F.when(F.col("bitmap").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
     return keyed.join(held, ["id", "text_key"], "left").select(
-        F.col("row").withField("text", text).alias("row"), F.size(lines).cast("long").alias("_n_lines"), F.coalesce("bitmap.n_dropped", F.lit(0).cast("long")).alias("_n_dropped"),
-    ).select("row.*", "_n_lines", "_n_dropped")
+        F.col("row").withField("text", text).alias("row"), F.size(lines).cast("long").alias("n_lines"), F.coalesce("bitmap.n_dropped", F.lit(0).cast("long")).alias("n_dropped"),
+    )
+
+
+def dedup_rows(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """As ``line_dedup``, with the columns of ``docs`` in the struct ``row``, beside n_lines and n_dropped."""
+    return apply_bitmaps(docs, stored(keep_bitmaps(docs, min_chars, min_docs), "line-bitmaps"))
 
 
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -97,10 +100,12 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     ``min_docs`` different doc_ids lose all lines except those of the largest
     doc_id.  Rows that share a doc_id are one document in that count, and each
     keeps its own row; a null doc_id is one document below all others.  All
-    other columns pass through, whatever their names (other than _n_lines and
-    _n_dropped).
+    other columns pass through, whatever their names; columns _n_lines and
+    _n_dropped of ``docs`` are replaced.  An empty table gives no row.
     """
-    return apply_bitmaps(docs, stored(keep_bitmaps(docs, min_chars, min_docs), "line-bitmaps"))
+    new = {"_n_lines": F.col("n_lines"), "_n_dropped": F.col("n_dropped")}
+    passed = [F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in new]
+    return dedup_rows(docs, min_chars, min_docs).select(*passed, *[v.alias(c) for c, v in new.items()])
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

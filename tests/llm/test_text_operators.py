@@ -98,16 +98,35 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(docs(spark, [])).count() == 0
 
 
-def test_line_dedup_heavy_and_streamed_agree(spark, monkeypatch):
-    long = "a line that is long enough to count as one of them "
-    rows = [(i, "\n".join([long + str(i % 3), long + str(i % 7), f"{long} own {i}"])) for i in range(60)]
-    sums = lambda: sorted((r.doc_id, r.text) for r in line_dedup.line_dedup(docs(spark, rows)).collect())
-    streamed_only = None
-    for heavy in (2000, 1):
-        monkeypatch.setattr(line_dedup, "HEAVY_KEYS", heavy)
-        got = sums()
-        assert streamed_only in (None, got)
-        streamed_only = got
+def test_line_dedup_of_a_run_over_many_partitions(spark, monkeypatch):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else small ranges are put together
+    try:
+        long = "a line that is long enough to count as one of them "
+        rows = [(i, "\n".join([long, long + str(i % 97), f"{long} own {i}", long])) for i in range(600)] + [(None, long)]
+        hashes = line_dedup.sorted_lines(line_dedup.line_hashes(docs(spark, rows)).repartition(3)).collect()
+        parts = defaultdict(set)
+        for r in hashes:
+            parts[bytes(r.hash)].add(r.part)
+        assert len(hashes) == 2401 and max(map(len, parts.values())) > 1
+        places = defaultdict(set)
+        for r in hashes:
+            places[bytes(r.hash), r.id].add(r.part)
+        assert all(len(p) == 1 for p in places.values())
+        got = {r.doc_id: r.text for r in line_dedup.line_dedup(docs(spark, rows)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    last = {n: max(i for i in range(600) if i % 97 == n) for n in range(97)}
+    assert got[None] == "" and all(got[i] == "\n".join([long] * (i == 599) + [long + str(i % 97)] * (last[i % 97] == i) + [f"{long} own {i}"] + [long] * (i == 599)) for i in range(600))
+
+
+def test_line_dedup_replaces_its_own_columns(spark):
+    df = docs(spark, [(1, "x"), (2, None)]).withColumns({"_n_lines": F.lit("a"), "_N_dropped": F.lit("b"), "n_lines": F.lit("c"), "a.b": F.lit("d")})
+    out = line_dedup.line_dedup(df)
+    assert out.columns == [*[c for c in df.columns if c.lower() not in ("_n_lines", "_n_dropped")], "_n_lines", "_n_dropped"]
+    assert sorted((r.doc_id, r._n_lines, r._n_dropped, r.n_lines, r["a.b"]) for r in out.collect()) == [(1, 1, 0, "c", "d"), (2, 1, 0, "c", "d")]
+    import corpus_pipeline
+
+    assert corpus_pipeline.line_stage(spark, df, "").columns == df.columns
 
 
 # SimHash
