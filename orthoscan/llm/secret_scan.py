@@ -9,10 +9,10 @@ rule itself.  Rules without mandatory trigrams are run over all documents.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 from itertools import product
-from re import _constants as op
-from re import _parser
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,46 +48,86 @@ RULES = (
 MAX_STRINGS = 64
 
 
-def _strings(node) -> set[str] | None:
-    """All strings, lower-cased, that a parsed item can match, or None if there are many."""
-    kind, arg = node
-    if kind is op.LITERAL:
-        return {chr(arg).lower()}
-    if kind is op.IN and all(k is op.LITERAL for k, _ in arg):
-        return {chr(a).lower() for _, a in arg}
-    if kind is op.BRANCH:
-        return _union(_joined(list(x)) for x in arg[1])
-    if kind is op.SUBPATTERN:
-        return _joined(list(arg[3]))
-    if kind is op.MAX_REPEAT and arg[1] is not op.MAXREPEAT and arg[1] <= 8:
-        once = _joined(list(arg[2]))
-        return None if once is None else _bounded({"".join(x) for n in range(arg[0], arg[1] + 1) for x in product(once, repeat=n)} if len(once) ** arg[1] <= MAX_STRINGS else None)
-    return None
+class Unreadable(ValueError):
+    """The expression uses syntax whose mandatory strings aren't worked out."""
 
 
 def _bounded(strings: set[str] | None) -> set[str] | None:
     return strings if strings is not None and len(strings) <= MAX_STRINGS else None
 
 
-def _union(sets) -> set[str] | None:
-    out: set[str] = set()
-    for x in sets:
-        if x is None:
-            return None
-        out |= x
-    return _bounded(out)
-
-
-def _joined(items: list) -> set[str] | None:
+def _joined(items: Iterable[set[str] | None]) -> set[str] | None:
     out = {""}
-    for x in items:
-        more = _strings(x)
+    for more in items:
         if more is None or len(out) * len(more) > MAX_STRINGS:
             return None
         out = {a + b for a in out for b in more}
     return out
 
 
+def _escaped(regex: str, at: int) -> tuple[set[str] | None, int]:
+    """What the escape at ``at`` can match, and the place after it."""
+    c = regex[at + 1]
+    if c == "x":
+        return {chr(int(regex[at + 2 : at + 4], 16)).lower()}, at + 4
+    if c in "bBAzZ":
+        return {""}, at + 2
+    if c in "dDwWsS":
+        return None, at + 2
+    if c.isalnum():
+        return ({{"n": "\n", "t": "\t", "r": "\r"}[c]}, at + 2) if c in "ntr" else _fail(regex)
+    return {c}, at + 2
+
+
+def _fail(regex: str):
+    raise Unreadable(regex)
+
+
+def _class(regex: str, at: int) -> tuple[set[str] | None, int]:
+    """What the bracketed class at ``at`` can match, and the place after it."""
+    out, i, known = set(), at + 1, regex[at + 1] != "^"
+    while regex[i] != "]" or i == at + 1:
+        own, i = _escaped(regex, i) if regex[i] == "\\" else ({regex[i].lower()}, i + 1)
+        if regex[i] == "-" and regex[i + 1] != "]":
+            known = known and own is not None and regex[i + 1] != "\\"
+            own = {chr(x).lower() for x in range(ord(min(own)), ord(regex[i + 1].lower()) + 1)} if known else own
+            i += 2
+        known = known and own is not None
+        out |= own or set()
+    return (_bounded(out) if known else None), i + 1
+
+
+def _items(regex: str, at: int = 0) -> tuple[list[list[set[str] | None]], int]:
+    """The alternatives from ``at`` to the closing bracket or the end: for each item all strings, lower-cased, that it can match, or None if there are many."""
+    branches: list[list[set[str] | None]] = [[]]
+    while at < len(regex) and regex[at] != ")":
+        c = regex[at]
+        if c == "|":
+            branches.append([])
+            at += 1
+            continue
+        if c == "(":
+            if regex[at + 1] == "?" and regex[at + 2] != ":":
+                raise Unreadable(regex)
+            inner, at = _items(regex, at + (3 if regex[at + 1] == "?" else 1))
+            sets = [_joined(x) for x in inner]
+            own, at = (None if None in sets else _bounded(set().union(*sets))), at + 1
+        elif c == "[":
+            own, at = _class(regex, at)
+        elif c == "\\":
+            own, at = _escaped(regex, at)
+        else:
+            own, at = None if c == "." else {""} if c in "^$" else {c.lower()}, at + 1
+        if times := re.match(r"[?*+]|\{(\d+)(,?)(\d*)\}", regex[at:]):
+            low, high = (int(times[1]), int(times[3] or times[1]) if times[3] or not times[2] else None) if times[1] else {"?": (0, 1), "*": (0, None), "+": (1, None)}[times[0]]
+            few = own is not None and high is not None and high <= 8 and len(own) ** high <= MAX_STRINGS
+            own = _bounded({"".join(x) for n in range(low, high + 1) for x in product(own, repeat=n)}) if few else None
+            at += len(times[0])
+            at += regex[at : at + 1] in ("?", "+") and bool(regex[at : at + 1])
+        branches[-1].append(own)
+    return branches, at
+
+
 def trigrams(text: str) -> frozenset[str]:
     return frozenset(text[i : i + 3] for i in range(len(text) - 2))
 
@@ -97,11 +137,14 @@ def trigram_query(regex: str) -> list[frozenset[str]] | None:
 
     The expression's longest runs of items with few possible strings give the
     clauses; the run whose shortest string is longest is taken.  None if no run
-    forces a trigram.
+    forces a trigram, or if the expression can't be read here.
     """
+    try:
+        branches, _ = _items(regex)
+    except Unreadable:
+        return None
     runs: list[set[str]] = [{""}]
-    for item in _parser.parse(regex):
-        own = _strings(item)
+    for own in branches[0] if len(branches) == 1 else [None if None in (sets := [_joined(b) for b in branches]) else _bounded(set().union(*sets))]:
         if own is not None and len(runs[-1]) * len(own) <= MAX_STRINGS:
             runs[-1] = {a + b for a in runs[-1] for b in own}
         else:
@@ -138,20 +181,34 @@ def candidates(index: DataFrame, queries: dict[int, list[frozenset[str]]]) -> Da
 def rule_spans(text: Column, rule: Rule, number: int) -> Column:
     """The matches of a rule as structs (start, kind, end), in code points, end exclusive.
 
-    What lies between the matches gives their places.
+    What lies between the matches gives their places.  Matches are numbered in
+    blocks of about the root of their number, each from the sum of the lengths
+    before it, so that a text of very many matches takes about linear time.
     """
     regex = F.lit(rule.regex)
+    long = lambda c: F.coalesce(F.char_length(c), F.lit(0))
     zipped = F.arrays_zip(F.split(text, rule.regex).alias("gap"), F.regexp_extract_all(text, regex, F.lit(0)).alias("match"), F.regexp_extract_all(text, regex, F.lit(rule.group)).alias("part"))
+    lengths = F.transform(zipped, lambda x: F.struct(long(x["gap"]).alias("gap"), long(x["match"]).alias("match"), (long(x["part"]) >= rule.least).alias("passes")))
     none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
 
     def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.char_length(x["gap"])
-        end = start + F.coalesce(F.char_length(x["match"]), F.lit(0))
+        start = state["at"] + x["gap"]
+        end = start + x["match"]
         span = F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end"))
-        passes = F.coalesce(F.char_length(x["part"]), F.lit(0)) >= rule.least
-        return F.struct(end.alias("at"), F.when(passes, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
+        return F.struct(end.alias("at"), F.when(x["passes"], F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
+
+    def numbered(all_lengths: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(all_lengths))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_lengths) - 1) / size).cast("int")), lambda i: F.slice(all_lengths, i * size + 1, size))
+        summed = F.transform(blocks, lambda b: F.struct(b.alias("block"), F.aggregate(b, F.lit(0), lambda n, x: n + x["gap"] + x["match"]).alias("length")))
+        return F.flatten(F.transform(F.array(summed), placed))
+
+    def placed(blocks: Column) -> Column:
+        before = lambda i: F.aggregate(F.slice(blocks, F.lit(1), i), F.lit(0), lambda n, b: n + b["length"])
+        return F.flatten(F.transform(blocks, lambda b, i: F.aggregate(b["block"], F.struct(before(i).alias("at"), none.alias("spans")), step, lambda s: s["spans"])))
 
-    return F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda s: s["spans"])
+    # each array is bound to a name once, in a list of one
+    return F.flatten(F.transform(F.array(lengths), numbered))
 
 
 def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

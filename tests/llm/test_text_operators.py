@@ -480,6 +480,21 @@ def test_secret_spans(spark):
     assert any(s for _, s in got) and secret_scan.secret_spans(docs(spark, [])).count() == 0
 
 
+def test_secret_spans_of_very_many_matches(spark):
+    one = "token=abc123xyz é "
+    for n in (0, 1, 2, 3, 5, 16, 17, 100_000):
+        r = secret_scan.secret_spans(docs(spark, [(1, one * n)])).first()
+        assert [(s.start, s.end) for s in r.spans] == [(len(one) * k, len(one) * k + 15) for k in range(n)]
+
+
+def test_trigram_queries_of_other_syntax():
+    q = secret_scan.trigram_query
+    assert q("(?i)abc") is None and q("(?=abc)x") is None and q("x.y") is None
+    assert q("ab{2,3}cd") == [frozenset({"abb", "bbc", "bcd"})] and q("a{2}b{3,}cde") == [frozenset({"cde"})] and q("a[^b]cde") == [frozenset({"cde"})]
+    assert q("(?:foo|bar)?bazz") == [frozenset({"azz", "baz"})] and q(r"x\.yzw\d+") == [frozenset({".yz", "x.y", "yzw"})]
+    assert set(q("abc|def")) == {frozenset({"abc"}), frozenset({"def"})}
+
+
 # Chats
 
 
