@@ -2,9 +2,10 @@
 
 Every assistant turn becomes an example of its own: all turns before it are
 the context, and only the reply's text is under the loss mask.  The examples
-of a conversation are prefixes of one formatted transcript, so they are kept
-as spans of it (end, loss start, loss length); ``example_texts`` writes them
-out where a trainer wants that.  A conversation whose last turn isn't the
+of a conversation are prefixes of one formatted transcript, so until they are
+exploded they are kept as spans of it (end, loss start, loss length);
+``examples`` explodes them, one row each with its own text, and what is read
+back is read from these rows.  A conversation whose last turn isn't the
 assistant's ends with an example without a mask, so that no turn is lost.
 
 Template: [INST]role\\ntext[/INST] for other roles, <s>role\\ntext</s> for the
@@ -71,25 +72,34 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     )
 
 
-def example_texts(formatted: DataFrame) -> DataFrame:
-    """Write the examples out: conv_id, turn, text, loss_start, loss_chars."""
-    each = formatted.select("conv_id", "formatted", F.explode("examples").alias("e"))
-    return each.select("conv_id", "e.turn", F.expr("left(formatted, e.end)").alias("text"), "e.loss_start", "e.loss_chars")
+def examples(formatted: DataFrame) -> DataFrame:
+    """A row an example: conv_id, nth (from 0), turn, text, loss_start, loss_chars, last (of its conversation)."""
+    each = formatted.select("conv_id", "formatted", F.size("examples").alias("many"), F.posexplode("examples").alias("nth", "e"))
+    return each.select("conv_id", "nth", "e.turn", F.expr("left(formatted, e.end)").alias("text"), "e.loss_start", "e.loss_chars", (F.col("nth") + 1 == F.col("many")).alias("last"))
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
-    """Parse formatted conversations: conv_id, turns array<struct<role, text>>."""
-    role, text = (F.regexp_extract_all("formatted", F.lit(_TURN), F.lit(k)) for k in (1, 2))
-    return formatted.select("*", F.transform(F.arrays_zip(role.alias("role"), text.alias("text")), lambda t: F.struct(_unescape_role(t["role"]).alias("role"), unescape(t["text"]).alias("text"))).alias("turns"))
+def turns_of(text: Column) -> Column:
+    """The turns of an example's text: array<struct<role, text>>."""
+    role, body = (F.regexp_extract_all(text, F.lit(_TURN), F.lit(k)) for k in (1, 2))
+    return F.transform(F.arrays_zip(role.alias("role"), body.alias("text")), lambda t: F.struct(_unescape_role(t["role"]).alias("role"), unescape(t["text"]).alias("text")))
+
+
+def read_back(exploded: DataFrame) -> DataFrame:
+    """Read conversations from their ``examples``: conv_id, turns (of the last example), masked (what each example's mask holds), formatted_chars."""
+    masked = unescape(F.col("text").substr(F.col("loss_start").cast("int") + 1, F.col("loss_chars").cast("int")))
+    return exploded.select("conv_id", "nth", masked.alias("masked"), F.char_length("text").alias("chars"), F.when(F.col("last"), turns_of(F.col("text"))).alias("turns")).groupBy("conv_id").agg(
+        F.first("turns", ignorenulls=True).alias("turns"),
+        F.transform(F.sort_array(F.collect_list(F.struct("nth", "masked"))), lambda x: x["masked"]).alias("masked"),
+        F.sum("chars").alias("formatted_chars"),
+    )
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
     chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
-    back = read_back(format_chats(chats))
-    masked = F.array_join(F.transform("examples", lambda e: unescape(F.col("formatted").substr(e["loss_start"].cast("int") + 1, e["loss_chars"].cast("int")))), "")
+    back = read_back(examples(format_chats(chats)))
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), turns.alias("all_turns"), masked.alias("masked"), F.aggregate("examples", F.lit(0).cast("long"), lambda n, e: n + e["end"]).alias("formatted_chars")).select(
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), turns.alias("all_turns"), F.array_join("masked", "").alias("masked"), "formatted_chars").select(
         "conv_id", "n_turns", F.sha2("all_turns", 256).alias("turns_sha256"), F.char_length("masked").cast("long").alias("loss_chars"), F.sha2("masked", 256).alias("loss_sha256"), "formatted_chars",
     )
 
