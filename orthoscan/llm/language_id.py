@@ -29,10 +29,17 @@ HASH_BITS, MAX_GRAM = 17, 4
 #: Words of a spliced sequence, of its pieces, and rounds of the fit.
 SEQUENCE, PIECE, ROUNDS, RATE, DECAY = 64, (4, 32), 30, 0.5, 1e-6
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: Words of a piece of a long text.
+PIECE_WORDS = 256
+_WORD_SIGN = re.compile(r"[^\W\d_]")
 _BLOCK_TOKENS = 1_000_000
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter (categories L); ² and ½ are word signs, but none."""
+    return any(m[0].isalpha() for m in _WORD_SIGN.finditer(text))
+
+
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "replace").split()
 
@@ -62,38 +69,72 @@ def _normal(x: np.ndarray) -> np.ndarray:
     return x / x.sum(axis=-1, keepdims=True)
 
 
-def forward_backward(scores: np.ndarray, begins: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of every word's label, and the expected transitions of all sequences.
-
-    ``scores`` has a row per word; the sequences, of any lengths, take their
-    steps together.
-    """
+def _products(local: np.ndarray, begins: np.ndarray, lengths: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """What each piece makes of a message that enters it: the product of its words' scores with the moves between them."""
     order = np.argsort(-lengths, kind="stable")
-    begins, lengths = begins[order], lengths[order]
+    begins, active = begins[order], np.searchsorted(-lengths[order], -np.arange(int(lengths.max())), side="left")
+    out = local[begins][:, :, None] * np.eye(len(move))
+    for t in range(1, len(active)):
+        n = active[t]
+        out[:n] = (out[:n] @ move) * local[begins[:n] + t][:, None, :]
+        out[:n] /= out[:n].max(axis=(1, 2), keepdims=True)
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
+def forward_backward(scores: np.ndarray, begins: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, start: np.ndarray, expect: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior of every word's label, and the expected transitions of all sequences (zeros unless ``expect``).
+
+    ``scores`` has a row per word; the sequences, of any lengths but 0, take
+    their steps together.  Long ones are cut into pieces of PIECE_WORDS: each
+    piece is reduced to one matrix, these carry the messages from piece to
+    piece, and then all pieces take their steps together.
+    """
     local = np.exp(scores - scores.max(axis=1, keepdims=True))
     move, first = np.exp(transitions), np.exp(start)
-    most = int(lengths[0]) if len(lengths) else 0
-    active = np.searchsorted(-lengths, -np.arange(most), side="left")  # sequences longer than t
-    forward = np.zeros_like(local)
-    state = None
-    for t in range(most):
-        at = begins[: active[t]] + t
-        state = _normal((first if t == 0 else state[: active[t]] @ move) * local[at])
-        forward[at] = state
-    posterior, expected = np.zeros_like(local), np.zeros_like(move)
-    back = np.zeros((0, move.shape[0]))
-    for t in range(most - 1, -1, -1):
-        at = begins[: active[t]] + t
-        if t + 1 < most and active[t + 1]:
-            n = active[t + 1]
-            ahead = local[begins[:n] + t + 1] * back[:n]
-            pair = forward[begins[:n] + t][:, :, None] * move * ahead[:, None, :]
+    forward, back = np.zeros_like(local), np.ones_like(local)
+    expected = np.zeros_like(move)
+    if not len(lengths):
+        return forward, expected
+    many = -(-lengths // PIECE_WORDS)
+    heads = np.cumsum(many) - many
+    nth = np.arange(many.sum()) - np.repeat(heads, many)
+    piece = np.repeat(begins, many) + nth * PIECE_WORDS
+    size = np.minimum(PIECE_WORDS, np.repeat(lengths, many) - nth * PIECE_WORDS)
+    entering, leaving = np.where((nth == 0)[:, None], first, 0.0), np.ones((len(piece), len(move)))
+    if len(piece) > len(lengths):
+        cut = np.repeat(many > 1, many)
+        matrix = np.zeros((len(piece), *move.shape))
+        matrix[cut] = _products(local, piece[cut], size[cut], move)
+        order = np.argsort(-many, kind="stable")
+        tops, active = heads[order], np.searchsorted(-many[order], -np.arange(int(many.max())), side="left")
+        for j in range(1, len(active)):
+            at = tops[: active[j]] + j
+            entering[at] = _normal(_normal((entering[at - 1][:, None, :] @ matrix[at - 1])[:, 0]) @ move)
+        for j in range(len(active) - 1, 0, -1):
+            at = tops[: active[j]] + j
+            leaving[at - 1] = _normal(_normal((matrix[at] @ leaving[at][:, :, None])[:, :, 0]) @ move.T)
+    order = np.argsort(-size, kind="stable")
+    piece, entering, leaving = piece[order], entering[order], leaving[order]
+    active = np.searchsorted(-size[order], -np.arange(int(size.max())), side="left")  # pieces longer than t
+    for t in range(len(active)):
+        at = piece[: active[t]] + t
+        forward[at] = _normal((entering if t == 0 else forward[at - 1] @ move) * local[at])
+    for t in range(len(active) - 1, -1, -1):
+        n = active[t + 1] if t + 1 < len(active) else 0
+        ahead = piece[:n] + t + 1
+        back[ahead - 1] = _normal((local[ahead] * back[ahead]) @ move.T)
+        back[piece[n : active[t]] + t] = leaving[n : active[t]]
+    if expect:
+        inner = np.ones(len(local), dtype=bool)
+        inner[begins] = False
+        ahead = np.flatnonzero(inner)
+        for k in range(0, len(ahead), 1 << 16):
+            at = ahead[k : k + (1 << 16)]
+            pair = forward[at - 1][:, :, None] * move * (local[at] * back[at])[:, None, :]
             expected += (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-            back = np.vstack([_normal(ahead @ move.T), np.ones((active[t] - n, move.shape[0]))])
-        else:
-            back = np.ones((active[t], move.shape[0]))
-        posterior[at] = _normal(forward[at] * back)
-    return posterior, expected
+    return _normal(forward * back), expected
 
 
 class LanguageField:
@@ -146,25 +187,35 @@ class LanguageField:
             self.weights[-1] = 0
         return self
 
-    def label(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Language and mean posterior of each whole text."""
+    def posteriors(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """How many words each whole text has, and the posterior of every word, text after text."""
         ids: dict[bytes, int] = {}
-        split = [words_of(t) if t and _LETTER.search(t) else [] for t in texts]
+        split = [words_of(t) if t and has_letter(t) else [] for t in texts]
         lengths = np.array([len(w) for w in split], dtype=np.int64)
         word = np.fromiter((ids.setdefault(w, len(ids)) for ws in split for w in ws), dtype=np.int64, count=int(lengths.sum()))
-        names, best = [UNKNOWN] * len(texts), np.zeros(len(texts))
         if not self.languages or not len(word):
-            return names, best
+            return np.zeros_like(lengths), np.zeros((0, len(self.languages)))
         distinct = list(ids)
         scores = np.vstack([WordFeatures(distinct[k : k + 50_000], self.lexicon).scores(self.weights, self.lexicon_weights) for k in range(0, len(distinct), 50_000)])
-        begins = np.cumsum(lengths) - lengths
         there = np.flatnonzero(lengths)
-        posterior, _ = forward_backward(scores[word], begins[there], lengths[there], self.transitions, self.start)
-        mean = np.add.reduceat(posterior, begins[there], axis=0) / lengths[there, None]
-        for i, k, p in zip(there.tolist(), mean.argmax(axis=1).tolist(), mean.max(axis=1).tolist(), strict=True):
-            names[i], best[i] = self.languages[k], min(1.0, p)
+        return lengths, forward_backward(scores[word], (np.cumsum(lengths) - lengths)[there], lengths[there], self.transitions, self.start, expect=False)[0]
+
+    def label(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """Language and mean posterior of each whole text."""
+        names, best = [UNKNOWN] * len(texts), np.zeros(len(texts))
+        lengths, posterior = self.posteriors(texts)
+        there = np.flatnonzero(lengths)
+        if len(there):
+            mean = np.add.reduceat(posterior, (np.cumsum(lengths) - lengths)[there], axis=0) / lengths[there, None]
+            for i, k, p in zip(there.tolist(), mean.argmax(axis=1).tolist(), mean.max(axis=1).tolist(), strict=True):
+                names[i], best[i] = self.languages[k], min(1.0, p)
         return names, best
 
+    def label_words(self, text: str | None) -> list[tuple[bytes, str]]:
+        """Each word of a text with its own most likely language: where code-switched texts switch."""
+        _, posterior = self.posteriors([text])
+        return [(w, self.languages[k]) for w, k in zip(words_of(text), posterior.argmax(axis=1).tolist(), strict=False)] if len(posterior) else []
+
 
 def lexicon_words(training: DataFrame, size: int = LEXICON) -> DataFrame:
     """lang, word, share: the words that make up at least 1 / size of their language's words in ``training`` (lang, text)."""

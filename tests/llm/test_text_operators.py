@@ -258,6 +258,42 @@ def test_forward_backward_by_enumeration():
     assert np.allclose(posterior, want) and np.allclose(expected, pairs)
 
 
+@pytest.mark.parametrize("piece", [1, 2, 3, 7])
+def test_forward_backward_in_pieces(monkeypatch, piece):
+    rng = np.random.Generator(np.random.PCG64(7))
+    n, lengths = 4, np.array([5, 1, 40, 7, 14, 3])
+    scores, move, start = 2 * rng.normal(size=(lengths.sum(), n)), rng.normal(size=(n, n)), rng.normal(size=n)
+    begins = np.cumsum(lengths) - lengths
+    want = language_id.forward_backward(scores, begins, lengths, move, start)
+    monkeypatch.setattr(language_id, "PIECE_WORDS", piece)
+    got = language_id.forward_backward(scores, begins, lengths, move, start)
+    assert np.allclose(got[0], want[0]) and np.allclose(got[1], want[1])
+
+
+def test_long_texts_cost_what_short_ones_do():
+    import time
+
+    field = language_id.LanguageField(["aa", "bb", "cc", "dd"], {})
+    field.weights = np.random.Generator(np.random.PCG64(1)).normal(size=field.weights.shape)
+    some = "one two three four " * 250
+    field.label([some])
+    took = []
+    for batch in ([some] * 1000, [some * 1000]):
+        began = time.perf_counter()
+        field.label(batch)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 3 * took[0]
+
+
+def test_letters_and_word_labels():
+    assert not any(map(language_id.has_letter, ["½ ²", "①", "12 _ 3", "", "٣"])) and all(map(language_id.has_letter, ["½ a", "é", "中", "ª"]))
+    field = language_id.LanguageField(["aa", "bb"], {b"x": 1, b"y": 2})
+    field.lexicon_weights[1:] = 3 * np.eye(2)
+    field.transitions = np.eye(2)
+    assert field.label(["½ ²", "x x x", None, "y"])[0] == ["und", "aa", "und", "bb"]
+    assert field.label_words("x x x y Y y") == [(b"x", "aa")] * 3 + [(b"y", "bb")] * 3 and field.label_words("½") == []
+
+
 # Quality
 
 
@@ -506,22 +542,20 @@ def test_chat_format(spark):
     turns = defaultdict(list)
     for c, n, role, t in rows:
         turns[c].append((-1 if n is None else n, role or "", t or ""))
-    back = {r.conv_id: r for r in chat_format.read_back(out).collect()}
+    whole = {r.conv_id: r.formatted for r in out.collect()}
+    back = {r.conv_id: r for r in chat_format.read_back(chat_format.examples(out)).collect()}
+    each = defaultdict(list)
+    for r in chat_format.examples(out).collect():
+        assert whole[r.conv_id].startswith(r.text)
+        each[r.conv_id].append((r.nth, len(r.text), r.text[r.loss_start : r.loss_start + r.loss_chars], r.last))
     for c, own in turns.items():
         own.sort()
         assert [(t.role, t.text) for t in back[c].turns] == [x[1:] for x in own]
-        assert not re.search(r"\[/?INST\]|</?s>", "".join(re.split(r"\[/?INST\]|</?s>", back[c].formatted)))
-    each = defaultdict(list)
-    for r in chat_format.example_texts(out).collect():
-        assert back[r.conv_id].formatted.startswith(r.text)
-        each[r.conv_id].append((len(r.text), r.text[r.loss_start : r.loss_start + r.loss_chars]))
-    for c, own in turns.items():
-        replies = [x[2] for x in own if x[1] == "assistant"]
-        masked = [m for _, m in sorted(each[c])]
-        un = spark.createDataFrame([(k, m) for k, m in enumerate(masked)], "k long, m string").select("k", chat_format.unescape(F.col("m")).alias("m"))
-        want = replies + ([""] if own[-1][1] != "assistant" else [])
-        assert [r.m for r in sorted(un.collect())] == want
-        assert max(n for n, _ in each[c]) == len(back[c].formatted)
+        assert not re.search(r"\[/?INST\]|</?s>", "".join(re.split(r"\[/?INST\]|</?s>", whole[c])))
+        want = [x[2] for x in own if x[1] == "assistant"] + ([""] if own[-1][1] != "assistant" else [])
+        assert list(back[c].masked) == want and len(each[c]) == len(want)
+        assert back[c].formatted_chars == sum(n for _, n, _, _ in each[c]) and max(each[c])[1] == len(whole[c])
+        assert [last for *_, last in sorted(each[c])] == [False] * (len(want) - 1) + [True]
     assert chat_format.format_chats(df.where("false")).count() == 0
 
 
