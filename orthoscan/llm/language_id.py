@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from orthoscan.llm.common import id_remainder, stored, table
 
-#: The sample that the field is fitted on: texts of each language, and words of the longest text in it.
+#: The sample that the field is fitted on: texts of each language, and words of the run that is taken from a text.
 SAMPLE_TEXTS, SAMPLE_WORDS = 250, 5000
 #: A lexicon holds the words that are each at least this part of a language's words: so many at most.
 LEXICON = 2000
@@ -243,8 +243,10 @@ def fit_field(training: DataFrame) -> LanguageField:
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     drawn = training.join(F.broadcast(training.groupBy("lang").count()), "lang").where(draw * F.col("count") <= 2 * SAMPLE_TEXTS)  # few texts are moved
     turn = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    short = drawn.where(F.size(F.split("text", r"\s+")) <= SAMPLE_WORDS).withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= SAMPLE_TEXTS)
-    sample = sorted((r.lang, r.turn, r.text) for r in short.select("lang", "turn", "text").collect())  # SAMPLE_TEXTS a language at most
+    words = F.split("text", r"\s+")
+    run = F.slice(words, F.pmod(F.xxhash64("text", "doc_id"), F.greatest(F.size(words) - SAMPLE_WORDS, F.lit(0)) + 1).cast("int") + 1, SAMPLE_WORDS)  # from anywhere in a long text
+    taken = drawn.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= SAMPLE_TEXTS).select("lang", "turn", F.array_join(run, " ").alias("text"))
+    sample = sorted(tuple(r) for r in taken.collect())  # SAMPLE_TEXTS a language at most, SAMPLE_WORDS words each
     languages = sorted({r[0] for r in sample} | {lang for _, lang in lexicon.values()})
     number = {lang: k for k, lang in enumerate(languages)}
     field = LanguageField(languages, {w: 1 + number[lang] for w, (_, lang) in lexicon.items()})
