@@ -6,16 +6,18 @@ share at least five: a pair is a candidate only if the tally of its shared
 positional bytes reaches five, and is then verified bit by bit.
 
 Single positional bytes would post one fingerprint in 256 under each entry, so
-the index posts sets of positions instead: a family of sets such that any five
-positions contain one of them.  Every pair with the guaranteed tally therefore
-meets in some entry, at any size.  Eight triples do for up to 2**27
-fingerprints, all 56 quintuples beyond.
+the index posts sets of four positional bytes, all 70 of them, at any size: a
+pair that shares five bytes or more shares at least five of these sets, one
+that shares four bytes shares one.  The sets that a pair shares are counted
+from the postings; pairs below the guaranteed count are dropped, the others are
+verified bit by bit.
 
 Copies are folded first: the index holds distinct fingerprints.  Entries of
-up to SMALL_ENTRY fingerprints are joined pair by pair; larger ones yield a
-spanning forest of their links, and those over FOREST_ENTRY are first split by
-the remaining positions, then by the bits that may differ.  So the rows stay
-linear in the entries, and no link between components is lost.
+up to SMALL_ENTRY fingerprints are joined and counted pair by pair.  A pair
+that meets in a larger one needs no count: such an entry yields a spanning
+forest of all its links, and those over FOREST_ENTRY are first split by a fifth
+position, then by the bits that may differ.  So the rows stay linear in the
+entries, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -31,14 +34,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orthoscan.llm.common import stored, table
+from orthoscan.llm.common import stored, table, text_slices
 from orthoscan.llm.components import connected_components
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 3
 POSITIONS, SHARED = 8, 5
-TRIPLES = [*combinations(range(4), 3), *combinations(range(4, 8), 3)]
+QUADRUPLES = [*combinations(range(8), 4)]
 QUINTUPLES = [*combinations(range(8), 5)]
-TRIPLES_UP_TO = 1 << 27
+#: Quadruples that two fingerprints with SHARED equal positions share at least.
+MIN_COUNT = comb(SHARED, 4)
 SMALL_ENTRY, FOREST_ENTRY = 32, 8192
 _BLOCK = 255  # counts of this many bits fit a byte
 
@@ -78,7 +82,7 @@ def majority_bits(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (x for b in batches for x in text_slices(b, 1)):
         out = np.zeros(len(batch), dtype=np.uint64)
         rows, starts, hashes = [], [], []
         def flush() -> None:
@@ -149,27 +153,28 @@ def _wildcards(fp: Column, shared: int) -> Column:
     return F.transform(F.lit(signed), lambda m: F.struct(m.alias("mask"), fp.bitwiseAND(F.bitwise_not(m)).alias("rest")))
 
 
+def counted_pairs(small: DataFrame) -> DataFrame:
+    """a, b: the pairs that share MIN_COUNT entries or more, counted from the postings of ``small`` (entry, fp)."""
+    met = small.alias("l").join(small.alias("r"), (F.col("l.entry") == F.col("r.entry")) & (F.col("l.fp") < F.col("r.fp")))
+    return met.groupBy(F.col("l.fp").alias("a"), F.col("r.fp").alias("b")).agg(F.count("*").alias("shared")).where(F.col("shared") >= MIN_COUNT).select("a", "b")
+
+
 def link_pairs(nodes: DataFrame) -> DataFrame:
     """Links (a, b) that connect all ``nodes`` (fp, distinct) at most three bits apart."""
-    few = nodes.count() <= TRIPLES_UP_TO
-    sized = _sized(postings(nodes, TRIPLES if few else QUINTUPLES), "simhash-index")
-    small = sized.where(F.col("size") <= SMALL_ENTRY)
-    x = F.col("l.fp").bitwiseXOR(F.col("r.fp"))
-    tally = sum(F.when(F.shiftrightunsigned(x, 8 * p).bitwiseAND(F.lit(255).cast("long")) == 0, 1).otherwise(0) for p in range(POSITIONS))
-    pairs = small.alias("l").join(small.alias("r"), (F.col("l.entry") == F.col("r.entry")) & (F.col("l.fp") < F.col("r.fp")) & (tally >= SHARED) & (F.bit_count(x) <= MAX_BITS))
-    links = pairs.select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
+    sized = _sized(postings(nodes, QUADRUPLES), "simhash-index")
+    pairs = counted_pairs(sized.where(F.col("size") <= SMALL_ENTRY).select("entry", "fp"))
+    links = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)
     forest = lambda df: df.where(f"size > {SMALL_ENTRY} AND size <= {FOREST_ENTRY}").groupBy("entry").applyInPandas(_forest, "a long, b long")
     links = links.unionByName(forest(sized))
     if (sized.agg(F.max("size")).first()[0] or 0) > FOREST_ENTRY:
         crowded = sized.where(f"size > {FOREST_ENTRY}").select("fp").distinct()
-        finer = _sized(postings(crowded, QUINTUPLES), "simhash-finer") if few else sized
-        links = links.unionByName(forest(finer.withColumn("size", F.greatest("size", F.lit(SMALL_ENTRY + 1)))) if few else links.limit(0))
-        for n in range(len(QUINTUPLES)):
-            full = finer.where((F.shiftrightunsigned("entry", 40) == n) & (F.col("size") > FOREST_ENTRY))
-            star = full.select("fp", F.inline(_wildcards(F.col("fp"), n))) if not full.isEmpty() else None
-            if star is not None:
-                least = star.groupBy("mask", "rest").agg(F.min("fp").alias("least"), F.count("*").alias("n")).where("n > 1")
-                links = links.unionByName(star.join(stored(least, "simhash-wild"), ["mask", "rest"]).where("fp > least").select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct())
+        finer = _sized(postings(crowded, QUINTUPLES), "simhash-finer")
+        links = links.unionByName(forest(finer.withColumn("size", F.greatest("size", F.lit(SMALL_ENTRY + 1)))))
+        full = finer.where(F.col("size") > FOREST_ENTRY).withColumn("number", F.shiftrightunsigned("entry", 40))
+        for (n,) in full.select("number").distinct().collect():  # 56 at most
+            star = full.where(F.col("number") == n).select("fp", F.inline(_wildcards(F.col("fp"), n)))
+            least = star.groupBy("mask", "rest").agg(F.min("fp").alias("least"), F.count("*").alias("n")).where("n > 1")
+            links = links.unionByName(star.join(stored(least, "simhash-wild"), ["mask", "rest"]).where("fp > least").select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct())
     return links
 
 

@@ -170,11 +170,10 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize(("small", "forest", "triples"), [(32, 8192, 1 << 27), (2, 8192, 1 << 27), (2, 6, 1 << 27), (2, 4, 0), (1, 1, 1 << 27)])
-def test_links_at_every_entry_size(spark, monkeypatch, small, forest, triples):
+@pytest.mark.parametrize(("small", "forest"), [(32, 8192), (2, 8192), (2, 6), (1, 1)])
+def test_links_at_every_entry_size(spark, monkeypatch, small, forest):
     monkeypatch.setattr(simhash, "SMALL_ENTRY", small)
     monkeypatch.setattr(simhash, "FOREST_ENTRY", forest)
-    monkeypatch.setattr(simhash, "TRIPLES_UP_TO", triples)
     rng = np.random.Generator(np.random.PCG64(2))
     fps = [int(x) for x in rng.integers(0, 1 << 64, 25, dtype=np.uint64)]
     for f in fps[:6]:
@@ -194,8 +193,24 @@ def test_links_at_every_entry_size(spark, monkeypatch, small, forest, triples):
 
 
 def test_positions_cover_every_pair():
-    for family in (simhash.TRIPLES, simhash.QUINTUPLES):
-        assert all(any(set(p) <= set(shared) for p in family) for shared in combinations(range(8), 5))
+    for family, least in ((simhash.QUADRUPLES, simhash.MIN_COUNT), (simhash.QUINTUPLES, 1)):
+        assert all(sum(set(p) <= set(shared) for p in family) >= least for shared in combinations(range(8), 5))
+        assert all(sum(set(p) <= set(shared) for p in family) < max(least, 2) for shared in combinations(range(8), 4))
+
+
+def test_the_count_drops_pairs_before_they_are_verified(spark, monkeypatch):
+    rng = np.random.Generator(np.random.PCG64(4))
+    fps = []
+    for f in rng.integers(0, 1 << 63, 40).tolist():
+        near = f ^ 0x0000_0001_0100_0001  # three bits in three bytes
+        far = f ^ 0x0101_0101_0000_0000  # four bits in four bytes
+        fps += [f, near, far]
+    posted = simhash.postings(spark.createDataFrame([(f,) for f in fps], "fp long"), simhash.QUADRUPLES)
+    counted = {(r.a, r.b) for r in simhash.counted_pairs(posted).collect()}
+    monkeypatch.setattr(simhash, "MIN_COUNT", 1)
+    every = {(r.a, r.b) for r in simhash.counted_pairs(posted).collect()}
+    links = {p for p in every if (p[0] ^ p[1]).bit_count() <= 3}
+    assert len(every) == 80 and len(counted) == 40 and counted == links
 
 
 def test_components(spark):
