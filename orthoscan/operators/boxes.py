@@ -50,7 +50,12 @@ def overlap_join(left: DataFrame, right: DataFrame, width: float) -> DataFrame:
 
 
 def choose_leaf(points: DataFrame, leaves: DataFrame) -> DataFrame:
-    """record_id, node for every point: the leaf (node, lo, hi) that grows least, then the smaller, then the lower.
+    """record_id, node for every point: the leaf (node, lo, hi) that grows least, then the smaller, then the lower."""
+    return with_leaf(points, leaves).select("record_id", "node")
+
+
+def with_leaf(points: DataFrame, leaves: DataFrame) -> DataFrame:
+    """``points`` with the ``node`` of ``choose_leaf``; rows that repeat an id keep a row each.
 
     ``leaves`` is the zone map of an index, a few thousand boxes; it goes to
     every task as the one value of a scalar subquery.
@@ -58,7 +63,7 @@ def choose_leaf(points: DataFrame, leaves: DataFrame) -> DataFrame:
     boxes = leaves.select(F.collect_list(F.struct("node", "lo", "hi", V.volume(F.col("lo"), F.col("hi")).alias("volume"))).alias("leaves"))
     p = F.col("features")
     rated = F.transform("leaves", lambda x: F.struct(V.enlargement(x["lo"], x["hi"], p, p).alias("growth"), x["volume"].alias("volume"), x["node"].alias("node")))
-    return points.select("record_id", "features", boxes.scalar().alias("leaves")).select("record_id", F.array_min(rated)["node"].alias("node"))
+    return points.withColumn("leaves", boxes.scalar()).withColumn("node", F.array_min(rated)["node"]).drop("leaves")
 
 
 def widest_variance_axis(points: DataFrame, group: str, dims: int) -> DataFrame:

@@ -33,6 +33,11 @@ def select_features(df: DataFrame, names: Sequence[str], seed: int = 42) -> Data
     return df.withColumn("features", F.concat(base, F.array(*filled)) if filled else base)
 
 
+def class_counts(df: DataFrame, key: str) -> DataFrame:
+    """The distinct classes and how many rows each has."""
+    return df.groupBy(key).agg(F.count("*").alias("n"))
+
+
 def random_projection(points: DataFrame, weights: Sequence[float], to: str = "projected") -> DataFrame:
     return points.withColumn(to, V.dot(F.col("features"), weights))
 

@@ -11,19 +11,19 @@ from orthoscan.sources.scratch import stored
 def global_rank(df: DataFrame, order: list[str], to: str = "rank") -> DataFrame:
     """Add the row's number from 0 in the order of the columns ``order``, which should be a total one.
 
-    The rows are range-partitioned and ranked within their partition; the
-    counts of the partitions before, one row each, are added.
+    The rows are range-partitioned, sorted and numbered as they are written, in
+    one shuffle; the counts of the partitions before, one row each, are added.
     """
-    parted = stored(df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id()), "ranked")
-    within = parted.withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
-    parts = parted.groupBy("_part").count()
+    ranged = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("_nth", F.monotonically_increasing_id())
+    within = stored(ranged.withColumns({"_part": F.shiftright("_nth", 33).cast("int"), "_nth": F.col("_nth").bitwiseAND(F.lit((1 << 33) - 1).cast("long"))}), "ranked")
+    parts = within.groupBy("_part").count()
     before = parts.withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
     return within.join(F.broadcast(before), "_part").withColumn(to, (F.col("_before") + F.col("_nth")).cast("long")).drop("_part", "_nth", "_before")
 
 
 def rank_within(df: DataFrame, group: str, order: list[str], to: str = "rank") -> DataFrame:
     """Like ``global_rank``, but counting anew in each group; groups are few (cells, slabs)."""
-    ranked = stored(global_rank(df, [group, *order], "_global"), "ranked-within")
+    ranked = global_rank(df, [group, *order], "_global")  # its rows are stored
     first = ranked.groupBy(group).agg(F.min("_global").alias("_first"))
     return ranked.join(F.broadcast(first), group).withColumn(to, F.col("_global") - F.col("_first")).drop("_global", "_first")
 

@@ -7,9 +7,10 @@ then keeps the scan to the cells named.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,11 +52,27 @@ def write_index(celled: DataFrame, dims: int, path: str | None = None) -> CellIn
     """Write points that have a ``cell`` (see ``operators.cells``) and their zone map."""
     spark = celled.sparkSession
     path = path or scratch_path(spark, "cell-index")
-    celled.select("record_id", "features", "cell").repartition(F.col("cell")).write.partitionBy("cell").parquet(f"{path}/points")
+    celled.select("record_id", "features", "cell").repartitionByRange("cell", "record_id").write.partitionBy("cell").parquet(f"{path}/points")
     cells.zone_map(spark.read.schema(celled.select("record_id", "features", "cell").schema).parquet(f"{path}/points"), dims).coalesce(1).write.parquet(f"{path}/zones")
+    spark.range(1).select(F.lit(dims).alias("dims")).write.parquet(f"{path}/about")
     return CellIndex(spark, path, dims)
 
 
+def open_index(spark: SparkSession, path: str, delta: str | None = None) -> CellIndex | None:
+    """The index that was written to ``path``, or None if there is none (or none that was finished)."""
+    try:
+        return CellIndex(spark, path, spark.read.parquet(f"{path}/about").first()["dims"], delta)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+
+
+def search(index: CellIndex | None, points: DataFrame, query: Sequence[float], k: int) -> DataFrame:
+    """The k nearest points by the index, or by a scan of ``points`` where none was built."""
+    return knn.knn(points, query, k) if index is None else pruned_knn(index, query, k)[0]
+
+
 def append(index: CellIndex, points: DataFrame) -> CellIndex:
     """Add points that searches see at once; they join the cells at the next build."""
     delta = index.delta or scratch_path(index.spark, "cell-delta")
@@ -112,3 +129,33 @@ def by_dims(points: DataFrame, query: Sequence[float], k: int, dims: Sequence[in
     return out
 
 
+def by_methods(points: DataFrame, indexes: dict[str, dict[int, CellIndex]], query: Sequence[float], k: int, dims: Sequence[int]) -> DataFrame:
+    """method, dims, rank, record_id, distance: the search over every prefix by a scan and by every index.
+
+    ``indexes`` names the methods and gives an index for some of the ``dims``;
+    where a method has none, its rows come from a scan.
+    """
+    out = by_dims(points, query, k, dims).select(F.lit("linear").alias("method"), "*")
+    for method, built in indexes.items():
+        for d in dims:
+            prefix = points.select("record_id", V.truncate(F.col("features"), d).alias("features"))
+            found = search(built.get(d), prefix, list(query)[:d], k)
+            out = out.unionByName(found.select(F.lit(method).alias("method"), F.lit(d).alias("dims"), "rank", "record_id", "distance"))
+    return out
+
+
+def media_search(points: DataFrame, indexes: dict[str, dict[int, CellIndex]], query: Sequence[float], k: int, dims: Sequence[int], enrich: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """method, dims, error, neighbors: one row per method and number of dimensions.
+
+    ``enrich`` adds metadata to the results (``operators.enrich``).  A query
+    shorter than ``dims`` has an error instead of neighbours.
+    """
+    able = [d for d in dims if d <= len(query)]
+    spark = points.sparkSession
+    failed = spark.createDataFrame([(m, d, f"the query has {len(query)} dimensions") for m in ("linear", *indexes) for d in dims if d > len(query)], "method string, dims int, error string")
+    found = enrich(by_methods(points, indexes, query, k, able)) if able else None
+    if found is None:
+        return failed.withColumn("neighbors", F.expr("cast(array() as array<struct<rank:int>>)"))
+    columns = ["rank", *[c for c in found.columns if c not in ("method", "dims", "rank")]]
+    rows = found.groupBy("method", "dims").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("neighbors"))  # k each
+    return rows.unionByName(failed, allowMissingColumns=True).select("method", "dims", "error", F.coalesce("neighbors", F.array().cast(rows.schema["neighbors"].dataType)).alias("neighbors"))

@@ -157,6 +157,54 @@ def knn_by_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(pruned.by_dims(T.embeddings(spark, sf_dir), _first_vector(spark, sf_dir), 5, features.DIMS), "dims")
 
 
+@_query(" UNION ALL ".join(f"SELECT '{m}' AS method, {d}::INT AS dims, * FROM ({_knn_sql(d, 5)})" for m in ("linear", "kd", "rtree") for d in (2, 5)))
+def knn_by_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By a scan, by a stored index that is opened again, and by a method without an index for two dimensions."""
+    points = T.embeddings(spark, sf_dir)
+    prefix = lambda d: points.select("record_id", V.truncate(F.col("features"), d).alias("features"))
+    kd = {d: pruned.open_index(spark, pruned.write_index(cells.kd_cells(prefix(d), 4, d), d).path) for d in (2, 5)}
+    rtree = {5: pruned.write_index(cells.str_leaves(prefix(5), LEAF_SIZE, 5), 5)}
+    return _rounded(pruned.by_methods(points, {"kd": kd, "rtree": rtree}, _first_vector(spark, sf_dir), 5, (2, 5)), "method", "dims")
+
+
+@_query()
+def knn_cells_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many cells an index over the orders has, and how many a search reads."""
+    index = pruned.write_index(cells.kd_cells(T.order_points(spark, sf_dir), 6, 2), 2)
+    stats = pruned.pruned_knn(index, QUERY_2D, 10)[1]
+    return spark.createDataFrame([(stats["cells_total"], stats["cells_scanned"])], "cells_total long, cells_scanned long")
+
+
+@_query(f"""
+SELECT record_id, round(d, 6) AS distance, row_number() OVER (ORDER BY d, record_id) AS rank, x, y
+FROM (SELECT *, sqrt(power(x::DOUBLE - {QUERY_2D[0]}, 2) + power(y::DOUBLE - {QUERY_2D[1]}, 2)) AS d FROM ({ORDERS})) ORDER BY d, record_id LIMIT 10""")
+def knn_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The results' own coordinates beside their ranks."""
+    found = knn.knn(T.order_points(spark, sf_dir), QUERY_2D, 10)
+    return _rounded(found.withColumns({"x": F.col("features")[0], "y": F.col("features")[1]}), "x", "y")
+
+
+@_query("SELECT vec_id AS record_id, (" + " AND ".join(f"embedding[{i}] BETWEEN -0.1 AND 0.1" for i in range(1, 5)) + ") AS inside, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS length FROM embeddings")
+def point_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a vector's first four elements lie in a box, and the vector's length."""
+    lo, hi = (F.array(*[F.lit(x).cast("float")] * 4) for x in (-0.1, 0.1))
+    return T.embeddings(spark, sf_dir).select("record_id", V.contains(lo, hi, V.truncate(F.col("features"), 4)).alias("inside"), F.round(V.norm(F.col("features")), 6).alias("length"))
+
+
+@_query("SELECT p_partkey AS record_id, p_size::FLOAT::DOUBLE AS a, p_retailprice::FLOAT::DOUBLE AS b, round((p_size::FLOAT::DOUBLE * "
+        + " + p_retailprice::FLOAT::DOUBLE * ".join(map(repr, features.unit_weights(2, 42))) + ")::FLOAT::DOUBLE, 2) AS filled FROM part")
+def select_with_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of three named columns one is missing; a projection of the others takes its place."""
+    chosen = features.select_features(T.read(spark, sf_dir, "part"), ("p_size", "no_such_column", "p_retailprice"))
+    at = lambda i: F.col("features")[i].cast("double")
+    return chosen.select(F.col("p_partkey").alias("record_id"), at(0).alias("a"), at(1).alias("b"), F.round(at(2), 2).alias("filled"))
+
+
+@_query("SELECT label, count(*) AS n FROM embeddings GROUP BY label")
+def class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.class_counts(T.embeddings(spark, sf_dir), "label")
+
+
 @_query(_point_sql(ORDERS, QUERY_2D, 10))
 def knn_with_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A third of the orders arrives after the index was built and is found all the same."""
@@ -543,6 +591,22 @@ def streaming_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _totals(streaming.stored_points(spark, out))
 
 
+@_query(f"""
+WITH v AS (SELECT *, {_VOLUME} AS vol FROM (SELECT label, {", ".join(f"min(embedding[{i}]) AS lo{i}, max(embedding[{i}]) AS hi{i}" for i in (1, 2, 3))} FROM embeddings WHERE vec_id % 2 = 0 GROUP BY label))
+SELECT record_id, node FROM (
+  SELECT e.vec_id AS record_id, b.label AS node, row_number() OVER (PARTITION BY e.vec_id ORDER BY {_GROWN} - b.vol, b.vol, b.label) AS r
+  FROM embeddings e, v b) WHERE r = 1""")
+def streaming_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors arrive as a stream and get the node, of the even ones' label boxes, that grows least."""
+    source = T.embeddings(spark, sf_dir, 3)
+    leaves = boxes.bounding_boxes(source.where("record_id % 2 = 0"), "label", 3).withColumnRenamed("label", "node")
+    folder, out = scratch_path(spark, "stream-in"), scratch_path(spark, "stream-out")
+    source.select("record_id", "features").write.parquet(folder)
+    stream = spark.readStream.schema(source.select("record_id", "features").schema).parquet(folder)
+    streaming.stream_points(stream, 3, out, scratch_path(spark, "stream-state"), leaves).awaitTermination()
+    return streaming.stored_points(spark, out).select("record_id", "node")
+
+
 @_query(f"SELECT record_id, floor(x)::BIGINT AS x FROM ({ORDERS})")
 def append_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two appends of a table whose keys are already dense give them back as ids."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,18 @@ def clustered_points(spark: SparkSession, n: int, dims: int, centres: int, sprea
     return rows.withColumn("features", F.array(*[(F.get(F.get(at, F.col("class")), F.lit(i)) + _normal(seed, i) * noise).cast("float") for i in range(dims)]))
 
 
+def audio_names(points: DataFrame, genres: Sequence[str]) -> DataFrame:
+    """pos, record_id, filename, genre: a row a point; the genre is the one of its class, the number counts on."""
+    genre = F.get(F.array(*[F.lit(g) for g in genres]), F.pmod("class", F.lit(len(genres))))
+    return points.select(F.col("record_id").alias("pos"), "record_id", F.format_string("%s.%05d.wav", genre, F.col("record_id")).alias("filename"), genre.alias("genre"))
+
+
+def image_paths(points: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """pos, record_id, filepath, label: a row a point, in a folder of its class's label."""
+    label = F.get(F.array(*[F.lit(x) for x in labels]), F.pmod("class", F.lit(len(labels))))
+    return points.select(F.col("record_id").alias("pos"), "record_id", F.format_string("%s/%s_%d.jpg", label, label, F.col("record_id")).alias("filepath"), label.alias("label"))
+
+
 def sample_audio(spark: SparkSession, n: int = 1000) -> DataFrame:
     return clustered_points(spark, n, 30, 10, 2.0, 0.5, 42)
 

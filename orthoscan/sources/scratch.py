@@ -13,11 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder, named by ``spark.checkpoint.dir``.
 
-    Where nobody set it (single-machine tests) a temporary folder is made, set
-    for the session and removed at exit.
+    Where nobody set it a temporary folder is made, set for the session and
+    removed at exit; on a cluster, where executors would each write to a disk
+    of their own, that is an error instead.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="orthoscan-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)

@@ -115,6 +115,32 @@ def test_stream(spark, tmp_path):
     assert sorted((r.record_id, r.node) for r in streaming.stored_points(spark, str(tmp_path / "out")).collect()) == [(0, 0), (1, 0), (2, 1)]
 
 
+def test_stream_keeps_repeated_ids_and_rejects(spark, tmp_path):
+    rows = [(7, [0.0, 0.0]), (7, [9.0, 9.0]), (8, [1.0]), (8, None), (9, [float("inf"), 1.0])]
+    points = spark.createDataFrame(rows, "record_id long, features array<float>")
+    points.write.parquet(str(tmp_path / "in"))
+    leaves = spark.createDataFrame([(0, [0.0, 0.0], [2.0, 2.0]), (1, [8.0, 8.0], [10.0, 10.0])], "node int, lo array<float>, hi array<float>")
+    stream = spark.readStream.schema(points.schema).parquet(str(tmp_path / "in"))
+    streaming.stream_points(stream, 2, str(tmp_path / "out"), str(tmp_path / "state"), leaves).awaitTermination()
+    assert sorted((r.record_id, r.node) for r in streaming.stored_points(spark, str(tmp_path / "out")).collect()) == [(7, 0), (7, 1)]
+    assert sorted(r.record_id for r in spark.read.parquet(streaming.rejected_path(str(tmp_path / "out"))).collect()) == [8, 8, 9]
+
+
+def test_names_of_generated_media(spark):
+    audio = generate.audio_names(generate.sample_audio(spark, 12), [f"g{i}" for i in range(10)])
+    assert [(r.filename, r.genre) for r in audio.orderBy("pos").collect()][9:11] == [("g9.00009.wav", "g9"), ("g0.00010.wav", "g0")]
+    images = generate.image_paths(generate.sample_images(spark, 16), ["cat", "dog"])
+    assert images.orderBy("pos").collect()[3].filepath == "dog/dog_3.jpg" and images.count() == 16
+
+
+def test_valid_results(spark):
+    from orthoscan.plans import report
+
+    rows = [(1, [1, 2], None), (2, [], None), (3, [1], "failed"), (4, None, None)]
+    found = report.valid_results(spark.createDataFrame(rows, "id int, neighbors array<int>, error string"))
+    assert [r.id for r in found.collect()] == [1]
+
+
 def test_reject_invalid(spark):
     ok, bad = ingest.reject_invalid(frame(spark, [[1, 2], [1], [float("inf"), 0]]), 2)
     assert (ok.count(), bad.count()) == (1, 2)

@@ -67,6 +67,25 @@ def test_appended_points_are_found(spark):
     assert [i for i, _ in pairs(pruned.pruned_knn(index, [0.1, 0.0], 1)[0])] == [9]
 
 
+def test_media_search_with_and_without_an_index(spark, tmp_path):
+    from orthoscan.operators import enrich
+
+    points = spark.range(60).selectExpr("id AS record_id", "array(cast(id % 7 AS float), cast(id % 11 AS float), cast(id AS float)) AS features")
+    assert pruned.open_index(spark, str(tmp_path / "none")) is None
+    prefix = points.selectExpr("record_id", "slice(features, 1, 2) AS features")
+    path = pruned.write_index(cells.kd_cells(prefix, 2, 2), 2, str(tmp_path / "index")).path
+    index = pruned.open_index(spark, path)
+    assert index.dims == 2
+    meta = spark.range(60).selectExpr("id AS pos", "concat('blues.', id, '.wav') AS filename")
+    got = pruned.media_search(points, {"kd": {2: index}}, [3.0, 4.0, 5.0], 4, (2, 3, 9), lambda df: enrich.audio(df, meta, 60))
+    rows = {(r["method"], r["dims"]): r for r in got.collect()}
+    assert set(rows) == {(m, d) for m in ("linear", "kd") for d in (2, 3, 9)}
+    for d in (2, 3):
+        assert rows["kd", d].neighbors == rows["linear", d].neighbors and len(rows["kd", d].neighbors) == 4 and rows["kd", d].error is None
+        assert all(n.genre == "blues" and n.filename == f"blues.{n.record_id}.wav" for n in rows["kd", d].neighbors)
+    assert rows["kd", 9].error and not rows["kd", 9].neighbors
+
+
 def test_exact_cells_halve_and_leaves_hold(spark):
     points = frame(spark, [(i, [float(i % 3), 1.0]) for i in range(101)])
     sizes = sorted(r["count"] for r in cells.kd_cells_exact(points, 3, 2).groupBy("cell").count().collect())
