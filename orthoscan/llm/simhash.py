@@ -142,7 +142,7 @@ def _forest(pdf: pd.DataFrame) -> pd.DataFrame:
 def _sized(posted: DataFrame, name: str) -> DataFrame:
     """Postings of the entries that hold more than one fingerprint, with the entry's size."""
     sizes = stored(posted.groupBy("entry").agg(F.count("*").alias("size")).where("size > 1"), f"{name}-sizes")
-    return stored(posted.join(sizes, "entry"), name)
+    return stored(posted.join(sizes.hint("merge"), "entry"), name)  # as many entries as there are near pairs: never broadcast
 
 
 def _wildcards(fp: Column, shared: int) -> Column:
