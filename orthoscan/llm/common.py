@@ -11,9 +11,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orthoscan.functions.vectors import is_valid
 from orthoscan.sources.scratch import scratch_root, stored
 
-__all__ = ["LOWER", "SPACES", "UPPER", "arrow_rows", "ascii_lower", "id_remainder", "scratch_root", "stored", "table", "text_slices", "texts_of"]
+__all__ = ["LOWER", "SPACES", "UPPER", "arrow_rows", "ascii_lower", "checkpoint_folder", "clean_vectors", "id_remainder", "scratch_root", "stored", "table", "text_slices", "texts_of", "vector_matrix"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -69,3 +70,28 @@ def arrow_rows(spark: SparkSession, most: int = 1000) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(key, before)
+
+
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Make sure that ``checkpoint()`` has a folder: the shared one, unless the context has taken it from its settings."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(scratch_root(spark))
+
+
+def clean_vectors(vectors: DataFrame, column: str) -> tuple[DataFrame, int]:
+    """(rows whose ``column`` holds a usable vector, its length).
+
+    Null and empty vectors and those with null or non-finite components are
+    dropped, and so are those of another length than most rows have, the
+    longer of two equally frequent lengths.
+    """
+    v = F.col(column)
+    usable = vectors.where(F.coalesce((F.size(v) > 0) & is_valid(v, F.size(v)), F.lit(False)))
+    lengths = usable.groupBy(F.size(v).alias("length")).count().orderBy(F.desc("count"), F.desc("length")).first()
+    dims = lengths["length"] if lengths else 0
+    return usable.where(F.size(v) == dims), dims
+
+
+def vector_matrix(column: pa.Array) -> np.ndarray:
+    """A column of vectors of one length, without nulls, as rows of doubles."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1 if len(column) else 0)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from orthoscan.llm import chat_format, decontaminate, exact_dedup, language_id, line_dedup, packing, quality, secret_scan, simhash, suffix_lm
+from orthoscan.llm import chat_format, decontaminate, exact_dedup, language_id, line_dedup, packing, quality, secret_scan, simhash, suffix_lm, vector_codes, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": secret_scan.op8_secret_scan,
         "op9_chat_format": chat_format.op9_chat_format,
         "op10_template_decontamination": decontaminate.op10_template_decontamination,
+        "op11_vector_codes": vector_codes.op11_vector_codes,
+        "op13_embedding_whitening": whitening.op13_embedding_whitening,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -32,4 +34,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_exact_dedup": exact_dedup.OP6_SQL,
         "op8_secret_scan": secret_scan.OP8_SQL,
         "op9_chat_format": chat_format.OP9_SQL,
+        "op11_vector_codes": vector_codes.OP11_SQL,
     }
