@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from orthoscan.llm import chat_format, decontaminate, exact_dedup, language_id, line_dedup, packing, quality, secret_scan, simhash, suffix_lm, vector_codes, whitening
+from orthoscan.llm import chat_format, decontaminate, exact_dedup, language_id, line_dedup, packing, quality, secret_scan, simhash, suffix_dedup, suffix_lm, vector_codes, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_chat_format": chat_format.op9_chat_format,
         "op10_template_decontamination": decontaminate.op10_template_decontamination,
         "op11_vector_codes": vector_codes.op11_vector_codes,
+        "op12_suffix_dedup": suffix_dedup.op12_suffix_dedup,
         "op13_embedding_whitening": whitening.op13_embedding_whitening,
         "pipeline": corpus_pipeline.run,
     }
@@ -35,4 +36,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_secret_scan": secret_scan.OP8_SQL,
         "op9_chat_format": chat_format.OP9_SQL,
         "op11_vector_codes": vector_codes.OP11_SQL,
+        "op12_suffix_dedup": suffix_dedup.OP12_SQL,
     }
