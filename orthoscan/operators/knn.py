@@ -1,6 +1,7 @@
-"""Exact nearest neighbours by a full scan, for one query or a batch.
+"""Exact nearest neighbours of one query by a full scan.
 
-The order is (distance, record_id) throughout.
+The order is (distance, record_id) throughout.  Batches of queries are joined
+with the points in ``operators.knn_join``.
 """
 
 from __future__ import annotations
@@ -9,14 +10,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orthoscan.functions.vectors import distance
 
-#: Bytes of queries that every task may hold; larger batches are searched block by block.
-QUERY_BYTES = 64 << 20
-
 
 def check_dims(points: DataFrame, query: Sequence[float], features: str = "features") -> None:
     """Raise ValueError unless the query is as long as the first stored point."""
@@ -40,50 +39,44 @@ def _as_matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def knn_batch(points: DataFrame, queries: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
-    """The ``k`` nearest points of every query (qid, features): qid, rank, record_id, distance.
+def nearest_rows(ids: np.ndarray, d: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` least by (distance, id)."""
+    at = np.arange(len(d))
+    if len(d) > 4 * k:
+        at = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])  # ties of the k-th stay
+    return at[np.lexsort((ids[at], d[at]))[:k]]
+
 
-    The queries go to every task, in blocks of at most QUERY_BYTES; a task keeps
-    the k nearest of its own points for each, so that k rows a query and task
-    are shuffled, not a row a pair.  ``exclude_self`` leaves out the point whose
-    record_id is the qid.
+def knn_prefixes(points: DataFrame, query: Sequence[float], k: int, dims: Sequence[int]) -> DataFrame:
+    """dims, rank, record_id, distance: the ``k`` nearest points to ``query`` over each prefix of the vectors, in one scan.
+
+    A prefix's squared distance is a running sum, so all of them come from one
+    pass over a point; a task keeps k rows for each of ``dims`` while it reads,
+    and those are merged.  Prefixes longer than the query raise ValueError;
+    points shorter than a prefix aren't found by it.
     """
-    spark = points.sparkSession
-    dims = (queries.select(F.size("features")).first() or [1])[0]
-    total = queries.count()
-    blocks = max(1, -(-total * dims * 8 // QUERY_BYTES))
-    out = None
-    for b in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b) if blocks > 1 else queries
-        table = own.select("qid", "features").toArrow()
-        shared = spark.sparkContext.broadcast((table.column("qid").to_numpy(), _as_matrix(table.column("features").combine_chunks()) if len(table) else np.zeros((0, dims))))
-        found = points.select("record_id", "features").mapInArrow(_nearest_of(shared, k, exclude_self), "qid long, record_id long, distance double")
-        out = found if out is None else out.unionByName(found)
-    turn = Window.partitionBy("qid").orderBy("distance", "record_id")
-    return out.withColumn("rank", F.row_number().over(turn)).where(F.col("rank") <= k).select("qid", "rank", "record_id", "distance")
-
-
-def _nearest_of(shared, k: int, exclude_self: bool):
+    wanted = sorted(set(dims))
+    if wanted and wanted[-1] > len(query):
+        raise ValueError(f"the query has {len(query)} dimensions, {wanted[-1]} are asked for")
+    target = np.asarray(query, dtype=np.float64)
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, targets = shared.value
-        best = [(np.zeros(0), np.zeros(0, dtype=np.int64)) for _ in qids]
+        best = {d: (np.zeros(0), np.zeros(0, dtype=np.int64)) for d in wanted}
         for batch in batches:
-            if not len(batch) or k <= 0:
-                continue
-            ids, x = batch.column(0).to_numpy(), _as_matrix(batch.column(1))
-            for i, (qid, target) in enumerate(zip(qids, targets, strict=True)):
-                gap = x - target
-                d = np.sqrt(np.einsum("ij,ij->i", gap, gap))
-                ok = ids != qid if exclude_self else slice(None)
-                d, own = np.concatenate([best[i][0], d[ok]]), np.concatenate([best[i][1], ids[ok]])
-                if len(d) > 4 * k:
-                    near = d <= np.partition(d, k - 1)[k - 1]  # ties of the k-th stay
-                    d, own = d[near], own[near]
-                at = np.lexsort((own, d))[:k]
-                best[i] = (d[at], own[at])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(qids, [len(d) for d, _ in best])), pa.array(np.concatenate([o for _, o in best]) if best else np.zeros(0, dtype=np.int64)), pa.array(np.concatenate([d for d, _ in best]) if best else np.zeros(0))],
-            ["qid", "record_id", "distance"],
-        )
-
-    return search
+            lengths = pc.list_value_length(batch.column(1)).to_numpy()
+            for length in np.unique(lengths):
+                own = batch if (lengths == length).all() else batch.filter(pa.array(lengths == length))
+                gap = _as_matrix(own.column(1)) - target[:length]
+                ids, running = own.column(0).to_numpy(), np.cumsum(gap * gap, axis=1)
+                for d in wanted if k > 0 else ():
+                    if d <= length:
+                        far, named = np.concatenate([best[d][0], running[:, d - 1]]), np.concatenate([best[d][1], ids])
+                        at = nearest_rows(named, far, k)
+                        best[d] = far[at], named[at]
+        for d, (far, named) in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(far), d, dtype=np.int32)), pa.array(named), pa.array(np.sqrt(far))], ["dims", "record_id", "distance"])
+
+    prefix = F.slice("features", 1, max(wanted, default=1))
+    found = points.select("record_id", prefix.alias("features")).where(F.col("features").isNotNull()).mapInArrow(search, "dims int, record_id long, distance double")
+    turn = Window.partitionBy("dims").orderBy("distance", "record_id")
+    return found.withColumn("rank", F.row_number().over(turn)).where(F.col("rank") <= k).select("dims", "rank", "record_id", "distance")

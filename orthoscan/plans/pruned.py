@@ -121,12 +121,8 @@ def pruned_range(index: CellIndex, lo: Sequence[float], hi: Sequence[float]) ->
 
 
 def by_dims(points: DataFrame, query: Sequence[float], k: int, dims: Sequence[int]) -> DataFrame:
-    """dims, rank, record_id, distance: the same search over prefixes of the vectors."""
-    out = None
-    for d in dims:
-        found = knn.knn(points.select("record_id", V.truncate(F.col("features"), d).alias("features")), list(query)[:d], k).select(F.lit(d).alias("dims"), "rank", "record_id", "distance")
-        out = found if out is None else out.unionByName(found)
-    return out
+    """dims, rank, record_id, distance: the same search over prefixes of the vectors, in one scan."""
+    return knn.knn_prefixes(points, query, k, dims)
 
 
 def by_methods(points: DataFrame, indexes: dict[str, dict[int, CellIndex]], query: Sequence[float], k: int, dims: Sequence[int]) -> DataFrame:

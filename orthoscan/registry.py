@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from orthoscan import tables as T
 from orthoscan.functions import names as N
 from orthoscan.functions import vectors as V
-from orthoscan.operators import boxes, cells, enrich, features, ingest, knn, ranks
+from orthoscan.operators import boxes, cells, enrich, features, ingest, knn, knn_join, ranks
 from orthoscan.plans import pruned, report
 from orthoscan.sources import files, vector_files
 from orthoscan.sources.scratch import scratch_path
@@ -114,7 +114,7 @@ WHERE rank <= {k}"""
 def _batch(spark: SparkSession, sf_dir: str, exclude_self: bool) -> DataFrame:
     points = T.embeddings(spark, sf_dir)
     asked = points.where("record_id % 20 = 0").select(F.col("record_id").alias("qid"), "features")
-    return _rounded(knn.knn_batch(points, asked, 5, exclude_self), "qid")
+    return _rounded(knn_join.knn_join(points, asked, 5, exclude_self), "qid")
 
 
 @_query(_batch_sql(5, True))
@@ -213,6 +213,18 @@ def knn_with_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(pruned.pruned_knn(pruned.append(index, points.where("record_id % 3 = 0")), QUERY_2D, 10)[0])
 
 
+@_query(f"""
+WITH p AS MATERIALIZED (SELECT record_id, x::DOUBLE AS x, y::DOUBLE AS y FROM ({ORDERS})),
+d AS (SELECT q.record_id AS qid, p.record_id, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) AS d FROM p q, p WHERE q.record_id % 20 = 0),
+n AS (SELECT qid, unnest(arg_min({{'record_id': record_id, 'd': d}}, {{'d': d, 'record_id': record_id}}, 3)) AS e FROM d GROUP BY qid)
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY e.d, e.record_id) AS rank, e.record_id AS record_id, round(e.d, 6) AS distance FROM n""")
+def knn_join_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three nearest orders of each order whose key is divisible by 20, by price and day."""
+    points = T.order_points(spark, sf_dir)
+    asked = points.where("record_id % 20 = 0").select(F.col("record_id").alias("qid"), "features")
+    return _rounded(knn_join.knn_join(points, asked, 3), "qid")
+
+
 # Boxes
 
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from orthoscan.operators import boxes, cells, ingest, knn, ranks
+from orthoscan.operators import boxes, cells, ingest, knn, knn_join, ranks
 from orthoscan.plans import pruned, report
 
 GOLDEN = [(0, [0.0, 0.0]), (1, [3.0, 4.0]), (2, [0.0, 5.0]), (3, [5.0, 0.0]), (4, [6.0, 8.0]), (5, [0.0, 0.0])]
@@ -13,6 +13,10 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "record_id long, features array<float>")
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def pairs(df):
     return [(r.record_id, round(r.distance, 6)) for r in df.orderBy("rank").collect()]
 
@@ -22,14 +26,14 @@ def test_golden(spark, k, want):
     points = frame(spark, GOLDEN)
     assert [i for i, _ in pairs(knn.knn(points, [0.0, 0.0], k))] == want
     queries = spark.createDataFrame([(7, [0.0, 0.0])], "qid long, features array<float>")
-    assert [i for i, _ in pairs(knn.knn_batch(points, queries, k))] == want
+    assert [i for i, _ in pairs(knn_join.knn_join(points, queries, k))] == want
 
 
 def test_wrong_length_and_empty(spark):
     with pytest.raises(ValueError):
         knn.knn(frame(spark, GOLDEN), [0.0, 0.0, 0.0], 3)
     assert knn.knn(frame(spark, []), [0.0], 3).count() == 0
-    assert knn.knn_batch(frame(spark, GOLDEN), spark.createDataFrame([], "qid long, features array<float>"), 3).count() == 0
+    assert knn_join.knn_join(frame(spark, GOLDEN), spark.createDataFrame([], "qid long, features array<float>"), 3).count() == 0
 
 
 def test_boxes(spark):
@@ -96,6 +100,104 @@ def test_exact_cells_halve_and_leaves_hold(spark):
     assert [r.n for r in tops if r.level == max(t.level for t in tops)] == [101]
 
 
+@pytest.mark.parametrize("kind", ["random", "ties"])
+def test_exact_cells_and_leaves_by_refined_histograms(spark, monkeypatch, kind):
+    """Few bins and rows at a time, and cuts in tables instead of on the driver, change nothing."""
+    rng = np.random.Generator(np.random.PCG64(2))
+    v = {"random": rng.normal(size=(300, 2)) * [1, 1e6], "ties": rng.integers(0, 4, (300, 2)) // [1, 4]}[kind].astype(np.float32)
+    ids = rng.permutation(10_000)[:300] * (1 << 40)
+    points = frame(spark, [(int(i), x.tolist()) for i, x in zip(ids, v, strict=True)]).repartition(3)
+
+    def plain(levels, up):
+        cell = np.zeros(300, dtype=int)
+        for axis, slabs in levels:
+            out = cell * slabs
+            for c in np.unique(cell):
+                own = np.flatnonzero(cell == c)
+                order = own[np.lexsort((ids[own], v[own, axis]))]
+                cut = [j * len(own) // slabs if not up else -(-j * len(own) // slabs) for j in range(1, slabs)]
+                out[order] += np.searchsorted(cut, np.arange(len(own)), side="right")
+            cell = out
+        return {int(i): int(c) for i, c in zip(ids, cell, strict=True)}
+
+    found = lambda df: {r.record_id: r.cell for r in df.collect()}
+    for bins, rows, depth in ((1 << 14, 1 << 16, 3), (8, 20, 2)):
+        monkeypatch.setattr(cells, "BINS", bins)
+        monkeypatch.setattr(cells, "FEW_ROWS", rows)
+        assert found(cells.kd_cells_exact(points, depth, 2)) == plain([(0, 2), (1, 2), (0, 2)][:depth], False)
+    slabs = [(0, 6), (1, 5)]  # 30 leaves of 10
+    assert found(cells.str_leaves(points, 10, 2)) == plain(slabs, True)
+    monkeypatch.setattr(cells, "DRIVER_CUTS", 0)
+    monkeypatch.setattr(cells, "BINS", 64)
+    for few in (64, 1):
+        monkeypatch.setattr(cells, "FEW_CUTS", few)
+        assert found(cells.str_leaves(points, 10, 2)) == plain(slabs, True)
+    assert cells.kd_cells_exact(points.limit(0), 3, 2).count() == 0 and cells.str_leaves(points.limit(0), 5, 2).count() == 0
+
+
+def test_no_point_moves_while_cells_are_found(spark):
+    points = frame(spark, [(i, [float(i * 7 % 31), float(i % 5)]) for i in range(200)])
+    celled = cells.kd_cells_exact(points, 8, 2)
+    assert "Exchange" not in plan(celled) and "Join" not in plan(celled)
+    assert {r["count"] for r in celled.groupBy("cell").count().collect()} == {1}  # 512 cells, 200 of them with a point
+
+
+def plain_join(points, queries, k, exclude_self=False):
+    out = set()
+    for qid, q in queries:
+        d = sorted((float(np.sqrt(((np.float32(x).astype(float) - np.float32(q).astype(float)) ** 2).sum())), i) for i, x in points if not (exclude_self and i == qid))
+        out |= {(qid, n + 1, i, round(far, 9)) for n, (far, i) in enumerate(d[:k])}
+    return out
+
+
+@pytest.mark.parametrize(("dims", "kind", "exclude_self"), [(2, "hot", True), (5, "clusters", False), (40, "random", False)])
+def test_knn_join_is_brute_force(spark, monkeypatch, dims, kind, exclude_self):
+    rng = np.random.Generator(np.random.PCG64(dims))
+    v = rng.normal(size=(500, dims)).astype(np.float32)
+    if kind == "hot":
+        v[:200] = v[0]  # one cell that holds many equal points, and most queries
+    if kind == "clusters":
+        v += rng.integers(0, 3, (500, 1)) * 100
+    points = [(i, x.tolist()) for i, x in enumerate(v)]
+    queries = [(i, x) for i, x in points[::9]] + [(1000 + i, (x * 3).tolist()) for i, x in enumerate(v[:20])]
+    df, asked = frame(spark, points).repartition(4), spark.createDataFrame(queries, "qid long, features array<float>").repartition(3)
+    for unit, crowd in ((1 << 15, 7), (40, 5)):
+        monkeypatch.setattr(knn_join, "UNIT_POINTS", unit)
+        monkeypatch.setattr(knn_join, "UNIT_QUERIES", crowd)
+        got = {(r.qid, r["rank"], r.record_id, round(r.distance, 9)) for r in knn_join.knn_join(df, asked, 6, exclude_self).collect()}
+        assert got == plain_join(points, queries, 6, exclude_self)
+    assert knn_join.knn_join(df, asked, 700).count() == 500 * len(queries)
+    assert knn_join.knn_join(df, asked.limit(0), 3).count() == knn_join.knn_join(df, asked, 0).count() == 0
+
+
+def test_knn_join_leaves_far_units_out(spark, monkeypatch):
+    """Most queries search a few units: the visits after the first are far fewer than queries times units."""
+    monkeypatch.setattr(knn_join, "UNIT_POINTS", 100)
+    rng = np.random.Generator(np.random.PCG64(1))
+    points = frame(spark, [(i, x.tolist()) for i, x in enumerate(rng.random((4000, 2)))])
+    kept, seen = knn_join.stored, {}
+    monkeypatch.setattr(knn_join, "stored", lambda df, name: seen.setdefault(name, kept(df, name)))
+    asked = points.where("record_id % 20 = 0").selectExpr("record_id AS qid", "features")
+    assert knn_join.knn_join(points, asked, 3).count() == 600
+    units = seen["knn-blocks"].count()
+    assert units >= 32 and seen["knn-visits"].count() < 200 * units / 10
+
+
+def test_prefixes_in_one_scan(spark):
+    rng = np.random.Generator(np.random.PCG64(7))
+    v = np.round(rng.normal(size=(300, 8)), 1).astype(np.float32)
+    points = frame(spark, [(i, x.tolist()) for i, x in enumerate(v)] + [(900, [0.0, 0.0, 0.0])]).repartition(4)
+    query = [0.1] * 8
+    got = knn.knn_prefixes(points, query, 7, (2, 5, 8, 2))
+    for d in (2, 5, 8):
+        prefix = points.where(f"size(features) >= {d}").selectExpr("record_id", f"slice(features, 1, {d}) AS features")
+        want = [(r.record_id, r.distance) for r in knn.knn(prefix, query[:d], 7).orderBy("rank").collect()]
+        assert [(r.record_id, r.distance) for r in got.where(f"dims = {d}").orderBy("rank").collect()] == want
+    assert knn.knn_prefixes(points, query, 0, (2,)).count() == 0 and knn.knn_prefixes(points.limit(0), query, 3, (2,)).count() == 0
+    with pytest.raises(ValueError):
+        knn.knn_prefixes(points, query, 3, (9,))
+
+
 def test_ranks(spark):
     df = spark.createDataFrame([(i * 7 % 50, i % 3) for i in range(50)], "v long, g long").repartition(5)
     assert sorted((r.v, r["rank"]) for r in ranks.global_rank(df, ["v"]).collect()) == [(i, i) for i in range(50)]
@@ -131,10 +233,6 @@ def test_append_and_lookup(spark, tmp_path):
     assert ingest.lookup(spark.read.parquet(path), 99).count() == 0
 
 
-def plan(df):
-    return df._jdf.queryExecution().executedPlan().toString()
-
-
 def test_plans(spark, sf):
     from orthoscan import tables
 
@@ -144,4 +242,6 @@ def test_plans(spark, sf):
     index = pruned.write_index(cells.kd_cells(tables.order_points(spark, sf), 5, 2), 2)
     found, stats = pruned.pruned_knn(index, [250_000.0, 9_500.0], 5)
     assert stats["cells_scanned"] < stats["cells_total"] and "PartitionFilters: [cell" in plan(found)
+    by_dims = plan(pruned.by_dims(tables.embeddings(spark, sf), [0.1] * 64, 5, (2, 5, 10, 20, 30)))
+    assert by_dims.count("FileScan") == 1 and "WindowGroupLimit" in by_dims
     assert "WindowGroupLimit" in plan(ranks.top_per_group(tables.read(spark, sf, "part"), "p_brand", ["p_partkey"], 3))
