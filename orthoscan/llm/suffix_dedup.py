@@ -41,7 +41,7 @@ LENGTH, ANCHOR = 400, 50
 #: Kinds of runs with one anchor that a shard takes; and windows of a run at most, in each step for more.
 CROWD, WIDTHS = 512, (64, 8, 1)
 #: Bytes of a shard, about, and shards at least.
-SHARD_BYTES, SHARDS = 2 << 20, 32
+SHARD_BYTES, SHARDS = 1 << 20, 32
 #: Window starts that are hashed at a time.
 CHUNK = 1 << 20
 #: Bits of the bitmap that keeps texts without candidates from being shuffled, and tasks that make it.
@@ -180,7 +180,7 @@ def _maybe_among(keys: DataFrame):
 
 def _shared_keys(kinds: DataFrame) -> DataFrame:
     """key, crowd: keys that several ``kinds`` (a row a key and kind) have."""
-    return kinds.groupBy("key").agg(F.count("*").alias("crowd")).where("crowd > 1").withColumnRenamed("key", "of_key")
+    return stored(kinds.groupBy("key").agg(F.count("*").alias("crowd")).where("crowd > 1").withColumnRenamed("key", "of_key"), "suffix-shared")  # written: the join then shuffles both sides itself, and a frequent key can be split
 
 
 def _with_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
