@@ -33,22 +33,6 @@ def range_search_points(points: DataFrame, lo: Sequence[float], hi: Sequence[flo
     return points.where(reduce(and_, [F.col("features")[i].between(a, b) for i, (a, b) in enumerate(zip(lo, hi, strict=True))]))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, width: float) -> DataFrame:
-    """Pairs of overlapping closed boxes: left_id, right_id; both sides have id, lo, hi.
-
-    The first axis is cut into strips of ``width``; boxes meet in a strip they
-    share, and a pair counts only in the first one, so it comes out once.
-    """
-    strips = lambda lo, hi: F.sequence(F.floor(lo[0] / width), F.floor(hi[0] / width))
-    a, b = (
-        df.where(F.col("lo")[0] <= F.col("hi")[0]).select(F.col("id").alias(f"{n}_id"), F.col("lo").alias(f"{n}_lo"), F.col("hi").alias(f"{n}_hi"), F.explode(strips(F.col("lo"), F.col("hi"))).alias("strip"))
-        for n, df in (("left", left), ("right", right))
-    )
-    first = F.floor(F.greatest(F.col("left_lo")[0], F.col("right_lo")[0]) / width)
-    met = a.join(b, "strip").where((F.col("strip") == first) & V.overlaps(F.col("left_lo"), F.col("left_hi"), F.col("right_lo"), F.col("right_hi")))
-    return met.select("left_id", "right_id")
-
-
 def choose_leaf(points: DataFrame, leaves: DataFrame) -> DataFrame:
     """record_id, node for every point: the leaf (node, lo, hi) that grows least, then the smaller, then the lower."""
     return with_leaf(points, leaves).select("record_id", "node")

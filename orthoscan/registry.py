@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from orthoscan import tables as T
 from orthoscan.functions import names as N
 from orthoscan.functions import vectors as V
-from orthoscan.operators import boxes, cells, enrich, features, ingest, knn, knn_join, ranks
+from orthoscan.operators import box_join, boxes, cells, enrich, features, ingest, knn, knn_join, ranks
 from orthoscan.plans import pruned, report
 from orthoscan.sources import files, vector_files
 from orthoscan.sources.scratch import scratch_path
@@ -250,7 +250,7 @@ WHERE a.lo0 <= c.hi0 AND a.hi0 >= c.lo0 AND a.lo1 <= c.hi1 AND a.hi1 >= c.lo1 AN
 def box_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     group = F.concat_ws("/", "p_brand", F.floor(F.col("record_id") / 500).cast("string"))
     found = boxes.bounding_boxes(T.part_points(spark, sf_dir).withColumn("id", group), "id", 2)
-    return boxes.overlap_join(found, found, 8.0).where("left_id < right_id")
+    return box_join.overlap_join(found, found).where("left_id < right_id")
 
 
 LABEL_BOXES = "SELECT label, " + ", ".join(f"min(embedding[{i}]) AS lo{i}, max(embedding[{i}]) AS hi{i}" for i in (1, 2, 3)) + ", count(*) AS n FROM embeddings GROUP BY label"

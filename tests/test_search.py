@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from orthoscan.operators import boxes, cells, ingest, knn, knn_join, ranks
+from orthoscan.operators import box_join, boxes, cells, ingest, knn, knn_join, ranks
 from orthoscan.plans import pruned, report
 
 GOLDEN = [(0, [0.0, 0.0]), (1, [3.0, 4.0]), (2, [0.0, 5.0]), (3, [5.0, 0.0]), (4, [6.0, 8.0]), (5, [0.0, 0.0])]
@@ -207,15 +207,32 @@ def test_ranks(spark):
         assert [n for _, n in own] == list(range(len(own)))
 
 
-def test_overlap_join(spark):
-    rng = np.random.Generator(np.random.PCG64(1))
-    rows = [(i, lo.tolist(), (lo + rng.random(2) * 3).tolist()) for i, lo in enumerate(rng.random((60, 2)) * 20)]
-    rows[0] = (0, [1.0, 1.0], [0.0, 2.0])  # inverted
-    df = spark.createDataFrame(rows, "id long, lo array<float>, hi array<float>")
-    got = sorted((r.left_id, r.right_id) for r in boxes.overlap_join(df, df, 2.5).collect())
-    f = np.float32
-    hit = lambda a, b: all(f(x) <= f(y) for x, y in zip(a[1], b[2], strict=True)) and all(f(x) >= f(y) for x, y in zip(a[2], b[1], strict=True))
-    assert got == sorted((a[0], b[0]) for a in rows[1:] for b in rows[1:] if hit(a, b))
+@pytest.mark.parametrize(("dims", "crowd", "tile"), [(2, 4096, 64), (3, 10, 2), (5, 20, 4)])
+def test_overlap_join_is_brute_force(spark, monkeypatch, dims, crowd, tile):
+    """Boxes of many sizes, points, infinite edges and everything; crowded tiles are split."""
+    monkeypatch.setattr(box_join, "CROWD", crowd)
+    monkeypatch.setattr(box_join, "TILE_BOXES", tile)
+    rng = np.random.Generator(np.random.PCG64(dims))
+    lo = (rng.random((120, dims)) * 20 - 10).astype(np.float32)
+    hi = lo + (10.0 ** rng.integers(-3, 2, (120, 1)) * rng.random((120, dims))).astype(np.float32)
+    hi[:10] = lo[:10]
+    lo[10:14], hi[12:16] = -np.inf, np.inf
+    lo[16, 0], hi[17, dims - 1] = -np.inf, np.inf
+    lo[20:50], hi[20:50] = 1.0, 1.5  # a crowd
+    lo[18], hi[18] = 3.0, 2.0  # inverted
+    hi[19, dims - 1] = np.nan
+    hi[60] = lo[61]  # touches
+    rows = [(i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(lo, hi, strict=True))]
+    schema = "id long, lo array<float>, hi array<float>"
+    left, right = spark.createDataFrame([*rows[:80], (500, None, [1.0] * dims)], schema), spark.createDataFrame(rows[40:] + rows[:20], schema)
+    ok = (lo <= hi).all(axis=1)
+    hit = lambda i, j: ok[i] and ok[j] and (lo[i] <= hi[j]).all() and (hi[i] >= lo[j]).all()
+    want = sorted((i, j) for i in range(80) for j in [*range(40, 120), *range(20)] if hit(i, j))
+    assert len(want) > 300
+    assert sorted((r.left_id, r.right_id) for r in box_join.overlap_join(left, right).collect()) == want
+    assert box_join.overlap_join(left, right.limit(0)).count() == 0
+    one = spark.createDataFrame([(1, [-np.inf] * dims, [np.inf] * dims)], schema)
+    assert box_join.overlap_join(one, one).count() == 1
 
 
 def test_report_keeps_other_dims(spark):
