@@ -45,7 +45,7 @@ class _Buckets:
 
     def _put(self, sa: np.ndarray, at: np.ndarray, pointer: np.ndarray, step: int) -> None:
         """Place the suffixes ``at`` in order, each at the pointer of its symbol, which moves on."""
-        symbols = self.t[at]
+        symbols = self.t[at]  # 16 bits: sorted by counting
         order = np.argsort(symbols, kind="stable")
         counts = np.bincount(symbols, minlength=self.size)
         symbols = symbols[order]
@@ -56,7 +56,7 @@ class _Buckets:
     def induced(self, lms: np.ndarray) -> np.ndarray:
         """All suffixes, in the order that ``lms``, the leftmost smaller ones in their order, implies."""
         t, smaller = self.t, self.smaller
-        sa = np.empty(len(t), dtype=np.int64)
+        sa = np.empty(len(t), dtype=np.int32 if len(t) < 1 << 31 else np.int64)
         first = t[lms]
         cut_lo, cut_hi = np.searchsorted(first, self.used, "left"), np.searchsorted(first, self.used, "right")
         left = self.starts.copy()
@@ -112,10 +112,10 @@ def _names(t: np.ndarray, lms: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """Start positions of the suffixes of ``symbols`` (integers from 0) in order; a suffix comes before its extensions."""
+    """Start positions of the suffixes of ``symbols`` (integers from 0 to 65,534) in order; a suffix comes before its extensions."""
     if not len(symbols):
         return np.zeros(0, dtype=np.int64)
-    t = np.append(symbols.astype(np.int64) + 1, 0)
+    t = np.append(symbols + np.uint16(1), 0).astype(np.uint16)
     buckets = _Buckets(t, int(t.max()) + 1)
     lms = buckets.lms
     if len(lms) > 1:
