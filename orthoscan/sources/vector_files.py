@@ -6,7 +6,8 @@ records and of pages, every other page a count and that many float32 vectors.
 
 A path is one such file, or a folder of them as Spark writes them: every task
 writes a file of its own, named by its first record_id, so tables of any size
-are written and read in parallel.  Files are opened through pyarrow's file
+are written and read in parallel.  They get their names when all tasks have
+ended, so a failed job leaves nothing that is read.  Files are opened through pyarrow's file
 systems, so a path may be local or an address of a store.
 """
 
@@ -14,12 +15,14 @@ from __future__ import annotations
 
 import re
 import struct
+import uuid
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 PAGE = 4096
 #: Bytes that one task reads.
@@ -119,25 +122,66 @@ def bin_bytes(vectors: np.ndarray) -> bytes:
     return struct.pack("<ii", *vectors.shape) + vectors.astype("<f4").tobytes()
 
 
-class _Writer(DataSourceWriter):
-    """A file for each task; its rows come with ascending, dense record_ids."""
+@dataclass
+class _Written(WriterCommitMessage):
+    """A file that a task has written under a temporary name, and the name it gets; no names from a task without rows."""
+
+    temporary: str | None = None
+    final: str | None = None
+
+
+class _Writer(DataSourceArrowWriter):
+    """A file for each task; its rows come with ascending, dense record_ids.
+
+    Tasks write to a folder of the job, which readers don't look into.  When all
+    have ended, their files are moved to their places; when one fails for good,
+    the folder goes, with what failed attempts have left; attempts that end later
+    can only leave files in such a folder.  Rows stay in Arrow
+    batches; a task holds the floats of its file.
+    """
 
     def __init__(self, options: dict, to_bytes):
-        self.path, self.to_bytes = options["path"], to_bytes
-
-    def write(self, rows: Iterator[Row]) -> WriterCommitMessage:
-        held, first = [], None
-        for r in rows:
-            first = r.record_id if first is None else first
-            if r.record_id != first + len(held):
-                raise ValueError(f"record_id {r.record_id} where {first + len(held)} was due")
-            held.append(np.array(r.features, dtype=np.float32))
-        if held:
-            system, inner = _system(self.path)
-            system.create_dir(inner, recursive=True)
-            with system.open_output_stream(f"{inner}/part-{first:020d}.vec") as out:
-                out.write(self.to_bytes(np.stack(held)))
-        return WriterCommitMessage()
+        self.path, self.to_bytes, self.folder = options["path"], to_bytes, f"_temporary-{uuid.uuid4().hex}"
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        held, due = [], None
+        for batch in batches:
+            ids = batch.column("record_id").to_numpy()
+            if len(ids):
+                due = int(ids[0]) if due is None else due
+                if not np.array_equal(ids, np.arange(due, due + len(ids))):
+                    raise ValueError(f"record_ids from {ids[0]} to {ids[-1]} aren't the {len(ids)} from {due} on")
+                due += len(ids)
+                held.append(batch.column("features").flatten().to_numpy(zero_copy_only=False).astype("<f4").reshape(len(ids), -1))
+        if not held:
+            return _Written()
+        rows = np.concatenate(held)
+        system, inner = _system(self.path)
+        system.create_dir(f"{inner}/{self.folder}", recursive=True)
+        temporary = f"{inner}/{self.folder}/{uuid.uuid4().hex}"
+        with system.open_output_stream(temporary) as out:
+            out.write(self.to_bytes(rows))
+        return _Written(temporary, f"{inner}/part-{due - len(rows):020d}.vec")
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        system, inner = _system(self.path)
+        done = [m for m in messages if m is not None and m.final]
+        there = [m.final for m, info in zip(done, system.get_file_info([m.final for m in done]), strict=True) if info.type.name != "NotFound"]
+        if there:
+            self.abort(messages)
+            raise ValueError(f"{there[0]} is there already")
+        system.create_dir(inner, recursive=True)
+        for m in done:
+            system.move(m.temporary, m.final)
+        self._clear()
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        self._clear()
+
+    def _clear(self) -> None:
+        system, inner = _system(self.path)
+        if system.get_file_info(f"{inner}/{self.folder}").type.name != "NotFound":
+            system.delete_dir(f"{inner}/{self.folder}")
 
 
 class PagedVectors(DataSource):
@@ -153,7 +197,7 @@ class PagedVectors(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _PagedReader(self.options)
 
-    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
         return _Writer(self.options, paged_bytes)
 
 
@@ -170,7 +214,7 @@ class BinVectors(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _BinReader(self.options)
 
-    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
         return _Writer(self.options, bin_bytes)
 
 

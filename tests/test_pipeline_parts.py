@@ -73,6 +73,24 @@ def test_vector_files(spark, tmp_path, dims):
     assert single.read_bytes() == vector_files.paged_bytes(x)
 
 
+@pytest.mark.parametrize("layout", ["paged_vectors", "bin_vectors"])
+def test_failed_writes_leave_nothing(spark, tmp_path, layout):
+    read = {"paged_vectors": lambda p: vector_files.read_paged(spark, p, 3), "bin_vectors": lambda p: vector_files.read_bin(spark, p)}[layout]
+    path = str(tmp_path / layout)
+    vector_files.register(spark)
+    rows = spark.range(4000).selectExpr("id AS record_id", "array(float(id), float(id % 7), 1f) AS features").repartitionByRange(4, "record_id").sortWithinPartitions("record_id")
+    bad = rows.selectExpr("record_id", "CASE WHEN record_id = 3990 THEN array(float(raise_error('no'))) ELSE features END AS features")
+    for broken in (bad, rows.where("record_id <> 3990")):  # a task that fails, and one whose ids have a gap
+        with pytest.raises(Exception, match="no|aren't"):
+            broken.write.format(layout).mode("append").save(path)
+        assert not list((tmp_path / layout).glob("*.vec")) and read(path).count() == 0
+    rows.write.format(layout).mode("append").save(path)
+    assert len(list((tmp_path / layout).glob("*.vec"))) == 4
+    with pytest.raises(Exception, match="there already"):
+        rows.write.format(layout).mode("append").save(path)
+    assert np.array_equal(vectors(read(path))[:, 0], np.arange(4000)) and len(list((tmp_path / layout).glob("*.vec"))) == 4
+
+
 def test_tables_and_models(spark, tmp_path):
     path = str(tmp_path / "t.csv")
     files.write_csv(spark.createDataFrame([("a", "b")], files.AUDIO_SCHEMA), path)
