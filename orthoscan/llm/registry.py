@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from orthoscan.llm import chat_format, decontaminate, exact_dedup, language_id, line_dedup, packing, quality, secret_scan, simhash, suffix_dedup, suffix_lm, vector_codes, whitening
@@ -25,7 +24,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op11_vector_codes": vector_codes.op11_vector_codes,
         "op12_suffix_dedup": suffix_dedup.op12_suffix_dedup,
         "op13_embedding_whitening": whitening.op13_embedding_whitening,
-        "pipeline": corpus_pipeline.run,
     }
 
 
