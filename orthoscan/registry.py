@@ -261,9 +261,10 @@ def _label_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes.bounding_boxes(T.embeddings(spark, sf_dir, 3), "label", 3)
 
 
-@_query("WITH b AS (" + LABEL_BOXES + ") " + " UNION ALL ".join(f"SELECT label, {i - 1} AS axis, round(lo{i}::DOUBLE, 6) AS lo, round(hi{i}::DOUBLE, 6) AS hi, n FROM b" for i in (1, 2, 3)))
+@_query("SELECT label, axis, round(min(x)::DOUBLE, 6) AS lo, round(max(x)::DOUBLE, 6) AS hi, count(*) AS n FROM (SELECT label, (unnest(range(64)))::INT AS axis, unnest(embedding) AS x FROM embeddings) GROUP BY label, axis")
 def mbr_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    axes = _label_boxes(spark, sf_dir).select("label", "n", F.posexplode(F.arrays_zip("lo", "hi")).alias("axis", "e"))
+    found = boxes.bounding_boxes(T.embeddings(spark, sf_dir), "label", 64)
+    axes = found.select("label", "n", F.posexplode(F.arrays_zip("lo", "hi")).alias("axis", "e"))
     return axes.select("label", "axis", F.round(F.col("e.lo").cast("double"), 6).alias("lo"), F.round(F.col("e.hi").cast("double"), 6).alias("hi"), "n")
 
 
@@ -316,9 +317,9 @@ def choose_leaf_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes.choose_leaf(points.where("record_id % 2 = 1"), leaves)
 
 
-@_query("SELECT label, (list_position(s, list_max(s)) - 1)::INT AS axis FROM (SELECT label, [" + ", ".join(f"var_pop(embedding[{i}]::DOUBLE)" for i in (1, 2, 3)) + "] AS s FROM embeddings GROUP BY label)")
+@_query("SELECT label, (list_position(s, list_max(s)) - 1)::INT AS axis FROM (SELECT label, [" + ", ".join(f"var_pop(embedding[{i}]::DOUBLE)" for i in range(1, 65)) + "] AS s FROM embeddings GROUP BY label)")
 def split_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boxes.widest_variance_axis(T.embeddings(spark, sf_dir, 3), "label", 3)
+    return boxes.widest_variance_axis(T.embeddings(spark, sf_dir), "label", 64)
 
 
 # Cells
@@ -396,11 +397,11 @@ def feature_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.feature_stats(_line_points(spark, sf_dir), len(_NUMERIC)).select("axis", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
-@_query("SELECT vec_id AS record_id, " + ", ".join(f"round((embedding[{i}]::DOUBLE - avg(embedding[{i}]::DOUBLE) OVER ()) / (stddev_pop(embedding[{i}]::DOUBLE) OVER () + 1e-9), 6) AS z{i}" for i in (1, 2, 3)) + " FROM embeddings")
+@_query("SELECT vec_id AS record_id, " + ", ".join(f"round((embedding[{i}]::DOUBLE - avg(embedding[{i}]::DOUBLE) OVER ()) / (stddev_pop(embedding[{i}]::DOUBLE) OVER () + 1e-9), 6) AS z{i}" for i in range(1, 65)) + " FROM embeddings")
 def standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = T.embeddings(spark, sf_dir, 3)
-    scaled = features.standardise(points, *features.stats_arrays(points, 3))
-    return scaled.select("record_id", *[F.round(F.col("features")[i], 6).alias(f"z{i + 1}") for i in range(3)])
+    points = T.embeddings(spark, sf_dir)
+    scaled = features.standardise(points, *features.stats_arrays(points, 64))
+    return scaled.select("record_id", *[F.round(F.col("features")[i], 6).alias(f"z{i + 1}") for i in range(64)])
 
 
 @_query(" UNION ALL ".join(f"SELECT vec_id AS record_id, {d}::INT AS dims, round(list_sum(list_transform(embedding[1:{d}], lambda x: x::DOUBLE)), 6) AS total FROM embeddings" for d in features.DIMS))
