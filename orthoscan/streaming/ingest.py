@@ -20,10 +20,12 @@ def stream_points(stream: DataFrame, dims: int, path: str, checkpoint: str, leav
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        valid, rejected = reject_invalid(batch.select("record_id", "features"), dims)
+        batch = batch.select("record_id", "features").persist()  # read once for both writes
+        valid, rejected = reject_invalid(batch, dims)
         rows = valid if leaves is None else with_leaf(valid, leaves)
         rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
         rejected.write.mode("overwrite").parquet(f"{rejected_path(path)}/batch={number}")
+        batch.unpersist()
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
