@@ -119,6 +119,31 @@ def test_line_dedup_of_a_run_over_many_partitions(spark, monkeypatch):
     assert got[None] == "" and all(got[i] == "\n".join([long] * (i == 599) + [long + str(i % 97)] * (last[i % 97] == i) + [f"{long} own {i}"] + [long] * (i == 599)) for i in range(600))
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_line_dedup_streams_the_ranged_sort(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that the plan is what runs
+    try:
+        plan = plan_of(line_dedup.first_occurrences(line_dedup.line_hashes(docs(spark, [(1, "x" * 50), (2, "x" * 50)]))))
+        assert plan.count("Exchange") == 1 and "rangepartitioning(hash" in plan and plan.count("Sort [") == 1 and "Window [" in plan
+        assert plan.index("Window [") < plan.index("Sort [") < plan.index("Exchange")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_line_dedup_shuffles_only_texts_that_may_lose_lines(spark):
+    line = "a line that is long enough to count as one of them"
+    rows = [(i, line) for i in range(6)] + [(10 + i, f"{line} of {i}" + " word" * 20000) for i in range(30)]
+    df = docs(spark, rows)
+    bitmaps = line_dedup.keep_bitmaps(df)
+    keyed = line_dedup._sieved(df.select(F.struct("*").alias("row"), line_dedup._id(), line_dedup._text_key()), bitmaps)
+    assert {r.id: r.maybe for r in keyed.collect()} == {i: i < 5 for i, _ in rows}
+    got = {r.doc_id: (r.text, r._n_dropped) for r in line_dedup.line_dedup(df).collect()}
+    assert got == {i: ("", 1) if i < 5 else (t, 0) for i, t in rows}
+
+
 def test_line_dedup_replaces_its_own_columns(spark):
     df = docs(spark, [(1, "x"), (2, None)]).withColumns({"_n_lines": F.lit("a"), "_N_dropped": F.lit("b"), "n_lines": F.lit("c"), "a.b": F.lit("d")})
     out = line_dedup.line_dedup(df)
