@@ -8,6 +8,12 @@ and the placeholders are filled consistently: where the item repeats a value,
 the document repeats its own.  So questions that were given new numbers and
 names are caught as well as verbatim copies.
 
+What documents and items have in common is looked up by an item's rarest
+windows, so many that no document that holds enough of them is missed, and by
+runs of MIN_RUN tokens; only the lines found so are compared window by window.
+A phrase that many documents and many items share isn't looked up where the
+item has enough else.
+
 Two sequences are made of every text: one with numbers and units replaced,
 which doesn't depend on capitals, and one with names (capitalised tokens)
 replaced too.  Items that have no window with enough words in either are
@@ -16,11 +22,11 @@ compared whole, as they are, token by token.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orthoscan.llm.common import stored, table
@@ -103,17 +109,29 @@ def _sequence(codes: np.ndarray, kind: np.ndarray, text: np.ndarray, sort: int)
     return np.where(kind > 0, _TYPE_CODE[kind], values), np.where(kind > 0, values, np.uint64(0)), text[at]
 
 
+def _mixed(codes: np.ndarray, offsets: Iterable[int], n: int, seed: int) -> np.ndarray:
+    """A hash at each of the first ``n`` places, of the codes at these offsets from it."""
+    hashes = np.full(n, np.uint64(seed), dtype=np.uint64)
+    for j in offsets:
+        hashes = (hashes ^ codes[j : j + n]) * _STEP
+        hashes ^= hashes >> np.uint64(29)
+    return hashes
+
+
 def _windows(codes: np.ndarray, values: np.ndarray, text: np.ndarray, size: int, sort: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and hashes of the windows of ``size`` tokens with enough words, and each start's place in its text."""
+    """Starts and hashes of the windows of ``size`` tokens with enough words, and each start's place in its text.
+
+    Windows of more than WINDOW tokens are hashed from the hashes of WINDOW tokens that cover them.
+    """
     n = len(codes) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     words = np.concatenate([[0], np.cumsum(values == 0)])
     at = np.flatnonzero((text[:n] == text[size - 1 :]) & (words[size:] - words[:n] >= MIN_LITERAL))
-    hashes = np.full(n, np.uint64(size * 3 + sort), dtype=np.uint64)
-    for j in range(size):
-        hashes = (hashes ^ codes[j : j + n]) * _STEP
-        hashes ^= hashes >> np.uint64(29)
+    part = min(size, WINDOW)
+    hashes = _mixed(codes, range(part), len(codes) - part + 1, size * 3 + sort)
+    if size > part:
+        hashes = _mixed(hashes, [*range(0, size - part, part), size - part], n, size * 3 + sort)
     begin = np.searchsorted(text, text[at], side="left")
     return at, hashes[at], at - begin
 
@@ -127,7 +145,7 @@ def template_windows(rows: DataFrame, wanted_sizes: list[tuple[int, int]], only:
 
     With ``whole_short`` a text of fewer than WINDOW tokens gives one window of
     all of them, else every text gives the windows of all ``wanted_sizes``
-    (sort, size).
+    (sort, size).  Those of more than WINDOW tokens have no slots.
     """
     wanted = rows.sparkSession.sparkContext.broadcast(only) if only is not None else None
 
@@ -161,8 +179,9 @@ def template_windows(rows: DataFrame, wanted_sizes: list[tuple[int, int]], only:
                             at, hashes, pos = at[hit], hashes[hit], pos[hit]
                         if not len(at):
                             continue
-                        slots = values[at[:, None] + np.arange(size)].view(np.int64)
-                        flat = pa.ListArray.from_arrays(pa.array(np.arange(0, size * len(at) + 1, size, dtype=np.int32)), pa.array(slots.reshape(-1)))
+                        width = size if size <= WINDOW else 0
+                        slots = values[at[:, None] + np.arange(width)].view(np.int64)
+                        flat = pa.ListArray.from_arrays(pa.array((np.arange(len(at) + 1) * width).astype(np.int32)), pa.array(slots.reshape(-1)))
                         whole = np.full(len(at), 0, dtype=np.int32)
                         yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][text[at]]), pa.array(keys[lo:hi][text[at]]), pa.array(whole + sort), pa.array(whole + size), pa.array(pos.astype(np.int32)), pa.array(length[text[at]].astype(np.int32)), pa.array(hashes.view(np.int64)), flat], schema=_ARROW)
                 lo = hi
@@ -179,6 +198,12 @@ def _rows(df: DataFrame, key: str) -> DataFrame:
 NO_ID = -(1 << 63)
 
 
+def _item_windows(benchmark: DataFrame, sizes: list[tuple[int, int]], whole_short: bool) -> DataFrame:
+    """The windows of the items, repeated rows once: item_id, item_key, sort, size, item_pos, hash, item_slots."""
+    windows = template_windows(_rows(benchmark, "item_id").distinct(), sizes, whole_short=whole_short).drop("tokens")
+    return stored(windows.withColumnsRenamed({"id": "item_id", "text_key": "item_key", "pos": "item_pos", "slots": "item_slots"}), "benchmark-all-windows")
+
+
 def _longest_run(places: Column, size: Column) -> Column:
     """Tokens of the longest stretch that windows of ``size`` tokens at ``places`` cover."""
     none = F.struct(F.lit(-1).alias("begin"), F.lit(-1).alias("end"), F.lit(0).alias("best"))
@@ -190,6 +215,33 @@ def _longest_run(places: Column, size: Column) -> Column:
     return F.aggregate(F.sort_array(places), none, step)["best"]
 
 
+def lookups(asked: DataFrame, held: DataFrame, min_share: float) -> DataFrame:
+    """The windows of ``asked`` by which items are looked up: item_id, item_key, sort, size, item_pos, hash.
+
+    A document that holds ``need`` of an item's n windows holds one of any
+    n - need + 1, so the rarest in ``held`` of so many will do.  Those that no
+    document has are left out.
+    """
+    key = ["hash", "sort", "size"]
+    places = asked.select("item_id", "item_key", *key, "item_pos")
+    texts = held.groupBy(*key).agg(F.count("*").alias("texts"))
+    item = Window.partitionBy("item_id", "item_key", "sort")
+    ranked = places.join(texts, key, "left").withColumns({"rank": F.row_number().over(item.orderBy(F.coalesce("texts", F.lit(0)), "item_pos")), "of": F.count("*").over(item)})
+    need = F.when(F.col("sort") == EXACT, F.col("of")).otherwise(F.greatest(F.ceil(F.col("of") * min_share - 1e-9), F.lit(1)))
+    return ranked.where((F.col("rank") <= F.col("of") - need + 1) & F.col("texts").isNotNull()).select(*places.columns)
+
+
+def candidate_lines(asked: DataFrame, runs: DataFrame, held: DataFrame, min_share: float) -> DataFrame:
+    """Where an item may lie in a document: id, text_key, item_id, item_key, sort, shift.
+
+    ``asked`` are the items' windows, ``runs`` their windows of MIN_RUN tokens,
+    ``held`` those of either that documents have.
+    """
+    wanted = lookups(asked, held, min_share).unionByName(runs.select("item_id", "item_key", "hash", "sort", "size", "item_pos"))
+    found = held.select("id", "text_key", "hash", "sort", "size", "pos").join(wanted, ["hash", "sort", "size"])
+    return found.select("id", "text_key", "item_id", "item_key", "sort", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
     """id, text_key, item_id, sort, n_windows, share of each benchmark item that a document holds.
 
@@ -205,19 +257,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_share: float = MIN_S
     NO_ID for a null doc_id.
     """
     sizes = [(sort, size) for sort in (LITERAL, TEMPLATE, EXACT) for size in range(MIN_LITERAL, WINDOW + 1)]
-    every = stored(template_windows(_rows(benchmark, "item_id"), sizes, whole_short=True).withColumnsRenamed({"id": "item_id", "text_key": "item_key", "pos": "item_pos", "slots": "item_slots"}), "benchmark-all-windows")
+    every, runs = (_item_windows(benchmark, *of) for of in ((sizes, True), ([(LITERAL, MIN_RUN), (TEMPLATE, MIN_RUN)], False)))
     usual = every.where(F.col("sort") != EXACT)
     others = every.where(F.col("sort") == EXACT).join(usual.select("item_key").distinct(), "item_key", "left_anti")
     asked = stored(usual.unionByName(others), "benchmark-windows")
-    used = sorted(tuple(r) for r in asked.select("sort", "size").distinct().collect())  # twelve at most
-    distinct = asked.select("hash").distinct()
+    both = asked.unionByName(runs)
+    used = sorted(tuple(r) for r in both.select("sort", "size").distinct().collect())  # fourteen at most
+    distinct = both.select("hash").distinct()
     few = distinct.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    only = np.sort(np.array([r[0] for r in distinct.collect()], dtype=np.int64).view(np.uint64)) if few else None
-    held = template_windows(_rows(docs, "doc_id"), used or [(LITERAL, WINDOW)], only)
-    if few:
-        held = stored(held, "template-hits")
-    met = held.drop("tokens").join(asked.drop("tokens"), ["hash", "sort", "size"])
-    met = stored(met.withColumn("shift", F.col("pos") - F.col("item_pos")).distinct(), "template-met")
+    only = np.sort(distinct.toArrow().column(0).to_numpy().view(np.uint64)) if few else None
+    held = template_windows(_rows(docs, "doc_id"), used or [(LITERAL, WINDOW)], only).drop("tokens")
+    held = stored(held if few else held.join(distinct, "hash", "left_semi"), "template-hits")
+    lines = stored(candidate_lines(asked, runs, held, min_share), "template-lines")
+    compared = lines.join(asked, ["item_id", "item_key", "sort"]).withColumn("pos", F.col("item_pos") + F.col("shift"))
+    met = stored(held.join(compared, ["id", "text_key", "sort", "size", "hash", "pos"]).distinct(), "template-met")
     line = ["id", "text_key", "item_id", "item_key", "sort", "shift"]
     slots = met.select(*line, F.explode(F.arrays_zip(F.col("slots").alias("own"), F.col("item_slots").alias("asked"))).alias("s")).where("s.asked <> 0").select(*line, "s.own", "s.asked").distinct()
     odd = slots.groupBy(*line, "asked").agg(F.count("*").alias("n")).where("n > 1").select(*line).distinct()  # new values may coincide: own isn't asked for

@@ -1,6 +1,7 @@
 """Each text operator against a brute-force version, and on nulls, blanks, ties, repeats, empty tables and clashing names."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -649,3 +650,109 @@ def test_decontamination_shuffled_agrees(spark, sf, monkeypatch):
     assert sorted(tuple(r) for r in query(spark, sf).collect()) == want and want
     d, b = (spark.read.parquet(f"{sf}/{n}.parquet").collect() for n in ("documents", "benchmark"))
     assert {(x.doc_id, y.item_id) for x in d for y in b if y.text in x.text} <= {(r[0], r[1]) for r in want}
+
+
+def sequences(text):
+    """(sort, [(code, value or None)]) of a text, token by token, without arrays."""
+    kinds, before = [], None
+    for word in re.findall(rb"[0-9A-Za-z\x80-\xff]+", text.encode()):
+        code = bytes(b + 32 if 65 <= b <= 90 else b for b in word)
+        if any(48 <= b <= 57 for b in word):
+            kind = "number"
+        elif before == "number" and code.decode("utf-8", "replace") in decontaminate.UNITS:
+            kind = "unit"
+        elif 65 <= word[0] <= 90 or (word[0] == 0xC3 and len(word) > 1 and 0x80 <= word[1] <= 0x9E):
+            kind = "name"
+        else:
+            kind = None
+        kinds.append((code, kind))
+        before = kind
+    for sort, replaced in ((0, ("number", "unit")), (1, ("number", "unit", "name")), (2, ())):
+        out, last = [], None
+        for code, kind in kinds:
+            kind = kind if kind in replaced else None
+            if kind and kind == last:
+                out[-1] = (kind, tuple(sorted((*out[-1][1], code))))
+            else:
+                out.append((kind, (code,)) if kind else ((code,), None))
+            last = kind
+        yield sort, out
+
+
+def windows_of(seq, size):
+    return {i: seq[i : i + size] for i in range(len(seq) - size + 1) if sum(v is None for _, v in seq[i : i + size]) >= decontaminate.MIN_LITERAL}
+
+
+def shape(window):
+    """What is compared of a window: words, and the types of placeholders."""
+    return tuple(c for c, _ in window)
+
+
+def held_items(texts, items):
+    """{(id, item_id): (n_windows, share)} by comparing every item with every line of every text."""
+    found, seqs, indexes = {}, [(i, dict(sequences(text))) for i, text in texts], {}
+    for item, words in items:
+        own = {sort: windows_of(seq, min(len(seq), decontaminate.WINDOW)) for sort, seq in sequences(words)}
+        if own[0] or own[1]:
+            own.pop(2)
+        for sort, asked in own.items():
+            if not asked:
+                continue
+            size = len(next(iter(asked.values())))
+            if (sort, size) not in indexes:
+                index = indexes[sort, size] = defaultdict(list)
+                for n, (_, seq) in enumerate(seqs):
+                    for at, w in windows_of(seq[sort], size).items():
+                        index[shape(w)].append((n, at, w))
+            by_text = defaultdict(lambda: defaultdict(list))
+            for p, w in asked.items():
+                for n, at, mine in indexes[sort, size].get(shape(w), ()):
+                    by_text[n][at - p].append((p, w, mine))
+            for n_text, lines in by_text.items():
+                i = seqs[n_text][0]
+                for line in lines.values():
+                    pairs = {(a[1], b[1]) for _, w, mine in line for a, b in zip(w, mine, strict=True) if a[1]}
+                    even = len({a for a, _ in pairs}) == len(pairs)
+                    n, run, begin, end = len(line) if even else 0, 0, -1, -1
+                    counted = sorted(p for p, w, mine in line if even or w == mine)
+                    for p in counted:
+                        begin, end = (begin if p <= end else p), p + size
+                        run = max(run, end - begin)
+                    if run >= decontaminate.MIN_RUN:
+                        n = max(n, len(counted))
+                    share = n / len(asked)
+                    if n and share >= (1 if sort == 2 else decontaminate.MIN_SHARE) or sort != 2 and run >= decontaminate.MIN_RUN:
+                        found[i, item] = max(found.get((i, item), (0, 0)), (share, n))
+    return found
+
+
+def test_decontamination_agrees_with_comparing_all(spark, sf):
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    rng = random.Random(5)
+    words = "the a boat of river and under with stone many light walks 12 7.5 kg Anna Otto Bern 300 km green".split()
+    items += [(10_000 + i, " ".join(rng.choices(words, k=rng.choice((4, 6, 9, 30, 90, 400))))) for i in range(40)]
+    made = [t for i, t in items if i >= 10_000]
+    for i in range(120):
+        a, b = rng.sample(made, 2)
+        a, b = a.split(), b.split()
+        cut, long = rng.randrange(len(a)), rng.randrange(5, 80)
+        text = [*b[: rng.randrange(20)], *a[cut : cut + long], *rng.choices(words, k=10)]
+        rows.append((10**6 + i, " ".join(str(rng.randrange(50)) if w == "12" and rng.random() < 0.5 else w for w in text)))
+    few = [(i, t) for i, t in rows if len(t) < 40_000]
+    got = {(r.id, r.item_id): (r.share, r.n_windows) for r in decontaminate.contaminated(docs(spark, few), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == held_items(few, items) and sum(i >= 10**6 for i, _ in got) > 30
+
+
+def test_decontamination_does_not_pair_what_shares_a_stock_phrase(spark):
+    stock = " ".join(f"stock{j}x".replace("0", "o").translate(str.maketrans("123456789", "abcdefghi")) for j in range(40))
+    own = lambda kind, i, n: " ".join(kind + "".join(chr(97 + int(c)) for c in f"{i:03d}{j:03d}") for j in range(n))
+    items = spark.createDataFrame([(i, f"{own('i', i, 120)} {stock} {own('k', i, 120)}") for i in range(300)], "item_id long, text string")
+    df = docs(spark, [(i, f"{own('d', i, 30)} {stock} {own('e', i, 30)}") for i in range(300)])
+    sizes = [(decontaminate.LITERAL, decontaminate.WINDOW)]
+    asked = decontaminate._item_windows(items, sizes, True)
+    runs = decontaminate._item_windows(items, [(decontaminate.LITERAL, decontaminate.MIN_RUN)], False)
+    held = decontaminate.template_windows(decontaminate._rows(df, "doc_id"), sizes).join(asked.select("hash").distinct(), "hash", "left_semi")
+    assert held.count() == 300 * 33
+    assert decontaminate.candidate_lines(asked, runs, held, decontaminate.MIN_SHARE).count() == 0
+    assert decontaminate.contaminated(df, items).count() == 0
