@@ -18,7 +18,7 @@ def reject_invalid(points: DataFrame, dims: int) -> tuple[DataFrame, DataFrame]:
 
 
 def append(spark: SparkSession, path: str, vectors: DataFrame, order: list[str]) -> None:
-    """Append rows with ids that go on after the largest stored one, in the given order."""
+    """Append rows with ids that go on after the largest stored one, in the given order; for one writer at a time (see ``sources.snapshots``)."""
     try:
         first = spark.read.parquet(path).agg(F.max("record_id")).first()[0]
     except Exception as e:

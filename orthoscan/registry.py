@@ -17,7 +17,7 @@ from orthoscan.functions import names as N
 from orthoscan.functions import vectors as V
 from orthoscan.operators import box_join, boxes, cells, enrich, features, ingest, knn, knn_join, ranks
 from orthoscan.plans import pruned, report
-from orthoscan.sources import files, vector_files
+from orthoscan.sources import files, snapshots, vector_files
 from orthoscan.sources.scratch import scratch_path
 from orthoscan.streaming import ingest as streaming
 
@@ -629,3 +629,17 @@ def append_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     for part in (points.where(F.col("key") < half), points.where(F.col("key") >= half)):
         ingest.append(spark, path, part, ["key"])
     return spark.read.parquet(path).select("record_id", F.floor(F.col("features")[0]).alias("x"))
+
+
+@_query("""
+WITH a AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS record_id FROM embeddings WHERE vec_id % 2 = 0),
+b AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 + (SELECT count(*) FROM a) AS record_id FROM embeddings WHERE vec_id % 2 <> 0)
+SELECT 1 AS generation, * FROM a UNION ALL SELECT 2 AS generation, * FROM a UNION ALL SELECT 2 AS generation, * FROM b""")
+def snapshot_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors in two commits, the second one tried twice, read as of both generations."""
+    path, rows = scratch_path(spark, "snapshots"), T.read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("features"))
+    snapshots.append(spark, path, rows.where("vec_id % 2 = 0"), ["vec_id"], "even")
+    for _ in range(2):
+        snapshots.append(spark, path, rows.where("vec_id % 2 <> 0"), ["vec_id"], "odd")
+    read = [snapshots.read(spark, path, g).select(F.lit(g).alias("generation"), "vec_id", "record_id") for g in (1, 2)]
+    return read[0].unionByName(read[1])
