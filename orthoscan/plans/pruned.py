@@ -1,8 +1,9 @@
 """Exact search that reads only the cells that can hold an answer.
 
 An index is two tables: the points, partitioned by cell, and their zone map.
-A search first asks the zone map, which has a row per cell; partition pruning
-then keeps the scan to the cells named.
+A search first asks the zone map, which has a row per cell; the cells that can
+matter are semi-joined with the points, and Spark's dynamic partition pruning
+keeps the scan to them.  Of the zone map, k rows at most reach the driver.
 """
 
 from __future__ import annotations
@@ -89,35 +90,43 @@ def pruned_knn(index: CellIndex, query: Sequence[float], k: int, method: str = "
     """
     if len(query) != index.dims:
         raise ValueError(f"the query has {len(query)} dimensions, the points have {index.dims}")
-    near = sorted((r.d, r.cell, r.n) for r in index.zones().select("cell", "n", boxes.box_distance(index.zones(), query).alias("d")).collect())  # a row a cell
-    total = sum(n for _, _, n in near)
-    stats = {"cells_total": len(near), "cells_scanned": len(near)}
-    if k <= 0 or not near or method == "linear" or (method == "auto" and total < SMALL_TABLE):
-        return knn.knn(index.everything(), query, k), stats
+    zones = index.zones().select("cell", "n", boxes.box_distance(index.zones(), query).alias("d"))
+    scan = k <= 0 or method == "linear" or (method == "auto" and (zones.agg(F.sum("n")).first()[0] or 0) < SMALL_TABLE)
+    bound = None if scan else _kth_bound(index, zones, query, k)
+    inside = zones.where(F.lit(False) if bound is None else F.col("d") <= bound)
+    about = zones.agg(F.count("*").alias("cells"), F.count(F.when(F.lit(False) if bound is None else F.col("d") <= bound, 1)).alias("inside")).first()
+    if bound is None or about["inside"] > MOST_CELLS * about["cells"]:
+        return knn.knn(index.everything(), query, k), {"cells_total": about["cells"], "cells_scanned": about["cells"]}
+    return knn.knn(_of_cells(index, inside), query, k), {"cells_total": about["cells"], "cells_scanned": about["inside"]}
+
+
+def _kth_bound(index: CellIndex, zones: DataFrame, query: Sequence[float], k: int) -> float | None:
+    """A squared distance that the k-th nearest point doesn't exceed, or None where the cells hold fewer points.
+
+    Every cell holds a point, so the nearest k cells hold k of them.
+    """
     first, held = [], 0
-    for _, cell, n in near:
+    for r in zones.orderBy("d", "cell").limit(k).collect():
+        first.append(r["cell"])
+        held += r["n"]
         if held >= k:
             break
-        first.append(cell)
-        held += n
-    bound = index.points().where(F.col("cell").isin(first)).select(V.squared_distance(F.col("features"), query).alias("d"), "record_id").orderBy("d", "record_id").limit(k).agg(F.max("d")).first()[0]
-    inside = [cell for d, cell, _ in near if held < k or d <= bound * (1 + 1e-9) + 1e-300]
-    if len(inside) > MOST_CELLS * len(near):
-        return knn.knn(index.everything(), query, k), stats
-    rows = index.points().where(F.col("cell").isin(inside)).select("record_id", "features")
-    if index.delta:
-        rows = rows.unionByName(index.unindexed().select("record_id", "features"))
-    return knn.knn(rows, query, k), stats | {"cells_scanned": len(inside)}
+    if held < k:
+        return None
+    near = index.points().where(F.col("cell").isin(first)).select(V.squared_distance(F.col("features"), query).alias("d"), "record_id")
+    return near.orderBy("d", "record_id").limit(k).agg(F.max("d")).first()[0] * (1 + 1e-9) + 1e-300
+
+
+def _of_cells(index: CellIndex, wanted: DataFrame) -> DataFrame:
+    """The points (record_id, features) of the ``wanted`` rows of the zone map, and all appended ones."""
+    rows = index.points().join(wanted.select("cell"), "cell", "left_semi").select("record_id", "features")
+    return rows.unionByName(index.unindexed().select("record_id", "features")) if index.delta else rows
 
 
 def pruned_range(index: CellIndex, lo: Sequence[float], hi: Sequence[float]) -> DataFrame:
     """Points (record_id, features) in the closed box, from the cells whose boxes overlap it."""
     a, b = V.literal_point(lo), V.literal_point(hi)
-    inside = [r.cell for r in index.zones().where(V.overlaps(F.col("lo"), F.col("hi"), a, b)).select("cell").collect()]  # cells only
-    rows = index.points().where(F.col("cell").isin(inside)).select("record_id", "features") if inside else index.points().where("false").select("record_id", "features")
-    if index.delta:
-        rows = rows.unionByName(index.unindexed().select("record_id", "features"))
-    return boxes.range_search_points(rows, lo, hi)
+    return boxes.range_search_points(_of_cells(index, index.zones().where(V.overlaps(F.col("lo"), F.col("hi"), a, b))), lo, hi)
 
 
 def by_dims(points: DataFrame, query: Sequence[float], k: int, dims: Sequence[int]) -> DataFrame:
