@@ -1,14 +1,23 @@
-"""Near dedup by Jaccard similarity of five-word shingles, found exactly.
-
-Of two sets of n and m shingles that are at least 0.8 similar, the n // 5 + k
-and m // 5 + k first shingles of any one order share k at least (prefix filter, Chaudhuri
-et al. 2006); k grows with n.  Those prefixes are posted, a pair is a candidate
-only if the tally of its shared entries reaches the lesser k, and is then
+"""Near dedup by Jaccard similarity of five-word shingles: SimHash by a byte-position inverted index with count filtering, exactly.
+
+It is the method of ``llm.simhash`` with five-word shingles and with more byte
+positions.  Every shingle falls into one of P positions by its hash, and the
+eight bytes of a position are the SimHash of the shingles in it.  Of two sets
+that are at least 0.8 similar, n and m in size, at most (n + m) // 9 shingles are
+in one only, so the fingerprints differ in as many positions at most, and share
+all others.  The index posts positional bytes; a pair is a candidate only if the
+tally of the entries that it shares reaches the guaranteed count, and is then
 compared on its whole sets, so no pair is lost.
 
-Shingles are ordered by rarity first, by hash second: those that many texts have
-come last, so that a stock passage leaves the prefixes of all texts that have
-enough besides.  Any order will do for the filter, as long as it is one order.
+P is twice the power of two below n.  Sizes up to 1.25 times a power also post
+under the P below, so similar sets always meet in one.  Under WHOLE shingles each
+has a position to itself.  It takes 1e-16 of chance or less for so many shingles of
+a set to share positions that the count isn't met.
+
+Of its positions a set posts as many as may differ and k, which grows with n, the
+first ones of any one order: such prefixes still share k (Chaudhuri et al. 2006).
+The order is by position, but those that hold only frequent shingles come last, so
+that a stock passage leaves the prefixes of all texts that have enough besides.
 Frequent are shingles of more than one in FREQUENT texts, by counts of every
 text that each task keeps for itself and that are added up; at most FREQUENT
 times the mean number of shingles are, whatever the corpus.
@@ -44,7 +53,7 @@ from pyspark.sql import functions as F
 
 from orthoscan.llm.common import arrow_rows, stored, text_slices
 from orthoscan.llm.components import connected_components
-from orthoscan.llm.simhash import shingle_hashes
+from orthoscan.llm.simhash import majority_bits, shingle_hashes
 
 SHINGLE = 5
 SMALL_ENTRY = 32
@@ -62,6 +71,10 @@ SIEVE_BITS, SIEVE_PARTS = 1 << 25, 8
 
 #: k is 1 + n // TALLY.
 TALLY = 20
+#: Shingles from which on a set's fingerprint has fewer positions than hashes, a power of two.
+WHOLE = 32
+#: Bytes of text that are fingerprinted at a time.
+SLICE = 1 << 20
 #: One in so many texts makes a shingle frequent, and at least so many texts; and counts that a task holds at most.
 FREQUENT, LEAST, HELD = 20_000, 16, 1 << 20
 
@@ -121,22 +134,68 @@ def frequent_shingles(texts: DataFrame) -> np.ndarray:
     return np.sort(sums.select("hash").toArrow().column(0).to_numpy())
 
 
+def _views(n: int) -> list[tuple[int, int]]:
+    """(P, positions to post) of each fingerprint of a set of n shingles; P is 0 where each shingle has a position to itself."""
+    k = 1 + n // TALLY
+    if n < WHOLE:
+        return [(0, n // 5 + k)]
+    base = 1 << (n.bit_length() - 1)
+    views = [(2 * base, (n + 5 * n // 4) // 9 + k)]
+    if 4 * n <= 5 * (base - 1):  # a similar set may have fewer than ``base``
+        views.append((base, (n + base - 1) // 9 + k) if base > WHOLE else (0, n // 5 + k))
+    return views
+
+
+def positional_entries(sets: list[np.ndarray], frequent: np.ndarray) -> list[np.ndarray]:
+    """The index entries that each of the sorted ``sets`` posts: its first positional bytes, those of frequent shingles last."""
+    views = [(i, *v) for i, s in enumerate(sets) if len(s) for v in _views(len(s))]
+    if not views:
+        return [np.zeros(0, dtype=np.int64) for _ in sets]
+    owner, size, most = (np.array(c, dtype=np.int64) for c in zip(*views, strict=True))
+    lengths = np.array([len(sets[i]) for i in owner])
+    flat, view = np.concatenate([sets[i] for i in owner]).view(np.uint64), np.repeat(np.arange(len(views)), lengths)
+    rank = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    at = np.where(size[view] > 0, (flat >> np.uint64(32)).astype(np.int64) & (size[view] - 1), rank)
+    order = np.argsort((view << 32) | at, kind="stable")
+    flat, view, at = flat[order], view[order], at[order]
+    starts = np.flatnonzero(np.concatenate([[True], (view[1:] != view[:-1]) | (at[1:] != at[:-1])]))
+    counts = np.diff(np.append(starts, len(flat)))
+    found = flat[starts]  # the majority of one is itself
+    several = np.flatnonzero(counts > 1)
+    if len(several):
+        own = counts[several]
+        begins = np.cumsum(own) - own
+        found[several] = majority_bits(flat[np.repeat(starts[several] - begins, own) + np.arange(own.sum())], begins)
+    late = np.zeros(len(starts), dtype=bool)
+    if len(frequent):
+        signed = flat.view(np.int64)
+        there = np.searchsorted(frequent, signed)
+        late = np.logical_and.reduceat(frequent[np.minimum(there, len(frequent) - 1)] == signed, starts)
+    view, at = view[starts], at[starts]
+    order = np.argsort(2 * view + late, kind="stable")
+    found, view, at = found[order], view[order], at[order]
+    rank = np.arange(len(view)) - np.searchsorted(view, np.arange(len(views)))[view]
+    posted = rank < most[view]
+    found, view, at = found[posted], view[posted], at[posted]
+    place = (size[view] << 32 | at).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    found = np.where(size[view] > 0, found ^ place ^ (place >> np.uint64(32)), found).view(np.int64)
+    return np.split(found, np.searchsorted(owner[view], np.arange(1, len(sets))))
+
+
 def prefix_of(hashes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The first n // 5 + k hashes of a sorted set of n, frequent ones last."""
-    at = np.searchsorted(frequent, hashes)
-    late = frequent[np.minimum(at, len(frequent) - 1)] == hashes if len(frequent) else np.zeros(len(hashes), dtype=bool)
-    return np.concatenate([hashes[~late], hashes[late]])[: len(hashes) // 5 + 1 + len(hashes) // TALLY]
+    """What one sorted set posts."""
+    return positional_entries([hashes], frequent)[0]
 
 
 def prefixes(texts: DataFrame) -> DataFrame:
-    """doc_id, key, n, prefix, sketch of every row of ``texts`` (doc_id, text)."""
+    """doc_id, key, n, prefix (the entries that its fingerprints post), sketch of every row of ``texts`` (doc_id, text)."""
     shared = texts.sparkSession.sparkContext.broadcast(frequent_shingles(texts))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (x for b in batches for x in text_slices(b, 1)):
+        for batch in (x for b in batches for x in text_slices(b, 1, SLICE)):
             rows = batch.column(1).to_pylist()
             sets = [shingle_set(t) for t in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([text_key(t) for t in rows], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists([prefix_of(s, shared.value) for s in sets]), _lists([sketch(s) for s in sets])], ["doc_id", "key", "n", "prefix", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([text_key(t) for t in rows], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists(positional_entries(sets, shared.value)), _lists([sketch(s) for s in sets])], ["doc_id", "key", "n", "prefix", "sketch"])
 
     return texts.mapInArrow(cut, "doc_id long, key long, n long, prefix array<long>, sketch array<long>")
 

@@ -73,6 +73,41 @@ def test_sketches_never_differ_in_more_bits_than_sets():
             assert int(np.bitwise_count(x ^ y).sum()) <= len(np.setxor1d(base, other))
 
 
+@pytest.mark.parametrize("frequent", [0, 0.5])
+def test_similar_sets_share_the_guaranteed_positional_bytes(frequent):
+    """The stage's index holds SimHash bytes by position; sets at the limit of similarity share the tally, whatever their sizes."""
+    rng = np.random.Generator(np.random.PCG64(8))
+    new = lambda n: rng.integers(-(2**63), 2**63 - 1, n)
+    for n in [*range(1, 140), 255, 256, 257, 319, 320, 321, 511, 513, 639, 640, 1000, 5000]:
+        for gone, more in ((0, n // 4), (n // 5, 0), (n // 9, n // 9), (n // 10, n // 10)):
+            base = np.unique(new(n))
+            other = np.unique(np.concatenate([rng.permutation(base)[: n - gone], new(more)]))
+            common = len(np.intersect1d(base, other))
+            if 9 * common < 4 * (len(base) + len(other)):
+                continue
+            late = np.sort(rng.permutation(base)[: int(n * frequent)])
+            x, y = similar.positional_entries([base, other], late)
+            assert len(np.intersect1d(x, y)) >= 1 + min(len(base), len(other)) // similar.TALLY
+            assert len(x) <= 0.6 * n + 4
+
+
+def test_a_position_holds_the_majority_bits_of_its_shingles():
+    """One position's bytes don't depend on the others, and are a SimHash of what falls there."""
+    rng = np.random.Generator(np.random.PCG64(9))
+    base = np.unique(rng.integers(-(2**63), 2**63 - 1, 100))
+    at = (base.view(np.uint64) >> np.uint64(32)).astype(np.int64) & 127
+    want = set()
+    for p in sorted(set(at.tolist())):
+        held = base[at == p].view(np.uint64)
+        bits = [2 * sum(int(h) >> b & 1 for h in held) > len(held) for b in range(64)]
+        place = ((128 << 32 | p) * 0x9E3779B97F4A7C15) % 2**64
+        value = sum(1 << b for b, on in enumerate(bits) if on) ^ place ^ place >> 32
+        want.add(value - (1 << 64) if value >= 1 << 63 else value)
+    found = similar.positional_entries([base[:0], base, base[:1]], base[:0])
+    assert len(found[0]) == 0 and found[2].tolist() == base[:1].tolist()
+    assert set(found[1].tolist()) <= want and len(found[1]) == (100 + 125) // 9 + 6
+
+
 def crowd(count, shared, own):
     """Texts of two families that share a passage; in a family any two have a similarity of 0.8 or more."""
     passage = [f"p{i}" for i in range(shared)]
