@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -374,6 +375,17 @@ def test_isotonic():
 # Packing
 
 
+def test_a_packing_worker_keeps_few_stems():
+    """Texts of ever new words don't fill a worker's memory, and ids stay the tokenizer's."""
+    encoder = packing.WordEncoder(packing.tokenizer_path())
+    letters = lambda n: "".join(chr(97 + n // 26**k % 26) for k in range(5))
+    for begin in range(0, 400_000, 50_000):
+        text = " ".join(letters(n) for n in range(begin, begin + 50_000))
+        ids, lengths = encoder.encode(pa.array([text]))
+        assert len(encoder.number) <= 250_000
+    assert ids.tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, packing.END_ID] and lengths.tolist() == [len(ids)]
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
