@@ -40,7 +40,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: Jaccard similarity of 0.8 or more on five-word shingles, every such pair.
 
-    It is the one with the smallest doc_id; rows that share it all stay.  Texts
+    Pairs are found by SimHash bytes posted by position and counted, and compared on their whole sets.
+    The one with the smallest doc_id stays; rows that share it all stay.  Texts
     without words are one group.  Null doc_ids stay only in groups of nothing else.
     """
     return similar.near_dedup(docs)
