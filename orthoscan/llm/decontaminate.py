@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orthoscan.llm.common import stored, table
+from orthoscan.llm.common import freed, stored, table, text_slices
 
 #: Tokens of a window; items of fewer tokens, from MIN_LITERAL on, are one window.
 WINDOW = 8
@@ -154,7 +154,7 @@ def template_windows(rows: DataFrame, wanted_sizes: list[tuple[int, int]], only:
         if known is not None:
             sieve = np.zeros(1 << 22, dtype=bool)
             sieve[known & np.uint64((1 << 22) - 1)] = True
-        for batch in batches:
+        for batch in (x for b in batches for x in text_slices(b, 2)):
             texts = [(t or "").encode("utf-8", "replace") for t in batch.column(2).to_pylist()]
             ids, keys = np.array(batch.column(0)), np.array(batch.column(1))
             lo = 0
@@ -186,7 +186,7 @@ def template_windows(rows: DataFrame, wanted_sizes: list[tuple[int, int]], only:
                         yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][text[at]]), pa.array(keys[lo:hi][text[at]]), pa.array(whole + sort), pa.array(whole + size), pa.array(pos.astype(np.int32)), pa.array(length[text[at]].astype(np.int32)), pa.array(hashes.view(np.int64)), flat], schema=_ARROW)
                 lo = hi
 
-    return rows.mapInArrow(cut, SCHEMA)
+    return rows.mapInArrow(freed(cut), SCHEMA)
 
 
 def _rows(df: DataFrame, key: str) -> DataFrame:

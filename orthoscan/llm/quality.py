@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orthoscan.llm.common import id_remainder, stored, table
+from orthoscan.llm.common import arrow_rows, freed, id_remainder, stored, table, text_slices
 
 FEATURES, SEED = 256, 11
 #: Width of the kernel in standardised statistics, and weight of the ridge.
@@ -61,11 +61,11 @@ def document_statistics(docs: DataFrame) -> DataFrame:
     """doc_id, stats array<double> of every row."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in text_slices(b, 1)):
             stats = [statistics(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(stats, pa.list_(pa.float64()))], ["doc_id", "stats"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(measure, "doc_id long, stats array<double>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(freed(measure), "doc_id long, stats array<double>")
 
 
 class KernelRidge:
@@ -153,7 +153,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, is_training: Column, key:
     each; repeated labels count each.  Without any labelled row every score is
     ``unfitted``.  Extra columns are ignored.
     """
-    measured = stored(document_statistics(docs), "quality-statistics")
+    with arrow_rows(docs.sparkSession):
+        measured = stored(document_statistics(docs), "quality-statistics")
     marks = labels.select("doc_id", F.col(key).cast("int").alias("label")).where(F.col("label").isNotNull())
     labelled = stored(measured.where(is_training).join(marks, "doc_id").select("doc_id", "stats", "label"), "quality-labelled")
     part = min(1.0, FIT_ROWS / max(1, labelled.count()))

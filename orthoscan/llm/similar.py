@@ -51,7 +51,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orthoscan.llm.common import arrow_rows, stored, text_slices
+from orthoscan.llm.common import arrow_rows, freed, stored, text_slices
 from orthoscan.llm.components import connected_components
 from orthoscan.llm.simhash import majority_bits, shingle_hashes
 
@@ -109,8 +109,11 @@ def folded(words: np.ndarray, size: int) -> np.ndarray:
 
 def _added(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes and their counts added up; beyond HELD of them the least counts go, and all others lose as much (Misra, Gries 1982)."""
-    found, of = np.unique(hashes, return_inverse=True)
-    total = np.bincount(of, weights=counts, minlength=len(found)).astype(np.int64)
+    order = np.argsort(hashes, kind="stable")  # mostly sorted already
+    hashes = hashes[order]
+    starts = np.flatnonzero(np.append(len(hashes) > 0, hashes[1:] != hashes[:-1]))
+    total = np.add.reduceat(counts[order], starts) if len(starts) else counts[:0]
+    found = hashes[starts]
     if len(found) > HELD:
         total -= np.partition(total, len(total) - HELD - 1)[len(total) - HELD - 1]
         found, total = found[total > 0], total[total > 0]
@@ -130,7 +133,7 @@ def frequent_shingles(texts: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(found[most]), pa.array(counts[most])], ["hash", "texts"])
 
     many = max(LEAST, texts.count() / FREQUENT)
-    sums = texts.mapInArrow(count, "hash long, texts long").groupBy("hash").agg(F.sum("texts").alias("texts")).where(F.col("texts") >= many)
+    sums = texts.mapInArrow(freed(count), "hash long, texts long").groupBy("hash").agg(F.sum("texts").alias("texts")).where(F.col("texts") >= many)
     return np.sort(sums.select("hash").toArrow().column(0).to_numpy())
 
 
@@ -197,7 +200,7 @@ def prefixes(texts: DataFrame) -> DataFrame:
             sets = [shingle_set(t) for t in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([text_key(t) for t in rows], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists(positional_entries(sets, shared.value)), _lists([sketch(s) for s in sets])], ["doc_id", "key", "n", "prefix", "sketch"])
 
-    return texts.mapInArrow(cut, "doc_id long, key long, n long, prefix array<long>, sketch array<long>")
+    return texts.mapInArrow(freed(cut), "doc_id long, key long, n long, prefix array<long>, sketch array<long>")
 
 
 def _sieve(keys: DataFrame) -> np.ndarray:
@@ -210,7 +213,7 @@ def _sieve(keys: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
 
     out = np.zeros(SIEVE_BITS // 8, dtype=np.uint8)
-    for part in keys.coalesce(SIEVE_PARTS).mapInArrow(mark, "bits binary").toLocalIterator():
+    for part in keys.coalesce(SIEVE_PARTS).mapInArrow(freed(mark), "bits binary").toLocalIterator():
         out |= np.frombuffer(bytes(part[0]), dtype=np.uint8)
     return out
 
@@ -224,7 +227,7 @@ def _among(nodes: DataFrame, keys: DataFrame) -> DataFrame:
             at = batch.column(0).to_numpy() & (SIEVE_BITS - 1)
             yield batch.filter(pa.array((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
 
-    return nodes.select("key", "n", "prefix").mapInArrow(keep, "key long, n long, prefix array<long>")
+    return nodes.select("key", "n", "prefix").mapInArrow(freed(keep), "key long, n long, prefix array<long>")
 
 
 def shingle_sets(texts: DataFrame, keys: DataFrame) -> DataFrame:
@@ -238,7 +241,7 @@ def shingle_sets(texts: DataFrame, keys: DataFrame) -> DataFrame:
             sets = [s for _, s in found]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists(sets)], ["key", "n", "hashes"])
 
-    made = texts.mapInArrow(cut, "key long, n long, hashes array<long>")
+    made = texts.mapInArrow(freed(cut), "key long, n long, hashes array<long>")
     return made.join(keys, "key", "left_semi").groupBy("key").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes"))
 
 

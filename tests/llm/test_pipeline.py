@@ -1,8 +1,12 @@
 """The pipeline's stages one by one, each on what the one before kept."""
 
+from unittest import mock
+
 import corpus_pipeline
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from orthoscan.llm import common, packing
 from orthoscan.llm.common import id_remainder, stored
 from tests.llm.test_similar import kept as kept_by_pairs
 
@@ -50,3 +54,20 @@ def test_stages(spark, sf):
     assert {r.doc_id for r in b.collect()} == {r.doc_id for r in a.collect()}
     assert sorted(tuple(r) for r in corpus_pipeline.run(spark, sf).drop("sequence_id", "offset").collect()) == sorted(tuple(r) for r in b.drop("sequence_id", "offset").collect())
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_idle_workers_hold_no_memory_of_a_stage():
+    """What a stage keeps goes with its task, and its pages go back to the system."""
+    before = pa.default_memory_pool().bytes_allocated()
+    batch = pa.record_batch({"doc_id": pa.array(range(3), pa.int64()), "text": ["a b", None, "c" * 99]})
+
+    def work(batches):
+        kept = [pa.array(range(100_000))]
+        yield from (b.slice(0, len(kept)) for b in batches)
+
+    calls = []
+    released = lambda: calls.append(1)
+    with mock.patch.object(common, "pa", mock.Mock(default_memory_pool=lambda: mock.Mock(release_unused=released), system_memory_pool=lambda: mock.Mock(release_unused=released))):
+        assert [len(b) for b in common.freed(work)(iter([batch]))] == [1] and len(calls) == 2
+    assert pa.default_memory_pool().bytes_allocated() - before < 100_000
+    assert not hasattr(packing, "_encoders")  # 150,000 stems stayed in every worker that had packed
