@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from orthoscan.llm import suffix_array, suffix_dedup
@@ -97,6 +98,28 @@ def test_repeated_strings_go_and_nothing_else(spark, monkeypatch, crowd):
     assert sum(len(s) for *_, s in want) > 40
 
 
+def test_suffix_arrays_hold_only_what_may_repeat(monkeypatch):
+    """Blocks that are nowhere else, and all but one of equal ones, stay out; the windows found are those of a plain version."""
+    rng = np.random.Generator(np.random.PCG64(6))
+    base = words(rng, 1500).encode()
+    texts = [base] + [base[:k] + b"#" + base[k + 1 :] for k in (300, 2500, 2600, 6001)] + [base[3000:4200] + words(rng, 100).encode()]
+    rows = []
+    for n, text in enumerate(texts):
+        data = np.frombuffer(text, dtype=np.uint8)
+        for s, w, a, key in zip(*suffix_dedup.runs_of(data, np.array([len(data)])), strict=True):
+            rows.append({"owner": bytes([n]), "start": int(s), "windows": int(w), "anchor": int(a), "copies": 1, "bytes": text[s : s + w + 399], "key": int(key)})
+    kinds = {(r["key"], r["bytes"]): r for r in rows}
+    several = Counter(key for key, _ in kinds)
+    rows = [r for (key, _), r in kinds.items() if several[key] > 1]
+    sizes, array = [], suffix_dedup.suffix_array
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda text: sizes.append(len(text)) or array(text))
+    got = suffix_dedup._shard_repeats(pa.Table.from_pylist(rows)).to_pylist()
+    held = Counter(r["bytes"][i : i + 400] for r in rows for i in range(r["windows"]))
+    want = {(r["owner"], r["start"] + i) for r in rows for i in range(r["windows"]) if held[r["bytes"][i : i + 400]] > 1}
+    assert {(r["owner"], r["start"] + i) for r in got for i in range(r["windows"])} == want and want
+    assert sum(sizes) < 0.75 * sum(len(r["bytes"]) for r in rows)
+
+
 def test_no_rows_and_no_repeats(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_dedup.suffix_dedup(empty).count() == 0
