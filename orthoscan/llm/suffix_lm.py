@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orthoscan.llm.common import id_remainder, stored, table, text_slices, texts_of
+from orthoscan.llm.common import arrow_rows, freed, id_remainder, stored, table, text_slices, texts_of
 
 DEPTH = 6
 #: Symbols that must follow a context in the training texts.
@@ -45,7 +45,7 @@ HEAVY_GRAMS, HEAVY_WORDS = 30_000_000, 200_000
 #: Symbols of all texts a part of the gram table.
 PART_SYMBOLS = 16 << 20
 END = b"\n"  # never part of a word
-_SLICE, _BLOCK, _HELD_GRAMS, _HELD_WORDS = 1 << 20, 1 << 20, 800_000, 400_000
+_SLICE, _BLOCK, _SHARE, _HELD_GRAMS, _HELD_WORDS = 1 << 20, 1 << 20, 1 << 18, 800_000, 400_000
 _SYMBOLS, _TAGS = 256, 256
 
 
@@ -111,29 +111,46 @@ def _parted(part: np.ndarray, gram: np.ndarray, n: np.ndarray, everywhere: np.nd
         yield pa.RecordBatch.from_arrays([pa.array(part[order][first], pa.int32()), pa.array([len(r) for r in runs], pa.int32()), *packed], ["part", "size", "grams", "n", "everywhere"])
 
 
-def _column(batch: pa.RecordBatch, name: str, kind: type = np.int64) -> np.ndarray:
-    return np.concatenate([np.zeros(0, np.int64), *map(_unpacked, batch.column(name).to_pylist(), batch.column("size").to_pylist())]).view(kind)
+def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """grams, n, everywhere of a few rows of _BLOBS at a time: at most _SHARE grams, or one row."""
+    for batch in batches:
+        sizes = batch.column("size").to_pylist()
+        ends, lo = np.cumsum(np.array(sizes, dtype=np.int64)), 0
+        while lo < len(batch):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + _SHARE, side="right")))
+            gram, n, everywhere = (np.concatenate([_unpacked(x.as_py(), size) for x, size in zip(batch.column(c)[lo:hi], sizes[lo:hi], strict=True)]) for c in ("grams", "n", "everywhere"))
+            yield gram.view(np.uint64), n, everywhere
+            lo = hi
 
 
 class _Sums:
-    """Sorted distinct grams with two sums each, merged whenever many are held."""
+    """Sorted distinct grams with two sums each, merged whenever as many again as are distinct, and many, are held."""
 
     def __init__(self):
-        self.held, self.size = [], 0
+        self.columns, self.size, self.most = ([], [], []), 0, 2 * _HELD_GRAMS
 
     def add(self, *columns: np.ndarray) -> None:
-        self.held.append(columns)
+        for held, column in zip(self.columns, columns, strict=True):
+            held.append(column)
         self.size += len(columns[0])
-        if self.size > 2 * _HELD_GRAMS:
+        if self.size > self.most:
             self.merge()
 
+    def _taken(self, k: int, kind: type) -> np.ndarray:
+        """A column, of which the pieces are let go, so that one column at a time is there twice."""
+        column = np.concatenate([*self.columns[k], np.zeros(0, kind)])
+        self.columns[k].clear()
+        return column
+
     def merge(self) -> tuple[np.ndarray, ...]:
-        gram, n, everywhere = (np.concatenate(c) for c in zip(*self.held, (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)), strict=True))
+        gram = self._taken(0, np.uint64)
         order = np.argsort(gram)
         gram = gram[order]
         first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else order
-        merged = (gram[first], *(np.add.reduceat(x[order], first) if len(first) else x for x in (n, everywhere)))
-        self.held, self.size = [merged], len(first)
+        gram = gram[first]
+        merged = (gram, *(np.add.reduceat(x[order], first) if len(first) else x for x in (self._taken(k, np.int64) for k in (1, 2))))
+        self.size, self.columns = len(first), tuple([column] for column in merged)
+        self.most = 2 * max(_HELD_GRAMS, self.size)
         return merged
 
 
@@ -164,14 +181,12 @@ def gram_counts(texts: DataFrame, parts: int) -> DataFrame:
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = _Sums()
-        for batch in batches:
-            for k in range(0, len(batch), 64):
-                some = batch.slice(k, 64)
-                sums.add(_column(some, "grams", np.uint64), _column(some, "n"), _column(some, "everywhere"))
+        for share in _shares(batches):
+            sums.add(*share)
         gram, *columns = sums.merge()
         yield from _parted(_mixed(gram >> np.uint64(8) & np.uint64(0xFFFF), parts), gram, *columns)
 
-    return texts.mapInArrow(count, _BLOBS).repartition(parts, "part").mapInArrow(merge, _BLOBS)
+    return texts.mapInArrow(freed(count), _BLOBS).repartition(parts, "part").mapInArrow(freed(merge), _BLOBS)
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -202,7 +217,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
     def as_batches(counted: pa.Table) -> list[pa.RecordBatch]:
         return counted.select(["word", "n", "everywhere"]).cast(pa.schema([("word", pa.binary()), ("n", pa.int64()), ("everywhere", pa.int64())])).to_batches(max_chunksize=100_000)
 
-    return texts.mapInArrow(count, "word binary, n long, everywhere long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("everywhere").alias("everywhere"))
+    return texts.mapInArrow(freed(count), "word binary, n long, everywhere long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("everywhere").alias("everywhere"))
 
 
 def _smoothed(keys: np.ndarray, n: np.ndarray, shorter: np.ndarray, min_count: float, min_divergence: float, prior: float) -> np.ndarray:
@@ -227,12 +242,12 @@ def fit_tree(counted: DataFrame, parts: int, depth: int = DEPTH, min_count: int
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(1 << 16, dtype=np.int64)
-        for batch in batches:
-            np.add.at(sums, _column(batch, "grams") & 0xFFFF, _column(batch, "n"))
+        for gram, n, _ in _shares(batches):
+            np.add.at(sums, gram & np.uint64(0xFFFF), n)
         there = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(sums[there])], ["pair", "n"])
 
-    found = counted.mapInArrow(pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    found = counted.mapInArrow(freed(pairs), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     n = np.zeros(1 << 16, dtype=np.int64)
     n[found.column("pair").to_numpy()] = found.column("n").to_numpy()
     one = n.reshape(_SYMBOLS, _SYMBOLS).sum(axis=0)
@@ -241,8 +256,8 @@ def fit_tree(counted: DataFrame, parts: int, depth: int = DEPTH, min_count: int
 
     def levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = _Sums()
-        for batch in batches:
-            sums.add(_column(batch, "grams", np.uint64), _column(batch, "n"), _column(batch, "everywhere"))
+        for share in _shares(batches):
+            sums.add(*share)
         gram, n, everywhere = sums.merge()
         if not len(gram):
             return
@@ -254,7 +269,7 @@ def fit_tree(counted: DataFrame, parts: int, depth: int = DEPTH, min_count: int
         out = pa.table({"gram": gram.view(np.int64), "everywhere": everywhere, "log": np.log10(p[back])})
         yield from out.to_batches(max_chunksize=100_000)
 
-    return counted.repartition(parts, "part").mapInArrow(levels, "gram long, everywhere long, log double")
+    return counted.repartition(parts, "part").mapInArrow(freed(levels), "gram long, everywhere long, log double")
 
 
 def score_texts(docs: DataFrame, is_training: Column, depth: int = DEPTH, **fit) -> DataFrame:
@@ -270,13 +285,15 @@ def score_texts(docs: DataFrame, is_training: Column, depth: int = DEPTH, **fit)
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(is_training, F.lit(False)).alias("training"))
     texts = rows.select("text", "training")
-    words = stored(word_counts(texts), "lm-words")
+    with arrow_rows(spark):
+        words = stored(word_counts(texts), "lm-words")
     tokens, distinct, tokens_everywhere = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0), F.coalesce(F.sum("everywhere"), F.lit(0))).first()
     heavy = words.where((F.col("everywhere") >= tokens_everywhere / HEAVY_WORDS) | (F.col("word") == F.lit(END))).select("word", "n").collect()  # HEAVY_WORDS at most, and the end
     known = {bytes(w): float(np.log10(n + 1)) for w, n in heavy}
     symbols = words.agg(F.coalesce(F.sum(F.col("everywhere") * (F.octet_length("word") + 1)), F.lit(0))).first()[0]
     parts = 1 + symbols // PART_SYMBOLS
-    probable = stored(fit_tree(stored(gram_counts(texts, parts), "lm-grams"), parts, depth, **fit), "lm-probabilities")
+    with arrow_rows(spark):
+        probable = stored(fit_tree(stored(gram_counts(texts, parts), "lm-grams"), parts, depth, **fit), "lm-probabilities")
     is_frequent = F.col("everywhere") >= symbols / HEAVY_GRAMS
     frequent = probable.where(is_frequent).select("gram", "log").toArrow()  # HEAVY_GRAMS at most
     keys = frequent.column("gram").to_numpy().view(np.uint64)
@@ -291,7 +308,8 @@ def score_texts(docs: DataFrame, is_training: Column, depth: int = DEPTH, **fit)
                 yield _scored(some, part + row, *shared.value)
                 row += len(some)
 
-    own = stored(rows.select("doc_id", "text").mapInArrow(score, _SCORED), "lm-scored")
+    with arrow_rows(spark):
+        own = stored(rows.select("doc_id", "text").mapInArrow(freed(score), _SCORED), "lm-scored")
     each = lambda what, key: own.select("uid", F.inline(F.arrays_zip(F.col(what).alias(key), F.col(f"{what}_times").alias("times"))))
     from_words = each("words", "word").join(words.select("word", "n"), "word").groupBy("uid").agg(
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_hits"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_base"),

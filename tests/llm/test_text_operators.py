@@ -536,6 +536,43 @@ def test_suffix_tree_by_brute_force(spark, monkeypatch, heavy, part):
     assert np.allclose(sorted((r.doc_id or -1, r.score) for r in got), want, rtol=1e-5, atol=2e-3)
 
 
+def test_gram_sums_hold_few_grams_at_a_time(monkeypatch):
+    """Not what 64 rows of a batch have, whatever their sizes; the sums are those of all texts."""
+    import pyarrow as pa
+
+    class Tasks:
+        """In a DataFrame's place: the functions that its tasks run."""
+
+        def __init__(self):
+            self.work = []
+
+        def mapInArrow(self, work, _):  # noqa: N802
+            self.work.append(work)
+            return self
+
+        def repartition(self, *_):
+            return self
+
+    monkeypatch.setattr(suffix_lm, "_HELD_GRAMS", 300)
+    monkeypatch.setattr(suffix_lm, "_SHARE", 200, raising=False)
+    count, merge = suffix_lm.gram_counts(tasks := Tasks(), 1) and tasks.work
+    rows = [("one two three four five six " * (i % 3 + 1), i % 4 > 0) for i in range(200)]
+    blobs = [b for i in range(0, len(rows), 2) for b in count(iter([pa.RecordBatch.from_pylist([{"text": t, "training": own} for t, own in rows[i : i + 2]])]))]
+    batch = pa.Table.from_batches(blobs).combine_chunks().to_batches()[0]
+    sizes, plain = [], suffix_lm._Sums.merge
+    monkeypatch.setattr(suffix_lm._Sums, "merge", lambda sums: sizes.append(sums.size) or plain(sums))
+    out = list(merge(iter([batch])))
+    want, own = Counter(), Counter()
+    for t, training in rows:
+        s = b"\n" * 6 + t.strip().encode() + b"\n"
+        grams = [int.from_bytes(s[i - 6 : i + 1], "big") for i in range(6, len(s))]
+        want.update(grams)
+        own.update(grams if training else [])
+    got = {g: (n, everywhere) for b in out for row in b.to_pylist() for g, n, everywhere in zip(*(suffix_lm._unpacked(row[c], row["size"]).tolist() for c in ("grams", "n", "everywhere")), strict=True)}
+    assert got == {g: (own[g], n) for g, n in want.items()}
+    assert len(batch) == 100 and max(sizes) <= 2 * max(300, len(want)) + 200
+
+
 def test_suffix_lm_of_a_very_long_text(spark):
     row = (1, "one two three four five " * 40_000)
     got = suffix_lm.score_texts(docs(spark, [row, (2, "one two")]), F.lit(True)).collect()
