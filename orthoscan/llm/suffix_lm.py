@@ -285,14 +285,14 @@ def score_texts(docs: DataFrame, is_training: Column, depth: int = DEPTH, **fit)
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(is_training, F.lit(False)).alias("training"))
     texts = rows.select("text", "training")
-    with arrow_rows(spark):
+    with arrow_rows(spark, 4 * _TAGS):
         words = stored(word_counts(texts), "lm-words")
     tokens, distinct, tokens_everywhere = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0), F.coalesce(F.sum("everywhere"), F.lit(0))).first()
     heavy = words.where((F.col("everywhere") >= tokens_everywhere / HEAVY_WORDS) | (F.col("word") == F.lit(END))).select("word", "n").collect()  # HEAVY_WORDS at most, and the end
     known = {bytes(w): float(np.log10(n + 1)) for w, n in heavy}
     symbols = words.agg(F.coalesce(F.sum(F.col("everywhere") * (F.octet_length("word") + 1)), F.lit(0))).first()[0]
     parts = 1 + symbols // PART_SYMBOLS
-    with arrow_rows(spark):
+    with arrow_rows(spark, 4 * _TAGS):
         probable = stored(fit_tree(stored(gram_counts(texts, parts), "lm-grams"), parts, depth, **fit), "lm-probabilities")
     is_frequent = F.col("everywhere") >= symbols / HEAVY_GRAMS
     frequent = probable.where(is_frequent).select("gram", "log").toArrow()  # HEAVY_GRAMS at most
@@ -302,13 +302,11 @@ def score_texts(docs: DataFrame, is_training: Column, depth: int = DEPTH, **fit)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row = TaskContext.get().partitionId() << 36, 0
-        for batch in (x for b in batches for x in text_slices(b, 1, _SLICE)):
-            for k in range(0, len(batch), _TAGS):
-                some = batch.slice(k, _TAGS)
-                yield _scored(some, part + row, *shared.value)
-                row += len(some)
+        for some in (x for b in batches for k in range(0, len(b), _TAGS) for x in text_slices(b.slice(k, _TAGS), 1, _SLICE)):
+            yield _scored(some, part + row, *shared.value)
+            row += len(some)
 
-    with arrow_rows(spark):
+    with arrow_rows(spark, 4 * _TAGS):
         own = stored(rows.select("doc_id", "text").mapInArrow(freed(score), _SCORED), "lm-scored")
     each = lambda what, key: own.select("uid", F.inline(F.arrays_zip(F.col(what).alias(key), F.col(f"{what}_times").alias("times"))))
     from_words = each("words", "word").join(words.select("word", "n"), "word").groupBy("uid").agg(
