@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orthoscan.llm.common import freed, stored, table, text_slices
+from orthoscan.llm.common import arrow_rows, freed, giving_back, stored, table, text_slices
 
 #: Tokens of a window; items of fewer tokens, from MIN_LITERAL on, are one window.
 WINDOW = 8
@@ -50,7 +50,7 @@ UNITS = (
 ).split()
 NUMBER, UNIT, NAME = 1, 2, 3
 LITERAL, TEMPLATE, EXACT = 0, 1, 2
-_CHUNK = 1 << 20
+_CHUNK = 1 << 19
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE_CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -154,7 +154,7 @@ def template_windows(rows: DataFrame, wanted_sizes: list[tuple[int, int]], only:
         if known is not None:
             sieve = np.zeros(1 << 22, dtype=bool)
             sieve[known & np.uint64((1 << 22) - 1)] = True
-        for batch in (x for b in batches for x in text_slices(b, 2)):
+        for batch in (x for b in giving_back(batches) for x in text_slices(b, 2)):
             texts = [(t or "").encode("utf-8", "replace") for t in batch.column(2).to_pylist()]
             ids, keys = np.array(batch.column(0)), np.array(batch.column(1))
             lo = 0
@@ -257,17 +257,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_share: float = MIN_S
     NO_ID for a null doc_id.
     """
     sizes = [(sort, size) for sort in (LITERAL, TEMPLATE, EXACT) for size in range(MIN_LITERAL, WINDOW + 1)]
-    every, runs = (_item_windows(benchmark, *of) for of in ((sizes, True), ([(LITERAL, MIN_RUN), (TEMPLATE, MIN_RUN)], False)))
-    usual = every.where(F.col("sort") != EXACT)
-    others = every.where(F.col("sort") == EXACT).join(usual.select("item_key").distinct(), "item_key", "left_anti")
-    asked = stored(usual.unionByName(others), "benchmark-windows")
-    both = asked.unionByName(runs)
-    used = sorted(tuple(r) for r in both.select("sort", "size").distinct().collect())  # fourteen at most
-    distinct = both.select("hash").distinct()
-    few = distinct.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    only = np.sort(distinct.toArrow().column(0).to_numpy().view(np.uint64)) if few else None
-    held = template_windows(_rows(docs, "doc_id"), used or [(LITERAL, WINDOW)], only).drop("tokens")
-    held = stored(held if few else held.join(distinct, "hash", "left_semi"), "template-hits")
+    with arrow_rows(docs.sparkSession):
+        every, runs = (_item_windows(benchmark, *of) for of in ((sizes, True), ([(LITERAL, MIN_RUN), (TEMPLATE, MIN_RUN)], False)))
+        usual = every.where(F.col("sort") != EXACT)
+        others = every.where(F.col("sort") == EXACT).join(usual.select("item_key").distinct(), "item_key", "left_anti")
+        asked = stored(usual.unionByName(others), "benchmark-windows")
+        both = asked.unionByName(runs)
+        used = sorted(tuple(r) for r in both.select("sort", "size").distinct().collect())  # fourteen at most
+        distinct = both.select("hash").distinct()
+        few = distinct.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
+        only = np.sort(distinct.toArrow().column(0).to_numpy().view(np.uint64)) if few else None
+        held = template_windows(_rows(docs, "doc_id"), used or [(LITERAL, WINDOW)], only).drop("tokens")
+        held = stored(held if few else held.join(distinct, "hash", "left_semi"), "template-hits")
     lines = stored(candidate_lines(asked, runs, held, min_share), "template-lines")
     compared = lines.join(asked, ["item_id", "item_key", "sort"]).withColumn("pos", F.col("item_pos") + F.col("shift"))
     met = stored(held.join(compared, ["id", "text_key", "sort", "size", "hash", "pos"]).distinct(), "template-met")

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orthoscan.llm.common import arrow_rows, freed, stored, table, text_slices, texts_of
+from orthoscan.llm.common import arrow_rows, freed, giving_back, stored, table, text_slices, texts_of
 
 CAPACITY = 4096
 END_ID = 1
@@ -42,7 +42,7 @@ _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Words of such letters, in either case, with or without marks after them.
 _PLAIN = f"^[{_LETTERS.replace('ß', '').replace('ÿ', '')}{_LETTERS.replace('ß', '').replace('ÿ', '').upper()}ßÿ]+[{re.escape(_MARKS)}]*$"
 #: Bytes of text that are encoded at a time; arrays of some 40 times as much are made of them.
-_SLICE = 2 << 20
+_SLICE = 1 << 19
 
 
 def tokenizer_path() -> str:
@@ -142,7 +142,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         encoder = WordEncoder(path)  # goes with the task: a worker that is idle holds no stems
         part, seen = TaskContext.get().partitionId(), {}
-        for batch in (x for b in batches for x in text_slices(b, 1, _SLICE)):
+        for batch in (x for b in giving_back(batches) for x in text_slices(b, 1, _SLICE)):
             rows, begin = [], 0
             ids, lengths = encoder.encode(batch.column(1))
             data = memoryview(np.ascontiguousarray(ids, dtype="<u4")).cast("B")

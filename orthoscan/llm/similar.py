@@ -51,7 +51,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orthoscan.llm.common import arrow_rows, freed, stored, text_slices
+from orthoscan.llm.common import arrow_rows, freed, giving_back, stored, text_slices
 from orthoscan.llm.components import connected_components
 from orthoscan.llm.simhash import majority_bits, shingle_hashes
 
@@ -125,7 +125,7 @@ def frequent_shingles(texts: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, counts, texts_seen = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), 0
-        for batch in (x for b in batches for x in text_slices(b, 1)):
+        for batch in (x for b in giving_back(batches) for x in text_slices(b, 1)):
             own = np.concatenate([shingle_set(t) for t in batch.column(1).to_pylist()])
             found, counts = _added(np.concatenate([found, own]), np.concatenate([counts, np.ones(len(own), dtype=np.int64)]))
             texts_seen += len(batch)
@@ -195,7 +195,7 @@ def prefixes(texts: DataFrame) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(frequent_shingles(texts))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (x for b in batches for x in text_slices(b, 1, SLICE)):
+        for batch in (x for b in giving_back(batches) for x in text_slices(b, 1, SLICE)):
             rows = batch.column(1).to_pylist()
             sets = [shingle_set(t) for t in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([text_key(t) for t in rows], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists(positional_entries(sets, shared.value)), _lists([sketch(s) for s in sets])], ["doc_id", "key", "n", "prefix", "sketch"])
@@ -236,7 +236,7 @@ def shingle_sets(texts: DataFrame, keys: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
-        for batch in (x for b in batches for x in text_slices(b, 1)):
+        for batch in (x for b in giving_back(batches) for x in text_slices(b, 1, SLICE)):
             found = [(k, shingle_set(t)) for t in batch.column(1).to_pylist() if bits[((k := text_key(t)) & (SIEVE_BITS - 1)) >> 3] >> (7 - (k & 7)) & 1]
             sets = [s for _, s in found]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists(sets)], ["key", "n", "hashes"])

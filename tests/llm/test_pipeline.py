@@ -6,7 +6,7 @@ import corpus_pipeline
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from orthoscan.llm import common, packing
+from orthoscan.llm import common, decontaminate, packing
 from orthoscan.llm.common import id_remainder, stored
 from tests.llm.test_similar import kept as kept_by_pairs
 
@@ -71,3 +71,28 @@ def test_idle_workers_hold_no_memory_of_a_stage():
         assert [len(b) for b in common.freed(work)(iter([batch]))] == [1] and len(calls) == 2
     assert pa.default_memory_pool().bytes_allocated() - before < 100_000
     assert not hasattr(packing, "_encoders")  # 150,000 stems stayed in every worker that had packed
+
+
+def test_workers_give_memory_back_between_batches():
+    """A packing task kept what earlier batches had used until its end, and took 2 MB of text at a time."""
+    batch = pa.record_batch({"doc_id": pa.array(range(3), pa.int64()), "text": ["a b", None, "c" * 99]})
+    with mock.patch.object(common, "_give_back") as back:
+        assert [b.num_rows for b in common.giving_back(iter([batch] * 3))] == [3] * 3 and back.call_count == 3
+    assert packing._SLICE <= 1 << 19
+
+
+def test_decontamination_sends_few_rows_at_a_time(spark, sf):
+    """Its documents went to Python 10,000 at a time."""
+    seen = []
+    windows = decontaminate.template_windows
+
+    def watched(*args, **kwargs):
+        seen.append(int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))
+        return windows(*args, **kwargs)
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    docs, items = (spark.read.parquet(f"{sf}/{t}.parquet").limit(20) for t in ("documents", "benchmark"))
+    with mock.patch.object(decontaminate, "template_windows", watched):
+        decontaminate.contaminated(docs, items)
+    assert len(seen) == 3 and max(seen) <= 1000
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
