@@ -101,10 +101,15 @@ def _unpacked(packed: bytes, size: int) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(steps.T).view(np.int64).reshape(-1))
 
 
+def _placed(x: np.ndarray) -> np.ndarray:
+    """The stable order of numbers from 0 on; those below 65,536 are sorted by their digits."""
+    return np.argsort(x.astype(np.uint16) if len(x) and x.max() < 1 << 16 else x, kind="stable")
+
+
 def _parted(part: np.ndarray, gram: np.ndarray, n: np.ndarray, everywhere: np.ndarray) -> Iterator[pa.RecordBatch]:
     """A row a part: its number, how many grams it has, and its share of each column."""
     if len(part):
-        order = np.argsort(part, kind="stable")
+        order = _placed(part)
         first = np.flatnonzero(np.concatenate([[True], np.diff(part[order]) != 0]))
         runs = [order[i:j] for i, j in zip(first.tolist(), np.append(first[1:], len(order)).tolist(), strict=True)]
         packed = [pa.array([_packed(c[run]) for run in runs], pa.binary()) for c in (gram, n, everywhere)]
@@ -143,8 +148,9 @@ class _Sums:
         return column
 
     def merge(self) -> tuple[np.ndarray, ...]:
+        few = len(self.columns[0]) <= 16  # a few sorted pieces are merged rather than sorted anew
         gram = self._taken(0, np.uint64)
-        order = np.argsort(gram)
+        order = np.argsort(gram, kind="stable" if few else None)
         gram = gram[order]
         first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else order
         gram = gram[first]
@@ -212,7 +218,10 @@ def word_counts(texts: DataFrame) -> DataFrame:
             yield from as_batches(merged(held))
 
     def merged(held: list[pa.Table]) -> pa.Table:
-        return pa.concat_tables(held).group_by("word").aggregate([("n", "sum"), ("everywhere", "sum")]).rename_columns({"n_sum": "n", "everywhere_sum": "everywhere"})
+        whole = pa.concat_tables(held)
+        coded = whole.column("word").combine_chunks().dictionary_encode()
+        sums = (np.bincount(coded.indices.to_numpy(), weights=whole.column(c).to_numpy(), minlength=len(coded.dictionary)).astype(np.int64) for c in ("n", "everywhere"))
+        return pa.table([coded.dictionary, *map(pa.array, sums)], ["word", "n", "everywhere"])
 
     def as_batches(counted: pa.Table) -> list[pa.RecordBatch]:
         return counted.select(["word", "n", "everywhere"]).cast(pa.schema([("word", pa.binary()), ("n", pa.int64()), ("everywhere", pa.int64())])).to_batches(max_chunksize=100_000)
@@ -289,7 +298,7 @@ def score_texts(docs: DataFrame, is_training: Column, depth: int = DEPTH, **fit)
         words = stored(word_counts(texts), "lm-words")
     tokens, distinct, tokens_everywhere = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0), F.coalesce(F.sum("everywhere"), F.lit(0))).first()
     heavy = words.where((F.col("everywhere") >= tokens_everywhere / HEAVY_WORDS) | (F.col("word") == F.lit(END))).select("word", "n").collect()  # HEAVY_WORDS at most, and the end
-    known = {bytes(w): float(np.log10(n + 1)) for w, n in heavy}
+    known = pa.array([bytes(w) for w, _ in heavy], pa.large_binary()), np.log10(np.array([n for _, n in heavy], dtype=float) + 1)
     symbols = words.agg(F.coalesce(F.sum(F.col("everywhere") * (F.octet_length("word") + 1)), F.lit(0))).first()[0]
     parts = 1 + symbols // PART_SYMBOLS
     with arrow_rows(spark, 4 * _TAGS):
@@ -323,7 +332,7 @@ def score_texts(docs: DataFrame, is_training: Column, depth: int = DEPTH, **fit)
 _SCORED = "uid long, doc_id long, n_tokens long, hits long, base double, score double, words array<binary>, words_times array<long>, grams array<long>, grams_times array<long>"
 
 
-def _scored(batch: pa.RecordBatch, uid: int, known: dict[bytes, float], heavy: np.ndarray, logs: np.ndarray) -> pa.RecordBatch:
+def _scored(batch: pa.RecordBatch, uid: int, known: tuple[pa.Array, np.ndarray], heavy: np.ndarray, logs: np.ndarray) -> pa.RecordBatch:
     """What the frequent words and grams give each text (doc_id, text), and its other words and grams with their numbers."""
     size = len(batch)
     lists = _words(batch.column(1))
@@ -331,9 +340,10 @@ def _scored(batch: pa.RecordBatch, uid: int, known: dict[bytes, float], heavy: n
     coded = lists.flatten().cast(pa.large_binary()).dictionary_encode()
     pairs, times = _counted(np.repeat(np.arange(size), lengths) * max(1, len(coded.dictionary)) + coded.indices.to_numpy())
     text, code = np.divmod(pairs, max(1, len(coded.dictionary)))
-    log = np.array([known.get(w, np.nan) for w in coded.dictionary.to_pylist()], dtype=float)
-    of = log[code]
-    there, end = ~np.isnan(of), known.get(END, 0.0)
+    frequent, log = known
+    at = pc.fill_null(pc.index_in(coded.dictionary, frequent), len(log)).to_numpy()
+    of, own_end = np.append(log, np.nan)[at][code], pc.index(frequent, pa.scalar(END, pa.large_binary())).as_py()
+    there, end = ~np.isnan(of), log[own_end] if own_end >= 0 else 0.0
     base = np.bincount(text[there], weights=(times * of)[there], minlength=size) + end
     hits = np.bincount(text[there], weights=times[there] * (of[there] > 0), minlength=size) + (end > 0)
     others = _listed(text[~there], coded.dictionary.take(pa.array(code[~there])).cast(pa.binary()), times[~there], size)
@@ -341,12 +351,15 @@ def _scored(batch: pa.RecordBatch, uid: int, known: dict[bytes, float], heavy: n
     score, rare = np.zeros(size), []
     for key, n in _tallies(lists, np.arange(size)):
         gram, text = key >> np.uint64(8), (key & np.uint64(_TAGS - 1)).astype(np.int64)
-        at = np.minimum(np.searchsorted(heavy, gram), max(0, len(heavy) - 1))
-        there = heavy[at] == gram if len(heavy) else np.zeros(len(gram), dtype=bool)
-        score += np.bincount(text[there], weights=n[there] * logs[at[there]], minlength=size)
+        first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else text  # each gram is looked up once, whatever its texts
+        at = np.minimum(np.searchsorted(heavy, gram[first]), max(0, len(heavy) - 1))
+        held = heavy[at] == gram[first] if len(heavy) else np.zeros(len(first), dtype=bool)
+        times = np.diff(np.append(first, len(gram)))
+        there = np.repeat(held, times)
+        score += np.bincount(text[there], weights=n[there] * np.repeat(logs[at[held]], times[held]), minlength=size)
         rare.append((text[~there], gram[~there], n[~there]))
     text, gram, n = (np.concatenate(x) for x in zip(*rare, strict=True))
-    order = np.argsort(text, kind="stable")
+    order = _placed(text)
     grams = _listed(text[order], pa.array(gram[order].view(np.int64)), n[order], size)
     columns = [pa.array(np.arange(uid, uid + size)), batch.column(0), pa.array(lengths + 1, pa.int64()), pa.array(hits.astype(np.int64)), pa.array(base), pa.array(score), *others, *grams]
     return pa.RecordBatch.from_arrays(columns, ["uid", "doc_id", "n_tokens", "hits", "base", "score", "words", "words_times", "grams", "grams_times"])

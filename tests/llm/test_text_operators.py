@@ -479,6 +479,29 @@ def test_words_of_slices():
         assert tallies == Counter(s[i - 6 : i + 1] for s in streams for i in range(6, len(s)))
 
 
+def test_suffix_lm_looks_each_gram_up_once(monkeypatch):
+    import pyarrow as pa
+
+    rows = [(i, t) for i, t in enumerate(["the same words again", "the same words again", "other words", "", None])]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], ["doc_id", "text"])
+    streams = [b"\n" * 6 + " ".join(words(t)).encode() + b"\n" for _, t in rows]
+    grams = [Counter(int.from_bytes(s[i - 6 : i + 1], "big") for i in range(6, len(s))) for s in streams]
+    heavy = np.array(sorted({g for own in grams for g in own})[::2], dtype=np.uint64)
+    logs = -np.arange(1, len(heavy) + 1, dtype=np.float32)
+    known, asked, search = {b"words": 0.5, b"same": 0.25, b"\n": 1.0}, [], np.searchsorted
+    monkeypatch.setattr(suffix_lm.np, "searchsorted", lambda a, v, *more, **named: asked.append(len(v)) or search(a, v, *more, **named))
+    out = suffix_lm._scored(batch, 7, (pa.array(list(known), pa.large_binary()), np.array(list(known.values()))), heavy, logs)
+    assert asked == [len({g for own in grams for g in own})]
+    by = dict(zip(heavy.tolist(), logs.tolist(), strict=True))
+    for r, own, (_, t) in zip(out.to_pylist(), grams, rows, strict=True):
+        seen = [w.encode() for w in words(t)]
+        assert np.isclose(r["score"], sum(n * by.get(g, 0) for g, n in own.items()))
+        assert dict(zip(r["grams"], r["grams_times"], strict=True)) == {g: n for g, n in own.items() if g not in by}
+        assert (r["n_tokens"], r["hits"]) == (len(seen) + 1, 1 + sum(w in known for w in seen))
+        assert np.isclose(r["base"], 1 + sum(known.get(w, 0) for w in seen))
+        assert Counter(dict(zip(r["words"], r["words_times"], strict=True))) == Counter(w for w in seen if w not in known)
+
+
 def test_suffix_lm_base_and_counts(spark):
     rows = BLANKS + [(10 + i, t) for i, t in enumerate(texts(120, 3))]
     got = suffix_lm.score_texts(docs(spark, rows), F.col("doc_id") % 3 != 0).collect()
