@@ -145,11 +145,14 @@ def assign(points: DataFrame, levels: Sequence[Cuts]) -> DataFrame:
 
     The cuts go to the tasks as the one value of a scalar subquery, and each
     level is a binary search in generated code: no join, and no point moves.
+    Each step names the one before several times.  Where the optimizer writes
+    a column out, to push a filter down or to follow a join's key to its table,
+    that multiplies step by step; so ``cell`` comes out of a generator, which
+    isn't seen through.
     """
     spark, out = points.sparkSession, points.withColumn("cell", F.lit(0).cast("long"))
+    levels = [level for level in levels if level.slabs > 1]
     for level in levels:
-        if level.slabs <= 1:
-            continue
         cuts = _table_of(spark, level)
         x, first = F.col("features")[level.axis].cast("double"), F.col("cell") * (level.slabs - 1)
         out = out.withColumn("_slab", F.lit(0).cast("long"))
@@ -160,7 +163,7 @@ def assign(points: DataFrame, levels: Sequence[Cuts]) -> DataFrame:
             inside = F.col("_slab") + (1 << bit) < level.slabs
             out = out.withColumn("_slab", F.col("_slab") + F.when(inside & after, 1 << bit).otherwise(0))
         out = out.withColumn("cell", F.col("cell") * level.slabs + F.col("_slab")).drop("_slab")
-    return out
+    return out.withColumn("cell", F.explode(F.array("cell"))) if levels else out
 
 
 def _cells_of(counted: DataFrame) -> dict[str, np.ndarray]:
@@ -297,9 +300,9 @@ def str_leaves(points: DataFrame, leaf_size: int, dims: int) -> DataFrame:
     return assign(points, levels) if out is None else out
 
 
-def zone_map(celled: DataFrame, dims: int) -> DataFrame:
-    """cell, n, lo, hi of every cell."""
-    return bounding_boxes(celled, "cell", dims)
+def zone_map(celled: DataFrame, dims: int, *more: str) -> DataFrame:
+    """cell, n, lo, hi of every cell, after the columns ``more`` that a cell has one value of."""
+    return bounding_boxes(celled, [*more, "cell"], dims)
 
 
 def levels(zones: DataFrame, fanout: int, dims: int) -> DataFrame:

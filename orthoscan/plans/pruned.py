@@ -1,9 +1,10 @@
 """Exact search that reads only the cells that can hold an answer.
 
-An index is two tables: the points, partitioned by cell, and their zone map.
-A search first asks the zone map, which has a row per cell; the cells that can
-matter are semi-joined with the points, and Spark's dynamic partition pruning
-keeps the scan to them.  Of the zone map, k rows at most reach the driver.
+An index is two tables: the points, partitioned by runs of cells and sorted by
+cell, and their zone map.  A search first asks the zone map, which has a row per
+cell; the cells that can matter are semi-joined with the points, and Spark's
+dynamic partition pruning keeps the scan to their runs.  Of the zone map, k rows
+at most reach the driver.
 """
 
 from __future__ import annotations
@@ -23,11 +24,13 @@ from orthoscan.sources.scratch import scratch_path
 MOST_CELLS = 0.5
 #: Tables of fewer points are scanned, which is cheaper than asking twice.
 SMALL_TABLE = 1_000_000
+#: Folders that the points of an index lie in at most; and cells up to which their names are sent to every task.
+MOST_PARTS, MOST_NAMED = 256, 1 << 16
 
 
 @dataclass
 class CellIndex:
-    """Points by cell and their zone map, on disk; ``delta`` holds points appended since."""
+    """Points by ``part``, a run of cells, and their zone map, on disk; ``delta`` holds points appended since."""
 
     spark: SparkSession
     path: str
@@ -53,8 +56,10 @@ def write_index(celled: DataFrame, dims: int, path: str | None = None) -> CellIn
     """Write points that have a ``cell`` (see ``operators.cells``) and their zone map."""
     spark = celled.sparkSession
     path = path or scratch_path(spark, "cell-index")
-    celled.select("record_id", "features", "cell").repartitionByRange("cell", "record_id").write.partitionBy("cell").parquet(f"{path}/points")
-    cells.zone_map(spark.read.schema(celled.select("record_id", "features", "cell").schema).parquet(f"{path}/points"), dims).coalesce(1).write.parquet(f"{path}/zones")
+    last = celled.agg(F.max("cell")).first()[0] or 0
+    parted = celled.select("record_id", "features", "cell", F.shiftright("cell", max(0, last.bit_length() - (MOST_PARTS - 1).bit_length())).cast("int").alias("part"))
+    parted.repartitionByRange("cell", "record_id").sortWithinPartitions("part", "cell").write.partitionBy("part").parquet(f"{path}/points")
+    cells.zone_map(spark.read.schema(parted.schema).parquet(f"{path}/points"), dims, "part").write.parquet(f"{path}/zones")
     spark.range(1).select(F.lit(dims).alias("dims")).write.parquet(f"{path}/about")
     return CellIndex(spark, path, dims)
 
@@ -90,14 +95,15 @@ def pruned_knn(index: CellIndex, query: Sequence[float], k: int, method: str = "
     """
     if len(query) != index.dims:
         raise ValueError(f"the query has {len(query)} dimensions, the points have {index.dims}")
-    zones = index.zones().select("cell", "n", boxes.box_distance(index.zones(), query).alias("d"))
+    zones = index.zones().select("part", "cell", "n", boxes.box_distance(index.zones(), query).alias("d"))
     scan = k <= 0 or method == "linear" or (method == "auto" and (zones.agg(F.sum("n")).first()[0] or 0) < SMALL_TABLE)
     bound = None if scan else _kth_bound(index, zones, query, k)
     inside = zones.where(F.lit(False) if bound is None else F.col("d") <= bound)
     about = zones.agg(F.count("*").alias("cells"), F.count(F.when(F.lit(False) if bound is None else F.col("d") <= bound, 1)).alias("inside")).first()
     if bound is None or about["inside"] > MOST_CELLS * about["cells"]:
         return knn.knn(index.everything(), query, k), {"cells_total": about["cells"], "cells_scanned": about["cells"]}
-    return knn.knn(_of_cells(index, inside), query, k), {"cells_total": about["cells"], "cells_scanned": about["inside"]}
+    named = F.broadcast(inside) if about["inside"] <= MOST_NAMED else inside
+    return knn.knn(_of_cells(index, named), query, k), {"cells_total": about["cells"], "cells_scanned": about["inside"]}
 
 
 def _kth_bound(index: CellIndex, zones: DataFrame, query: Sequence[float], k: int) -> float | None:
@@ -105,21 +111,22 @@ def _kth_bound(index: CellIndex, zones: DataFrame, query: Sequence[float], k: in
 
     Every cell holds a point, so the nearest k cells hold k of them.
     """
-    first, held = [], 0
+    first, parts, held = [], set(), 0
     for r in zones.orderBy("d", "cell").limit(k).collect():
         first.append(r["cell"])
+        parts.add(r["part"])
         held += r["n"]
         if held >= k:
             break
     if held < k:
         return None
-    near = index.points().where(F.col("cell").isin(first)).select(V.squared_distance(F.col("features"), query).alias("d"), "record_id")
+    near = index.points().where(F.col("part").isin(sorted(parts)) & F.col("cell").isin(first)).select(V.squared_distance(F.col("features"), query).alias("d"), "record_id")
     return near.orderBy("d", "record_id").limit(k).agg(F.max("d")).first()[0] * (1 + 1e-9) + 1e-300
 
 
 def _of_cells(index: CellIndex, wanted: DataFrame) -> DataFrame:
     """The points (record_id, features) of the ``wanted`` rows of the zone map, and all appended ones."""
-    rows = index.points().join(wanted.select("cell"), "cell", "left_semi").select("record_id", "features")
+    rows = index.points().join(wanted.select("part", "cell"), ["part", "cell"], "left_semi").select("record_id", "features")
     return rows.unionByName(index.unindexed().select("record_id", "features")) if index.delta else rows
 
 

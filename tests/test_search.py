@@ -1,5 +1,7 @@
 """Searches: hand-made cases, and pruned searches against full scans."""
 
+import os
+
 import numpy as np
 import pytest
 
@@ -71,6 +73,30 @@ def test_appended_points_are_found(spark):
     assert [i for i, _ in pairs(pruned.pruned_knn(index, [0.1, 0.0], 1)[0])] == [9]
 
 
+def test_many_leaves_lie_in_few_folders(spark):
+    rng = np.random.Generator(np.random.PCG64(5))
+    points = frame(spark, [(i, x.tolist()) for i, x in enumerate(np.round(rng.normal(size=(2000, 5)), 1))]).repartition(3)
+    index = pruned.write_index(cells.str_leaves(points, 2, 5), 5)
+    assert index.zones().count() == index.points().select("cell").distinct().count() > 900
+    assert len([f for f in os.listdir(f"{index.path}/points") if "=" in f]) <= 256
+    assert index.zones().join(index.points().select("part", "cell"), ["part", "cell"]).count() == 2000
+    for k in (3, 20):
+        got, stats = pruned.pruned_knn(index, [0.1] * 5, k)
+        assert stats["cells_scanned"] < stats["cells_total"] and "dynamicpruning" in plan(got)
+        assert pairs(got) == pairs(knn.knn(points, [0.1] * 5, k))
+
+
+def test_cells_are_not_written_out_where_they_are_joined(spark):
+    """Cuts of five levels are found by joins over cells; their search, written out, would multiply with each level."""
+    points = frame(spark, [(i, [float(i % 7), float(i % 5)]) for i in range(50)])
+    levels = [cells.Cuts(0, 6, np.arange(1.0, 6.0)), cells.Cuts(1, 5, np.tile(np.arange(4.0), 6))]
+    celled = cells.assign(points, levels)
+    size = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString())
+    assert size(celled.where("cell = 7")) < 2 * size(celled)
+    want = {i: 5 * sum(i % 7 > x for x in range(1, 6)) + sum(i % 5 > x for x in range(4)) for i in range(50)}
+    assert {r.record_id: r.cell for r in celled.join(spark.range(30).selectExpr("id AS cell"), "cell").collect()} == want
+
+
 def test_media_search_with_and_without_an_index(spark, tmp_path):
     from orthoscan.operators import enrich
 
