@@ -86,6 +86,18 @@ def test_many_leaves_lie_in_few_folders(spark):
         assert pairs(got) == pairs(knn.knn(points, [0.1] * 5, k))
 
 
+def test_methods_agree_over_many_leaves(spark):
+    rng = np.random.Generator(np.random.PCG64(6))
+    points = frame(spark, [(i, x.tolist()) for i, x in enumerate(rng.normal(size=(1500, 6)))]).repartition(3)
+    prefix = lambda d: points.selectExpr("record_id", f"slice(features, 1, {d}) AS features")
+    rtree = {d: pruned.write_index(cells.str_leaves(prefix(d), 2, d), d) for d in (2, 5)}
+    assert all(i.zones().count() > 700 and len([f for f in os.listdir(f"{i.path}/points") if "=" in f]) <= 256 for i in rtree.values())
+    got = pruned.by_methods(points, {"kd": {5: pruned.write_index(cells.kd_cells(prefix(5), 4, 5), 5)}, "rtree": rtree}, [0.2] * 6, 4, (2, 5)).collect()
+    rows = lambda m, d: sorted((r["rank"], r.record_id, r.distance) for r in got if (r.method, r.dims) == (m, d))
+    for d in (2, 5):
+        assert len(rows("linear", d)) == 4 and rows("kd", d) == rows("rtree", d) == rows("linear", d)
+
+
 def test_cells_are_not_written_out_where_they_are_joined(spark):
     """Cuts of five levels are found by joins over cells; their search, written out, would multiply with each level."""
     points = frame(spark, [(i, [float(i % 7), float(i % 5)]) for i in range(50)])
