@@ -273,6 +273,37 @@ def test_overlap_join_is_brute_force(spark, monkeypatch, dims, crowd, tile):
     assert box_join.overlap_join(one, one).count() == 1
 
 
+@pytest.mark.parametrize(("dims", "crowd", "tile", "pairs"), [(2, 4096, 64, 1 << 27), (2, 10, 2, 300), (3, 20, 4, 1 << 27), (70, 15, 4, 500)])
+def test_overlap_pairs_is_brute_force(spark, monkeypatch, dims, crowd, tile, pairs):
+    """Each pair of one table comes once, in order, however its tiles are split and shared out."""
+    for name, value in (("CROWD", crowd), ("TILE_BOXES", tile), ("TASK_PAIRS", pairs)):
+        monkeypatch.setattr(box_join, name, value)
+    rng = np.random.Generator(np.random.PCG64(dims))
+    lo = (rng.random((110, dims)) * 20 - 10).astype(np.float32)
+    hi = lo + (10.0 ** rng.integers(-2, 2, (110, 1)) * rng.random((110, dims))).astype(np.float32)
+    lo[10:14], hi[12:16] = -np.inf, np.inf
+    lo[20:60], hi[20:60] = 1.0, 1.5  # a crowd
+    lo[18], hi[18] = 3.0, 2.0  # inverted
+    hi[70] = lo[71]  # touches
+    names = [f"b{i % 100}" for i in range(110)]  # ten names twice
+    rows = [(n, a.tolist(), b.tolist()) for n, a, b in zip(names, lo, hi, strict=True)]
+    ok = (lo <= hi).all(axis=1)
+    want = sorted((names[i], names[j]) for i in range(110) for j in range(110) if names[i] < names[j] and ok[i] and ok[j] and (lo[i] <= hi[j]).all() and (hi[i] >= lo[j]).all())
+    boxes_ = spark.createDataFrame([*rows, ("none", None, [1.0] * dims)], "id string, lo array<float>, hi array<float>")
+    assert sorted((r.left_id, r.right_id) for r in box_join.overlap_pairs(boxes_).collect()) == want
+    assert box_join.overlap_pairs(boxes_.limit(0)).count() == 0
+
+
+def test_wide_boxes_are_posted_once_and_compared_in_generated_code(spark):
+    wide = spark.range(200).selectExpr("id", "array(cast(id % 7 AS float), cast(id % 5 AS float)) AS lo", "array(cast(50 + id % 3 AS float), cast(40 AS float)) AS hi")
+    grid = box_join._Grid(wide)
+    levels = sorted(r[0] for r in wide.select(grid.level().alias("l")).distinct().collect())
+    assert box_join._posted(wide, grid, levels, "left").count() == 200
+    found = box_join.overlap_join(wide, wide)
+    assert "lambda" not in plan(found).split("Join", 1)[1].split("\n")[0]
+    assert found.count() == 200 * 200
+
+
 def test_report_keeps_other_dims(spark):
     index = pruned.write_index(cells.kd_cells(frame(spark, GOLDEN), 1, 2), 2)
     rows = {r.dims: r for r in report.search_report({2: (index, None), 5: (index, index)}, [0.0, 0.0], 3).collect()}
