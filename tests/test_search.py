@@ -289,13 +289,14 @@ def test_overlap_pairs_is_brute_force(spark, monkeypatch, dims, crowd, tile, pai
     rows = [(n, a.tolist(), b.tolist()) for n, a, b in zip(names, lo, hi, strict=True)]
     ok = (lo <= hi).all(axis=1)
     want = sorted((names[i], names[j]) for i in range(110) for j in range(110) if names[i] < names[j] and ok[i] and ok[j] and (lo[i] <= hi[j]).all() and (hi[i] >= lo[j]).all())
-    boxes_ = spark.createDataFrame([*rows, ("none", None, [1.0] * dims)], "id string, lo array<float>, hi array<float>")
+    boxes_ = spark.createDataFrame([*rows, ("none", None, [1.0] * dims), (None, [1.0] * dims, [1.5] * dims)], "id string, lo array<float>, hi array<float>")
     assert sorted((r.left_id, r.right_id) for r in box_join.overlap_pairs(boxes_).collect()) == want
     assert box_join.overlap_pairs(boxes_.limit(0)).count() == 0
 
 
 def test_wide_boxes_are_posted_once_and_compared_in_generated_code(spark):
     wide = spark.range(200).selectExpr("id", "array(cast(id % 7 AS float), cast(id % 5 AS float)) AS lo", "array(cast(50 + id % 3 AS float), cast(40 AS float)) AS hi")
+    wide = box_join._proper(wide)
     grid = box_join._Grid(wide)
     levels = sorted(r[0] for r in wide.select(grid.level().alias("l")).distinct().collect())
     assert box_join._posted(wide, grid, levels, "left").count() == 200
